@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,14 +60,27 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def map_batches(df: DataFrame, fn: Callable[..., dict], schema: str, *args) -> DataFrame:
-    """``mapInArrow`` with ``fn(batch, *args) -> {column: values}`` for each Arrow batch."""
+def map_batches(df: DataFrame, fn: Callable[..., Iterator[pa.RecordBatch]], schema: str, *args) -> DataFrame:
+    """``mapInArrow`` with a function that yields whole output batches for each Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                for out in fn(batch, *args):
-                    yield out
+                yield from fn(batch, *args)
+
+    return df.mapInArrow(run, schema)
+
+
+def add_columns(df: DataFrame, fn: Callable[..., list], fields: str, keep: list[str], *args) -> DataFrame:
+    """The columns ``keep`` of every row, and those that ``fn(batch, *args)`` returns for them (``fields``: their DDL)."""
+    added = T._parse_datatype_string(fields)
+    schema = T.StructType([df.schema[c] for c in keep] + added.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+                yield pa.RecordBatch.from_arrays(kept + list(fn(batch, *args)), [*keep, *added.names])
 
     return df.mapInArrow(run, schema)
 
