@@ -34,6 +34,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as a sound file, sniffed, read back and described."""
+    from roadflow.llm.media import store_documents
+
+    return store_documents(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document, and whether they contaminate it."""
     from roadflow.llm.decontamination import contaminated, find_contamination
