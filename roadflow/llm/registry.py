@@ -52,9 +52,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule or model verdict for the url of every page."""
+    from roadflow.llm.urls import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"), ["page_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from roadflow.llm.urls import filter_sql
+
+    return {"op9_url_filter": filter_sql()}
