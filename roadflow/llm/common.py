@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -43,10 +44,17 @@ class Scratch:
         path = f"{self.root}/{self._n}"
         schema = df.schema
         df.write.parquet(path)
+        del df
+        self._clean()
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         return out
 
+    def _clean(self) -> None:
+        """Have Spark's cleaner see what is no longer referenced: the shuffle files behind a table that is written now."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that no later plan reads."""
         for df in frames:

@@ -17,6 +17,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents."""
+    from roadflow.llm.jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, learnt from the labels that are not held out."""
     from roadflow.llm.quality import fit, held_out, score
