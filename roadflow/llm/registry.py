@@ -17,6 +17,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 bytes that an earlier document has, removed from every document."""
+    from roadflow.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     from roadflow.llm.jaccard import near_duplicates
