@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadflow.operators.features import lag_windows
+from roadflow.session import ship
 
 LAGS = 12
 
@@ -95,6 +96,8 @@ def forecast_windows(windows: DataFrame, weights: dict, heads: int = 4, steps: i
 
     ``weights``: embed (features x width), layers, head (width), and the place of the flow among the features.
     """
+    ship(windows.sparkSession)
+
     def run(frames):
         for f in frames:
             x = np.array([np.stack(r) for r in f["x"]]) if len(f) else np.zeros((0, 1, 1))
