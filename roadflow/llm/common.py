@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from roadflow.session import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Open one of the test tables through Spark's own reader."""
@@ -71,6 +73,8 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 def map_batches(df: DataFrame, fn: Callable[..., Iterator[pa.RecordBatch]], schema: str, *args) -> DataFrame:
     """``mapInArrow`` with a function that yields whole output batches for each Arrow batch."""
 
+    ship(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -81,6 +85,7 @@ def map_batches(df: DataFrame, fn: Callable[..., Iterator[pa.RecordBatch]], sche
 
 def add_columns(df: DataFrame, fn: Callable[..., list], fields: str, keep: list[str], *args) -> DataFrame:
     """The columns ``keep`` of every row, and those that ``fn(batch, *args)`` returns for them (``fields``: their DDL)."""
+    ship(df.sparkSession)
     added = T._parse_datatype_string(fields)
     schema = T.StructType([df.schema[c] for c in keep] + added.fields)
 

@@ -39,9 +39,7 @@ NUM, DEN = 3, 4
 BATCH_BYTES = 1 << 22
 #: Rows up to which a table of classes is broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-ROUNDS = 3
-#: Mean group of a prefix shingle that is compared in full without rounds.
-SMALL = 12
+ROUNDS = 2
 
 _U = np.uint64
 
@@ -165,22 +163,23 @@ def _full_sets(batch: pa.RecordBatch, text: str) -> list[pa.Array]:
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(class, label): the smallest class of each connected component; ``links`` has a and b.
+    """(class, label): one label for each connected component; ``links`` has a and b.
 
-    Each round, everyone takes the smallest label around, and then the label of that label.
+    Contraction: each node moves to the smallest node among itself and its neighbours, links move along,
+    and links inside one node vanish, until none is left.
     """
-    both = scratch.save(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct())
-    now = scratch.save(both.groupBy(F.col("a").alias("class")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
-    while True:
-        near = both.join(now.select(F.col("class").alias("b"), "label"), "b").groupBy(F.col("a").alias("class")).agg(F.min("label").alias("around"))
-        took = now.join(near, "class").select("class", F.col("label").alias("old"), F.least("label", "around").alias("label"))
-        jump = took.select(F.col("class").alias("label"), F.col("label").alias("next"))
-        new = scratch.save(took.join(jump, "label").select("class", "old", F.least("label", "next").alias("label")))
-        scratch.drop(now)
-        now = new
-        if new.where("label <> old").limit(1).count() == 0:
-            scratch.drop(both)
-            return now.select("class", "label")
+    edges = scratch.save(links.select("a", "b").where("a <> b").distinct())
+    moved = None
+    while edges.limit(1).count():
+        both = edges.union(edges.select("b", "a"))
+        step = scratch.save(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("to")))
+        if moved is None:
+            moved = step.select(F.col("a").alias("class"), F.col("to").alias("label"))
+        else:
+            moved = scratch.save(moved.join(step.select(F.col("a").alias("label"), "to"), "label", "left").select("class", F.coalesce("to", "label").alias("label")))
+        ends = edges.join(step.select("a", F.col("to").alias("ta")), "a").join(step.select(F.col("a").alias("b"), F.col("to").alias("tb")), "b")
+        edges = scratch.save(ends.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+    return moved if moved is not None else edges.select(F.col("a").alias("class"), F.col("b").alias("label"))
 
 
 def _can_pair(a: str, b: str):
@@ -191,49 +190,46 @@ def _can_pair(a: str, b: str):
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share prefix shingles under the third and fourth order and are similar enough."""
+    """The pairs (a, b, top) that share prefix shingles under the third and fourth order and are similar enough."""
     one = lambda c: sets.select(F.col("class").alias(c), *[F.col(x).alias(c + x) for x in ("n", "set", "third", "fourth")])
-    full = pairs.select("a", "b").join(one("a"), "a").join(one("b"), "b")
+    full = pairs.join(one("a"), "a").join(one("b"), "b")
     near = full.where(F.arrays_overlap("athird", "bthird") & F.arrays_overlap("afourth", "bfourth"))
-    return near.withColumn("both", F.size(F.array_intersect("aset", "bset"))).where(DEN * F.col("both") >= NUM * (F.col("an") + F.col("bn") - F.col("both"))).select("a", "b")
+    return near.withColumn("both", F.size(F.array_intersect("aset", "bset"))).where(DEN * F.col("both") >= NUM * (F.col("an") + F.col("bn") - F.col("both"))).select("a", "b", "top")
 
 
 def link_classes(sets: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """Links (a, b) that connect whatever is connected; ``sets``: class, n, s, weight, set, prefix, third, fourth."""
-    rows = scratch.save(sets.select("class", "n", "s", "weight", F.explode("prefix").alias("token")))
-    links, turn, done = None, 0, False
-    while not done:
-        if links is not None:
-            label = components(links, scratch)
-            open_rows = rows.join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
-        else:
-            open_rows = rows.withColumn("label", F.col("class"))
-        group = open_rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"))
-        live = open_rows.join(group.where("low <> high"), "token").where((NUM + DEN) * F.col("s") >= NUM * (F.col("n") + F.greatest("least", F.ceil(NUM * F.col("n") / DEN))))
+    """Links (a, b) that connect whatever is connected; ``sets``: class, n, s, weight, set, prefix, third, fourth.
+
+    Classes with one label are connected, so rows of a group with one label, and rows without a possible partner in
+    their group, are gone for good.
+    """
+    rows = sets.select("class", "n", "s", "weight", F.explode("prefix").alias("token"), F.col("class").alias("label"))
+    links: list[DataFrame] = []
+    for turn in range(rounds + 1):
+        now = scratch.save(rows)
+        group = now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"))
+        live = now.join(group.where("low <> high"), "token").where((NUM + DEN) * F.col("s") >= NUM * (F.col("n") + F.greatest("least", F.ceil(NUM * F.col("n") / DEN))))
         live = scratch.save(live.select("token", "class", "n", "s", "weight", "label"))
-        total = live.groupBy("token").count().agg(F.sum("count").alias("rows"), F.sum(F.col("count").cast("double") * F.col("count")).alias("pairs")).first()
-        if not total["rows"]:
-            if links is None:
-                links = rows.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
+        scratch.drop(now)
+        if turn and not live.limit(1).count():
             break
-        turn += 1
-        done = turn > rounds or total["pairs"] <= SMALL * total["rows"]
-        if not done:
+        if turn < rounds:
             pivot = live.groupBy("token").agg(F.max(F.struct("weight", F.col("class").alias("a"), F.col("n").alias("an"), F.col("s").alias("as"), F.col("label").alias("of"))).alias("p")).select("token", "p.*")
-            pairs = live.select("token", F.col("class").alias("b"), F.col("n").alias("bn"), F.col("s").alias("bs"), "label").join(pivot, "token").where("label <> of").where(_can_pair("a", "b"))
+            pairs = live.select("token", F.col("class").alias("b"), F.col("n").alias("bn"), F.col("s").alias("bs"), "label").join(pivot.withColumnRenamed("weight", "rank"), "token").where("label <> of").where(_can_pair("a", "b"))
+            pairs = pairs.groupBy("a", "b").agg(F.max(F.struct("rank", "of")).alias("top"))
         else:
             one = lambda c: live.select("token", *[F.col(x).alias(c + y) for x, y in (("class", ""), ("n", "n"), ("s", "s"), ("label", "label"))])
             pairs = one("a").join(one("b"), "token").where("a < b and alabel <> blabel").where(_can_pair("a", "b"))
-        found = scratch.save(_verify(pairs.select("a", "b").distinct(), sets))
-        scratch.drop(live)
-        if links is None:
-            links = found
-        else:
-            both = scratch.save(links.unionByName(found))
-            scratch.drop(links, found)
-            links = both
-    scratch.drop(rows)
-    return links
+            pairs = pairs.select("a", "b", F.lit(0).alias("top")).distinct()
+        found = scratch.save(_verify(pairs, sets))
+        links.append(found.select("a", "b"))
+        moved = found.groupBy(F.col("b").alias("class")).agg(F.max("top").alias("top")).select("class", F.col("top.of").alias("to")) if turn < rounds else None
+        if moved is not None:
+            rows = live.join(moved, "class", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+    out = links[0]
+    for more in links[1:]:
+        out = out.union(more)
+    return out
 
 
 def near_duplicates(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,7 +271,7 @@ def near_duplicates(df: DataFrame, keep: list[str], id_col: str = "doc_id", text
     ))
     links = link_classes(sets, scratch)
     label = components(links, scratch)
-    scratch.drop(sets, chosen, partnered, links)
+    scratch.drop(sets, chosen, partnered)
     named = classes.join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
     lowest = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
     ids = scratch.save(named.join(lowest, "label").select("class", "class_id", "component_id"))
