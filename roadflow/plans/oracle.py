@@ -137,10 +137,10 @@ def oracle_sql() -> dict[str, str]:
         "a3_flow_extents": f"WITH {CLEAN} SELECT min(least({', '.join(VS)})) AS min_flow, max(greatest({', '.join(VS)})) AS max_flow, CAST(sum({' + '.join(map(_zero, VS))}) AS BIGINT) AS zeros FROM clean",
         "a4_drop_counters": f"WITH {WIDE} SELECT count(*) AS rows_before, count(*) FILTER (NOT ({FULL})) AS dropped_null, count(*) FILTER (({FULL}) AND NOT ({NONNEG})) AS dropped_negative, count(*) FILTER (({FULL}) AND ({NONNEG})) AS rows_after FROM wide",
         "a5_series_profile": f"WITH {DET} SELECT round(min(value), 6) AS min_flow, round(max(value), 6) AS max_flow, round(avg(value), 4) AS mean_flow, round(stddev_pop(value), 4) AS std_flow, count(DISTINCT NB_SCATS_SITE) AS sites, count(DISTINCT date) AS dates, count(*) FILTER (value IS NULL) AS null_flows, count(*) FILTER (value < 0) AS negative_flows FROM det",
-        "r2_unpivot_slots": f"WITH {WIDE} " + " UNION ALL ".join(f"SELECT NB_SCATS_SITE, CAST(date AS VARCHAR) AS date, NB_DETECTOR, '{v}' AS time_idx, {v} AS Flow FROM wide" for v in VS),
+        "r2_unpivot_slots": f"WITH {WIDE} " + " UNION ALL ".join(f"SELECT NB_SCATS_SITE, CAST(date AS VARCHAR) AS date, NB_DETECTOR, '{v}' AS time_idx, CAST({v} AS DOUBLE) AS Flow FROM wide" for v in VS),
         "r3_one_hot": "SELECT event_id, " + ", ".join(f"CAST(event_type = '{c}' AS INT) AS is_{c}" for c in ("click", "view", "purchase")) + " FROM events",
         "l1_sample": f"WITH {DAILY} SELECT NB_SCATS_SITE, CAST(date AS VARCHAR) AS date, n FROM daily ORDER BY 1, daily.date LIMIT 100",
-        "x1_union_years": f"WITH {DET} SELECT NB_SCATS_SITE, count(*) AS first_half, CAST(NULL AS BIGINT) AS second_half FROM det WHERE date < DATE '2024-01-15' GROUP BY 1 UNION ALL SELECT NB_SCATS_SITE, NULL, count(*) FROM det WHERE date >= DATE '2024-01-15' GROUP BY 1",
+        "x1_union_years": f"WITH {DET} SELECT NB_SCATS_SITE, CAST(count(*) AS DOUBLE) AS first_half, CAST(NULL AS DOUBLE) AS second_half FROM det WHERE date < DATE '2024-01-15' GROUP BY 1 UNION ALL SELECT NB_SCATS_SITE, NULL, CAST(count(*) AS DOUBLE) FROM det WHERE date >= DATE '2024-01-15' GROUP BY 1",
         "x3_distinct_types": "SELECT DISTINCT event_type FROM events",
         "x4_missing_nodes": f"WITH {NODES} SELECT id FROM nodes EXCEPT SELECT CAST(user_id AS VARCHAR) FROM events",
         "x6_full_coverage": "SELECT user_id, count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events) AS all_types FROM events GROUP BY ALL",

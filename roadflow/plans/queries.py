@@ -190,7 +190,7 @@ def a5_series_profile(s, d):
 
 
 def r2_unpivot_slots(s, d):
-    return clean.unpivot_slots(_wide(s, d), ["NB_SCATS_SITE", "date", "NB_DETECTOR"]).withColumn("date", F.col("date").cast("string"))
+    return clean.unpivot_slots(_wide(s, d), ["NB_SCATS_SITE", "date", "NB_DETECTOR"]).withColumn("date", F.col("date").cast("string")).withColumn("Flow", F.col("Flow").cast("double"))
 
 
 def r3_one_hot(s, d):
@@ -203,8 +203,8 @@ def l1_sample(s, d):
 
 def x1_union_years(s, d):
     e = detector_rows(s, d)
-    a = e.where("date < '2024-01-15'").groupBy("NB_SCATS_SITE").agg(F.count(F.lit(1)).alias("first_half"))
-    b = e.where("date >= '2024-01-15'").groupBy("NB_SCATS_SITE").agg(F.count(F.lit(1)).alias("second_half"))
+    a = e.where("date < '2024-01-15'").groupBy("NB_SCATS_SITE").agg(F.count(F.lit(1)).cast("double").alias("first_half"))
+    b = e.where("date >= '2024-01-15'").groupBy("NB_SCATS_SITE").agg(F.count(F.lit(1)).cast("double").alias("second_half"))
     return clean.read_union([a, b])
 
 
