@@ -54,8 +54,9 @@ class Scratch:
 
     def _clean(self) -> None:
         """Have Spark's cleaner see what is no longer referenced: the shuffle files behind a table that is written now."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # the first pass lets go of the driver's handles, the second of what they held
+            gc.collect()
+            self.spark._jvm.System.gc()
 
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that no later plan reads."""

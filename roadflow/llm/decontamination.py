@@ -27,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadflow.llm.common import Scratch, add_columns, map_batches
+from roadflow.llm.common import Scratch, add_columns, by_bytes, map_batches
 
 WORDS = 13
 #: Benchmark text that one pass looks for.
 BLOCK_BYTES = 16 << 20
+#: Document text in one shard of the index.
+SHARD_BYTES = 2 << 20
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -135,13 +137,24 @@ def _bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 
 
+def _shards(batch: pa.RecordBatch, name: str):
+    """Parts of a batch with at most ``SHARD_BYTES`` of text each, so that an index stays small."""
+    for a, b in by_bytes(batch.column(batch.schema.get_field_index(name)), SHARD_BYTES):
+        yield batch.slice(a, b - a)
+
+
 def _count_terms(batch: pa.RecordBatch, text: str, terms: dict[bytes, int]):
-    counts = np.bincount(Shard(_bytes(batch, text), terms).term, minlength=len(terms))[: len(terms)]
+    counts = sum(np.bincount(Shard(_bytes(part, text), terms).term, minlength=len(terms))[: len(terms)] for part in _shards(batch, text))
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["term", "n"])
 
 
 def _scan(batch: pa.RecordBatch, text: str, phrases: PhraseSet, before: tuple[str, str] | None) -> list[pa.Array]:
+    parts = [_scan_shard(part, text, phrases, before) for part in _shards(batch, text)]
+    return [pa.concat_arrays(columns) for columns in zip(*parts)]
+
+
+def _scan_shard(batch: pa.RecordBatch, text: str, phrases: PhraseSet, before: tuple[str, str] | None) -> list[pa.Array]:
     shard = Shard(_bytes(batch, text), phrases.terms)
     hit, items = find_phrases(shard, phrases)
     spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from roadflow.llm.common import Scratch, add_columns, map_batches
 
 THRESHOLD = 50
-GRAM = 20
+GRAM = 24
 
 _U = np.uint64
 

@@ -34,7 +34,7 @@ from roadflow.llm.common import by_bytes, map_batches, texts
 
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks kept by a worker; some 200 bytes each.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 200_000
 #: Text bytes handed to the encoder at once.
 BATCH_BYTES = 1 << 20
 #: Characters of a text that are looked at together.
