@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,7 +103,7 @@ def add_columns(df: DataFrame, fn: Callable[..., list], fields: str, keep: list[
 def by_bytes(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` text bytes each (one row at least)."""
     start = size = 0
-    for i, n in enumerate(pa.compute.binary_length(column).to_pylist()):
+    for i, n in enumerate(pc.binary_length(column).to_pylist()):
         if i > start and size + (n or 0) > limit:
             yield start, i
             start, size = i, 0

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from roadflow.llm.common import by_bytes, map_batches, texts
@@ -138,7 +138,7 @@ def _other_encoder(path: str):
 def _count(batch: pa.RecordBatch, name: str):
     path = tokenizer_path(name)
     column = batch.column(1)
-    sizes = pa.compute.binary_length(column)
+    sizes = pc.binary_length(column)
     counts: list[int] = []
     for a, b in by_bytes(column, BATCH_BYTES):
         part = column.slice(a, b - a).to_pylist()
