@@ -41,6 +41,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of every document under a network trained on the corpus."""
+    from roadflow.llm.lm import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs), ["doc_id"])
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every whole text."""
     from roadflow.llm.tokens import token_counts
