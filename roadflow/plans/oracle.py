@@ -175,7 +175,7 @@ def oracle_sql() -> dict[str, str]:
         "g5_chunk_edges": f"WITH {TRIP} SELECT * FROM arcs",
         "a10_chunk_stats": f"WITH {TRIP}, o AS (SELECT * FROM nodes WHERE id = '{ORIGIN}'), t AS (SELECT * FROM nodes WHERE id = '{TARGET}') SELECT (SELECT count(*) FROM kept) AS nodes, (SELECT count(*) FROM arcs) AS edges, (SELECT count(*) FROM nodes) AS all_nodes, (SELECT count(*) FROM edges) AS all_edges, CAST(floor({_hav('o.lat', 'o.lon', 't.lat', 't.lon')}) AS BIGINT) AS direct_m, round(box.lb - box.la, 6) AS box_height, round(box.ob - box.oa, 6) AS box_width, round((1 - (SELECT count(*) FROM kept) / (SELECT count(*) FROM nodes)) * 100, 6) AS reduction_pct FROM o, t, box",
         "j10_edge_flow": f"WITH {NODES}, {E2}, {_timed(15)} SELECT src, dst, CAST(flow AS BIGINT) AS flow FROM timed",
-        "n7_flow_to_speed": f"SELECT f AS flow, CASE WHEN f <= 1500 THEN CAST({_speed('least(f, 1500)')} AS BIGINT) END AS under, CASE WHEN f <= 1500 THEN CAST(round_even(greatest(0.0, least(60.0, (-{flow.B} + sqrt({flow.B * flow.B}::DOUBLE + {4 * flow.A}::DOUBLE * least(f, 1500))) / {2 * flow.A}::DOUBLE)), 0) AS BIGINT) END AS over FROM range(1601) r(f)",
+        "n7_flow_to_speed": f"SELECT f AS flow, CASE WHEN f <= 1500 THEN CAST({_speed('least(f, 1500)')} AS DOUBLE) END AS under, CASE WHEN f <= 1500 THEN CAST(round_even(greatest(0.0, least(60.0, (-{flow.B} + sqrt({flow.B * flow.B}::DOUBLE + {4 * flow.A}::DOUBLE * least(f, 1500))) / {2 * flow.A}::DOUBLE)), 0) AS DOUBLE) END AS over FROM range(1601) r(f)",
         "n9_edge_time_floor": f"WITH {NODES}, {E2}, {_timed(20)} SELECT src, dst, CAST(floor(cost) AS BIGINT) AS seconds FROM timed",
         "s12_edge_costs_rewritten": f"WITH {NODES}, {E2}, {_timed(15)} SELECT src, dst, CAST(floor(CASE WHEN CAST(src AS BIGINT) % 2 = 0 THEN cost ELSE weight END) AS BIGINT) AS cost FROM timed",
         "j9_cost_override": f"WITH {NODES}, {E2} SELECT src, CAST(sum(CASE WHEN weight < 1000 THEN weight * 2 ELSE weight END) AS BIGINT) AS cost FROM edges GROUP BY ALL",

@@ -397,7 +397,7 @@ def j10_edge_flow(s, d):
 
 def n7_flow_to_speed(s, d):
     f = s.range(0, 1601).select(F.col("id").alias("flow"))
-    return f.select("flow", flow.speed(F.col("flow").cast("double")).cast("long").alias("under"), flow.speed(F.col("flow").cast("double"), True).cast("long").alias("over"))
+    return f.select("flow", flow.speed(F.col("flow").cast("double")).alias("under"), flow.speed(F.col("flow").cast("double"), True).alias("over"))
 
 
 def n9_edge_time_floor(s, d):
