@@ -15,8 +15,8 @@ Documents with equal shingle sets form one class; only classes are compared.
 4. Groups of copies are not expanded into pairs.  In a round each prefix shingle
    compares its classes with one pivot only, the one whose shingles are the most
    common, that is, the one closest to all others.  Classes that are connected
-   already need no comparison, and neither do those whose count of shared shingles
-   is too low for the smallest set in reach.  What is still apart after the rounds is compared in full.
+   already need no comparison, and neither do those with too few shingles left
+   behind the common one for the smallest set in reach.  What is still apart after the rounds is compared in full.
 
 Defined results: a null, empty or blank text has no shingles, links with nothing and is its
 own component; a text of fewer than five words is one shingle; repeated rows are copies of each
@@ -74,7 +74,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     turn = rank // 64  # long words: the powers begin anew, with another factor for each turn
     value = _BYTE[data] * _POWERS[rank % 64]
     if size.max() > 64:
-        value = value * (_mix(turn.astype(_U) + _U(7)) | _U(1))
+        value = np.where(turn > 0, value * (_mix(turn.astype(_U) + _U(7)) | _U(1)), value)
     value[blank] = 0
     return _mix(np.add.reduceat(value, start) + _U(1) * size.astype(_U)), start
 
@@ -183,10 +183,10 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _can_pair(a: str, b: str):
-    """Exact bounds for a pair: sizes within three quarters, and enough shared shingles on either side."""
-    n1, n2, s1, s2 = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}s"), F.col(f"{b}s")
-    most = F.least(s1, s2)
-    return (DEN * n1 >= NUM * n2) & (DEN * n2 >= NUM * n1) & ((NUM + DEN) * most >= NUM * (n1 + n2))
+    """Exact bounds for a pair that meets at its first common shingle: sizes within three quarters, and on either
+    side enough shingles from there on (``m``; those before are not common)."""
+    n1, n2 = F.col(f"{a}n"), F.col(f"{b}n")
+    return (DEN * n1 >= NUM * n2) & (DEN * n2 >= NUM * n1) & ((NUM + DEN) * F.least(f"{a}m", f"{b}m") >= NUM * (n1 + n2))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -203,22 +203,23 @@ def link_classes(sets: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> Dat
     Classes with one label are connected, so rows of a group with one label, and rows without a possible partner in
     their group, are gone for good.
     """
-    rows = sets.select("class", "n", "s", "weight", F.explode("prefix").alias("token"), F.col("class").alias("label"))
+    rows = sets.select("class", "n", "s", "weight", F.posexplode("prefix").alias("at", "token"), F.col("class").alias("label"))
+    rows = rows.select("class", "n", (F.col("s") - F.col("at")).alias("m"), "weight", "token", "label")
     links: list[DataFrame] = []
     for turn in range(rounds + 1):
         now = scratch.save(rows)
         group = now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"))
-        live = now.join(group.where("low <> high"), "token").where((NUM + DEN) * F.col("s") >= NUM * (F.col("n") + F.greatest("least", F.ceil(NUM * F.col("n") / DEN))))
-        live = scratch.save(live.select("token", "class", "n", "s", "weight", "label"))
+        live = now.join(group.where("low <> high"), "token").where((NUM + DEN) * F.col("m") >= NUM * (F.col("n") + F.greatest("least", F.ceil(NUM * F.col("n") / DEN))))
+        live = scratch.save(live.select("token", "class", "n", "m", "weight", "label"))
         scratch.drop(now)
         if turn and not live.limit(1).count():
             break
         if turn < rounds:
-            pivot = live.groupBy("token").agg(F.max(F.struct("weight", F.col("class").alias("a"), F.col("n").alias("an"), F.col("s").alias("as"), F.col("label").alias("of"))).alias("p")).select("token", "p.*")
-            pairs = live.select("token", F.col("class").alias("b"), F.col("n").alias("bn"), F.col("s").alias("bs"), "label").join(pivot.withColumnRenamed("weight", "rank"), "token").where("label <> of").where(_can_pair("a", "b"))
+            pivot = live.groupBy("token").agg(F.max(F.struct("weight", F.col("class").alias("a"), F.col("n").alias("an"), F.col("m").alias("am"), F.col("label").alias("of"))).alias("p")).select("token", "p.*")
+            pairs = live.select("token", F.col("class").alias("b"), F.col("n").alias("bn"), F.col("m").alias("bm"), "label").join(pivot.withColumnRenamed("weight", "rank"), "token").where("label <> of").where(_can_pair("a", "b"))
             pairs = pairs.groupBy("a", "b").agg(F.max(F.struct("rank", "of")).alias("top"))
         else:
-            one = lambda c: live.select("token", *[F.col(x).alias(c + y) for x, y in (("class", ""), ("n", "n"), ("s", "s"), ("label", "label"))])
+            one = lambda c: live.select("token", *[F.col(x).alias(c + y) for x, y in (("class", ""), ("n", "n"), ("m", "m"), ("label", "label"))])
             pairs = one("a").join(one("b"), "token").where("a < b and alabel <> blabel").where(_can_pair("a", "b"))
             pairs = pairs.select("a", "b", F.lit(0).alias("top")).distinct()
         found = scratch.save(_verify(pairs, sets))
