@@ -2,16 +2,18 @@
 
 Prefix doubling over sampled positions.  A rank is a fingerprint, so equal strings have equal ranks;
 the rank of a longer string is the pair of the ranks of its halves, at offsets 1, 2, 4, 8, ... in memory.
-Between documents Spark sorts the ranks in three rounds, and in each the positions whose rank no
+Between documents Spark sorts the ranks in four rounds, and in each the positions whose rank no
 other document has are dropped:
 
 1. *Anchors.*  Of each window of ``threshold`` bytes only the place of the smallest rank of ``GRAM`` bytes
    is kept, a choice that depends on the window's bytes alone; so windows that
    repeat have anchors that repeat.  Neighbouring windows share their anchor: a stretch.
-2. *Stretches* of the anchors left: their rank is the pair of the ranks of their first and last window,
+2. *Anchors with a side.*  A window holds its anchor and half of its other bytes on one side at least; so
+   of the anchors left these longer strings, of either side, are ranked.
+3. *Stretches* of the anchors left: their rank is the pair of the ranks of their first and last window,
    whose offset is less than a window, so the pair stands for all the
    bytes.  A stretch that an earlier document has is removed whole.
-3. *Windows* of stretches that come first, one by one: pairs of ranks at half the threshold.
+4. *Windows* of stretches that come first, one by one: pairs of ranks at half the threshold.
 
 Texts that are equal as a whole count once; later copies are removed whole.  What is repeated inside one
 batch is settled there: a hot rank leaves a batch once, and the settled rows travel
@@ -37,6 +39,8 @@ from roadflow.llm.common import Scratch, add_columns, map_batches
 THRESHOLD = 50
 GRAM = 24
 
+PLACES = "key long, other long, doc long, kind byte"
+
 _U = np.uint64
 
 
@@ -62,24 +66,32 @@ def ranks(data: np.ndarray, size: int) -> np.ndarray:
     return rank
 
 
-def stretches(data: np.ndarray, threshold: int = THRESHOLD, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor rank, first window, number of windows) of each stretch of windows with one anchor rank."""
+def stretches(data: np.ndarray, threshold: int = THRESHOLD, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor rank, anchor place, first window, number of windows) of each stretch of windows with one anchor; of equal ranks in a window the leftmost is its anchor."""
     windows = len(data) - threshold + 1
     if windows < 1:
-        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    low, width, done = ranks(data, gram), threshold - gram + 1, 1
+        return np.zeros(0, _U), *[np.zeros(0, np.int64)] * 3
+    rank = ranks(data, gram)
+    low, at, width, done = rank, np.arange(len(rank)), threshold - gram + 1, 1
     while done < width:
         step = min(done, width - done)
-        low = np.minimum(low[: len(low) - step], low[step:])
+        later = low[step:] < low[:-step]
+        low, at = np.where(later, low[step:], low[:-step]), np.where(later, at[step:], at[:-step])
         done += step
-    first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-    count = np.diff(np.r_[first, windows])
-    parts = -(-count // threshold)  # a stretch of one repeated rank is cut, so that its two ends always cover it
-    if parts.max() > 1:
-        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        left = np.repeat(count, parts) - nth * threshold
-        first, count = np.repeat(first, parts) + nth * threshold, np.minimum(left, threshold)
-    return low[first], first, count
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    return low[first], at[first], first, np.diff(np.r_[first, windows])
+
+
+def sides(data: np.ndarray, place: np.ndarray, threshold: int = THRESHOLD, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of the anchors with half of a window's other bytes on their left, and on their right; 0 where the text ends before."""
+    half = (threshold - gram) // 2
+    rank = ranks(data, gram + half)
+    out = []
+    for start, tag in ((place - half, 1), (place, 2)):
+        inside = (start >= 0) & (start < len(rank))
+        found = _spread(rank[np.clip(start, 0, max(len(rank) - 1, 0))] + _U(tag)) if len(rank) else np.zeros(len(start), _U)
+        out.append(np.where(inside, found, _U(0)))
+    return out[0], out[1]
 
 
 def _bytes(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -93,20 +105,29 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return head
 
 
-def _anchors(batch: pa.RecordBatch, threshold: int, gram: int):
-    """Rows (key, other, doc, kind): 0 an anchor of one text in the batch (other: the text), 1 the first of several, 2 one of several (other: the anchor)."""
+def _places(batch: pa.RecordBatch, threshold: int, gram: int, longer: bool):
+    """Rows (key, other, doc, kind): 0 a rank of one text in the batch (other: the text), 1 the first of several, 2 one of several (other: the rank).
+
+    The ranks are those of all anchors, or, ``longer``, those of both sides of the anchors in the batch's fourth column.
+    """
     import xxhash
 
     docs, column = batch.column(0).to_numpy(), _bytes(batch, "text")
     rank, text, owner = [], [], []
-    firsts: dict[int, int] = {}
+    firsts: set[int] = set()
     for i, value in enumerate(column):
         raw = value.as_buffer()
         key = xxhash.xxh3_64_intdigest(raw)
         if key in firsts:
             continue
-        firsts[key] = i
-        found = np.unique(stretches(np.frombuffer(raw, np.uint8), threshold, gram)[0])
+        firsts.add(key)
+        data = np.frombuffer(raw, np.uint8)
+        found, place, _, _ = stretches(data, threshold, gram)
+        if longer:
+            place = place[np.isin(found, batch.column(3)[i].values.to_numpy().view(_U))]
+            found = np.concatenate(sides(data, place, threshold, gram))
+            found = found[found != 0]
+        found = np.unique(found)
         rank.append(found)
         text.append(np.full(len(found), key, _U))
         owner.append(np.full(len(found), docs[i], np.int64))
@@ -115,6 +136,8 @@ def _anchors(batch: pa.RecordBatch, threshold: int, gram: int):
     rank, text, owner = np.concatenate(rank), np.concatenate(text), np.concatenate(owner)
     by = np.argsort(rank, kind="stable")
     rank, text, owner = rank[by], text[by], owner[by]
+    if not len(rank):
+        return
     head = _runs(rank)
     count = np.diff(np.r_[np.flatnonzero(head), len(rank)])
     several = np.repeat(count > 1, count)
@@ -127,6 +150,14 @@ def _anchors(batch: pa.RecordBatch, threshold: int, gram: int):
     )
 
 
+def _shared(sent: DataFrame) -> DataFrame:
+    """(doc, ranks): for each document its ranks that another text has too."""
+    w = W.partitionBy("key")
+    shared = sent.withColumn("shared", (F.max("kind").over(w) > 0) | (F.min("other").over(w) != F.max("other").over(w))).where("shared")
+    live = shared.select("doc", F.when(F.col("kind") == 2, F.col("other")).otherwise(F.col("key")).alias("rank"))
+    return live.groupBy("doc").agg(F.collect_set("rank").alias("ranks"))
+
+
 def _settle(one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order that sorts by rank and document, rows with an earlier document of the same rank in the batch)."""
     by = np.lexsort((doc, two, one))
@@ -136,15 +167,20 @@ def _settle(one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> tuple[np.ndarr
 
 
 def _live_stretches(batch: pa.RecordBatch, threshold: int, gram: int):
-    """Rows (one, two, doc, version, first, count, settled, content) of the stretches whose anchors are shared."""
+    """Rows (one, two, doc, version, first, count, settled, content) of the stretches whose anchors are shared with a side."""
     docs, versions, column, wanted = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _bytes(batch, "text"), batch.column(3)
     parts = []
     for i, value in enumerate(column):
         raw = value.as_buffer()
         data = np.frombuffer(raw, np.uint8)
-        rank, first, count = stretches(data, threshold, gram)
-        take = np.isin(rank, wanted[i].values.to_numpy().view(_U))
-        first, count = first[take], count[take]
+        _, place, first, count = stretches(data, threshold, gram)
+        live = wanted[i].values.to_numpy().view(_U)
+        left, right = (np.isin(x, live) for x in sides(data, place, threshold, gram))
+        middle = place - (threshold - gram) // 2  # windows up to here hold all of the left side, those from here on all of the right
+        last = np.where(right, first + count - 1, np.minimum(first + count - 1, middle))
+        first = np.where(left, first, np.maximum(first, middle))
+        take = (left | right) & (first <= last)
+        first, count = first[take], (last - first + 1)[take]
         if len(first):
             window = ranks(data, threshold)
             one = window[first]
@@ -229,23 +265,23 @@ def remove_repeats(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_
     first_of = seen.groupBy("same").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n"))
     copied = scratch.save(seen.join(first_of.where("n > 1"), "same").where("_id > first").select("_id", "_version").distinct())
 
-    # round 1: anchors
-    sent = map_batches(long_ones.select(F.col("_id").alias("doc"), F.col("_text").alias("text")), _anchors, "key long, other long, doc long, kind byte", threshold, gram)
-    w = W.partitionBy("key")
-    shared = sent.withColumn("shared", (F.max("kind").over(w) > 0) | (F.min("other").over(w) != F.max("other").over(w))).where("shared")
-    live = shared.select("doc", F.when(F.col("kind") == 2, F.col("other")).otherwise(F.col("key")).alias("anchor"))
-    live = scratch.save(live.groupBy("doc").agg(F.collect_set("anchor").alias("anchors")))
+    # rounds 1 and 2: anchors, and anchors with a side
+    one = long_ones.select(F.col("_id").alias("doc"), F.col("_version").alias("version"), F.col("_text").alias("text"))
+    live = scratch.save(_shared(map_batches(one, lambda b: _places(b, threshold, gram, False), PLACES)))
+    one = one.join(copied.select(F.col("_id").alias("doc"), F.col("_version").alias("version")), ["doc", "version"], "left_anti")
+    work = one.join(live, "doc").select("doc", "version", "text", "ranks")
+    longer = scratch.save(_shared(map_batches(work, lambda b: _places(b, threshold, gram, True), PLACES)))
+    scratch.drop(live)
 
-    # round 2: stretches
-    work = long_ones.select(F.col("_id").alias("doc"), F.col("_version").alias("version"), F.col("_text").alias("text")).join(live, "doc").select("doc", "version", "text", "anchors")
-    work = work.join(copied.select(F.col("_id").alias("doc"), F.col("_version").alias("version")), ["doc", "version"], "left_anti").select("doc", "version", "text", "anchors")
+    # round 3: stretches
+    work = one.join(longer, "doc").select("doc", "version", "text", "ranks")
     found = map_batches(work, _live_stretches, "one long, two long, doc long, version long, first long, count int, settled boolean, content binary", threshold, gram)
     pair = W.partitionBy("one", "two")
     judged = found.withColumn("gone", F.col("settled") | (F.col("doc") > F.min("doc").over(pair)))
     judged = scratch.save(judged.select("doc", "version", "first", "count", "gone", F.when(~F.col("gone"), F.col("content")).alias("content")))
-    scratch.drop(live)
+    scratch.drop(longer)
 
-    # round 3: windows
+    # round 4: windows
     open_ones = judged.where(~F.col("gone")).select("doc", "version", "first", "count", "content")
     windows = map_batches(open_ones, _windows, "one long, two int, doc long, place long, settled boolean", threshold)
     again = windows.withColumn("gone", F.col("settled") | (F.col("doc") > F.min("doc").over(pair))).where("gone").select("doc", "place")

@@ -263,8 +263,9 @@ def test_sniffing(spark):
     from roadflow.llm import media
 
     sound, packed = media.store(b"abc"), gzip.compress(b"hello" * 9)
-    blob = b"BM GIF89a \xff\xd8\xff RIFF" + packed + b"--" + sound + b"tail"
-    assert [(a, n, k) for a, n, k in media.sniff(blob)] == [(21, len(packed), "application/gzip"), (23 + len(packed), len(sound), "audio/wav")]
+    lead = b"BM GIF89a \xff\xd8\xff RIFF"
+    blob = lead + packed + b"--" + sound + b"tail"
+    assert [(a, n, k) for a, n, k in media.sniff(blob)] == [(len(lead), len(packed), "application/gzip"), (len(lead) + len(packed) + 2, len(sound), "audio/wav")]
     df = spark.createDataFrame([(1, bytearray(sound), "image/png"), (2, bytearray(blob), "text/plain"), (3, None, "image/png"), (4, bytearray(b""), "image/png"), (5, bytearray(sound[:-1]), "audio/wav")], "id int, v binary, says string")
     got = {r["id"]: r for r in media.sniff_media(df, ["id"], "v", "says").collect()}
     assert [got[i]["media_type"] for i in (1, 2, 3, 4, 5)] == ["audio/wav", "text/plain", None, media.UNKNOWN, media.UNKNOWN]
