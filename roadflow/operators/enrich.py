@@ -13,7 +13,7 @@ HOLIDAYS = [
     ("01-26", "Australia Day"),
     ("03-10", "Labour Day"),
     ("04-18", "Good Friday"),
-    ("04-19", "Easter Saturday"),
+    ("04-19", "Saturday before Easter Sunday"),
     ("04-20", "Easter Sunday"),
     ("04-21", "Easter Monday"),
     ("04-25", "ANZAC Day"),
