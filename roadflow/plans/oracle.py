@@ -184,6 +184,11 @@ def oracle_sql() -> dict[str, str]:
         "g12_shortest_cost": f"WITH {TRIP}, {_dijkstra()} SELECT id, CAST(cost AS BIGINT) AS cost FROM best",
         "g13_multi_target": f"WITH {TRIP}, {_dijkstra()} SELECT id, CAST(cost AS BIGINT) AS cost FROM best WHERE id IN ('{TARGET}', '30', '1028') ORDER BY cost LIMIT 1",
         "g14_a_star": f"WITH {TRIP}, {_dijkstra()} SELECT id, CAST(cost AS BIGINT) AS cost FROM best WHERE id = '{TARGET}'",
+        "g9_all_pairs": f"""WITH {NODES}, {E2}, {_chunk('edges', '30', '30', 0.0)}, every(src, dst, cost) AS (SELECT * FROM (WITH RECURSIVE d(s, id, cost) USING KEY (s, id) AS (
+    SELECT id, id, CAST(0 AS DOUBLE) FROM kept
+    UNION
+    SELECT d.s, e.dst, min(d.cost + e.weight) FROM d JOIN arcs e ON e.src = d.id LEFT JOIN recurring.d old ON old.s = d.s AND old.id = e.dst GROUP BY d.s, e.dst, old.cost HAVING old.cost IS NULL OR min(d.cost + e.weight) < old.cost
+  ) SELECT * FROM d)) SELECT src, dst, CAST(cost AS BIGINT) AS cost FROM every""",
         "j14_path_length": f"WITH {TRIP}, {BFS}, leg AS (SELECT path[i] AS a, path[i + 1] AS b FROM bfs, range(1, len(path)) r(i) WHERE id = '{TARGET}') SELECT CAST(1 AS BIGINT) AS rank, CAST(floor(sum({dist})) AS BIGINT) AS metres FROM leg JOIN nodes a ON a.id = leg.a JOIN nodes b ON b.id = leg.b",
         "j15_path_cost": f"WITH {NODES}, {E2} SELECT src || '>' || dst AS k, weight * 2 AS cost FROM edges",
         "n22_route_text": f"WITH {NODES}, {E2}, {_timed(15)} SELECT src, dst, CAST(floor(cost) AS BIGINT) // 60 || ' min ' || CAST(floor(cost) AS BIGINT) % 60 || ' sec' AS text FROM timed",
