@@ -114,13 +114,13 @@ def _places(batch: pa.RecordBatch, threshold: int, gram: int, longer: bool):
 
     docs, column = batch.column(0).to_numpy(), _bytes(batch, "text")
     rank, text, owner = [], [], []
-    firsts: set[int] = set()
+    owners: dict[int, int] = {}  # row of each text: of equal texts only the smallest document goes on
     for i, value in enumerate(column):
-        raw = value.as_buffer()
-        key = xxhash.xxh3_64_intdigest(raw)
-        if key in firsts:
-            continue
-        firsts.add(key)
+        key = xxhash.xxh3_64_intdigest(value.as_buffer())
+        if key not in owners or docs[i] < docs[owners[key]]:
+            owners[key] = i
+    for key, i in owners.items():
+        raw = column[i].as_buffer()
         data = np.frombuffer(raw, np.uint8)
         found, place, _, _ = stretches(data, threshold, gram)
         if longer:

@@ -186,6 +186,31 @@ def test_repeats(spark):
         assert r["kept_text"] == kept.decode("utf-8", "ignore")
 
 
+@pytest.mark.parametrize("order", ["descending", "shuffled"])
+def test_repeats_of_copies_in_any_order(spark, order):
+    from roadflow.llm.repeats import remove_repeats
+
+    rng = random.Random(12)
+    passage = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    early, late = passage(80), passage(80)
+    copied = passage(60) + early + passage(60) + late + passage(60)
+    rows = [(1, passage(70) + early + passage(70)), (9, passage(70) + late + passage(70))] + [(d, copied) for d in (5, 7, 150, 151)]
+    rows.sort(key=lambda r: -r[0])
+    if order == "shuffled":
+        rng.shuffle(rows)
+        rows.sort(key=lambda r: r[0] == 5)  # after one of its copies
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in remove_repeats(frame(spark, rows).coalesce(1), ["doc_id"]).collect()}
+    seen = set()
+    for d, t in sorted(rows):
+        mark, windows = np.zeros(len(t), bool), [t[i : i + 50] for i in range(len(t) - 49)]
+        for i, w in enumerate(windows):
+            if w in seen:
+                mark[i : i + 50] = True
+        seen.update(windows)
+        kept = "".join(x for x, m in zip(t, mark) if not m)
+        assert got[d] == (mark.sum(), (np.diff(np.r_[0, mark.astype(int)]) == 1).sum(), hashlib.sha256(kept.encode()).hexdigest())
+
+
 # --- quality ------------------------------------------------------------------------
 
 
