@@ -266,6 +266,23 @@ def test_network_learns_and_normalises(spark):
     assert empty[10_000]["n_words"] == 0 and empty[10_000]["log_likelihood"] == 0
 
 
+def test_network_trains_on_every_word(spark, monkeypatch):
+    import pyarrow as pa
+
+    from roadflow.llm import lm
+
+    texts = ["one two", "", None, "three", " ".join(f"w{i}" for i in range(1000)), "four five six"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    network = lm.Network(*lm.classes_of(np.ones(lm.BUCKETS, np.int64)))
+    seen = []
+    monkeypatch.setattr(lm.Network, "step", lambda self, context, target: seen.append(np.c_[context, target]))
+    told = [r["seen"] for turn in range(lm.ROUNDS) for b in lm._train(batch, "text", network, turn) for r in b.to_pylist()[:1]]
+    bucket, count = next(lm._parts(batch, "text"))
+    want = np.c_[lm._contexts(bucket, count), bucket]
+    assert sum(told) == len(bucket) == 1006
+    assert sorted(np.concatenate(seen).tolist()) == sorted(want.tolist())
+
+
 # --- media -----------------------------------------------------------------------------------
 
 
