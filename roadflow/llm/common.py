@@ -87,6 +87,12 @@ def add_columns(df: DataFrame, fn: Callable[..., list], fields: str, keep: list[
     return df.mapInArrow(run, schema)
 
 
+def kept_names(keep: list[str], fields: str) -> list[str]:
+    """The names under which the columns ``keep`` are returned: one that an output column has becomes ``kept_<name>``."""
+    taken = set(T._parse_datatype_string(fields).names)
+    return [f"kept_{c}" if c in taken else c for c in keep]
+
+
 def by_bytes(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` text bytes each (one row at least)."""
     start = size = 0

@@ -1,32 +1,30 @@
 """Repeated passages: byte strings of a threshold length that also start in an earlier document.
 
-Prefix doubling over sampled positions.  A rank is a fingerprint, so equal strings have equal ranks;
-the rank of a longer string is the pair of the ranks of its halves, at offsets 1, 2, 4, 8, ... in memory.
-Between documents Spark sorts the ranks in four rounds, and in each the positions whose rank no
-other document has are dropped:
-
-1. *Anchors.*  Of each window of ``threshold`` bytes only the place of the smallest rank of ``GRAM`` bytes
-   is kept, a choice that depends on the window's bytes alone; so windows that
-   repeat have anchors that repeat.  Neighbouring windows share their anchor: a stretch.
-2. *Anchors with a side.*  A window holds its anchor and half of its other bytes on one side at least; so
-   of the anchors left these longer strings, of either side, are ranked.
-3. *Stretches* of the anchors left: their rank is the pair of the ranks of their first and last window,
-   whose offset is less than a window, so the pair stands for all the
-   bytes.  A stretch that an earlier document has is removed whole.
-4. *Windows* of stretches that come first, one by one: pairs of ranks at half the threshold.
-
-Texts that are equal as a whole count once; later copies are removed whole.  What is repeated inside one
-batch is settled there: a hot rank leaves a batch once, and the settled rows travel
-under keys of their own.
+Distributed prefix doubling over sampled positions.  Strings of ``GRAM`` bytes are ranked where they
+lie (equal strings, equal ranks); from there on Spark sorts pairs of a position's rank and the rank of what
+lies at an offset, each round over longer strings, and after each round positions are dropped:
+
+1. *Length ``GRAM``.*  Of each window of ``threshold`` bytes only the place of the smallest rank, its anchor, stands for it, a
+   choice that depends on the window's bytes alone; so windows that repeat have anchors that
+   repeat.  Spark sorts the ranks; those that a single text has are unique and gone.
+2. *Whole stretches.*  Neighbouring windows with one anchor are a stretch.  Spark sorts the pairs (rank of the
+   anchor, rank of the bytes around it).  A stretch that an earlier document has is removed whole, and a rank
+   that is left with one stretch or one document is settled: its first document keeps it, nobody else is open.
+3. *Length ``threshold``.*  What is open goes past the threshold window by window: pairs of two ranks of 64 and 31 bits.
+
+A stretch that occurs several times in a document is one row with several places.  Texts that are equal
+as a whole count once; later copies are removed whole.  What is repeated inside one part of a
+batch is settled there: a hot rank leaves a part once, and the settled rows travel under keys of their own.
 
 Defined results: null texts are empty; a text shorter than the threshold keeps all; rows without an
 id are kept whole and are no source; rows that repeat an id are not earlier than each other;
-an empty table gives an empty table.
+an empty table gives an empty table; a kept column that is named like an output is returned as ``kept_<name>``.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +32,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roadflow.llm.common import Scratch, add_columns, map_batches
+from roadflow.llm.common import Scratch, add_columns, by_bytes, kept_names, map_batches
 
 THRESHOLD = 50
 GRAM = 24
+#: Window starts that are looked at together, so that the arrays stay in the processor's cache.
+BLOCK = 1 << 16
+#: Text bytes in which repeats are settled before anything is sent.
+PART_BYTES = 16 << 20
+#: Rows in a batch that leaves a function.
+SEND = 100_000
 
 PLACES = "key long, other long, doc long, kind byte"
+STRETCHES = "rank long, around long, doc long, version long, count int, settled boolean, firsts array<long>, content binary"
+WINDOWS = "one long, two int, doc long, place long, more array<long>, settled boolean"
 
 _U = np.uint64
+_PLACE_BITS = _U((1 << 18) - 1)
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -50,48 +57,75 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(29))
 
 
-_BYTE = _spread(_spread(np.arange(1, 257, dtype=_U) * _U(0xA24BAED4963EE407)))
-
-
-def ranks(data: np.ndarray, size: int) -> np.ndarray:
-    """Rank of the string of ``size`` bytes at each position: pairs of ranks at doubling offsets, the last pair overlapping."""
-    rank, done = _BYTE[data], 1
-    if len(data) < size:
-        return np.zeros(0, _U)
-    while done < size:
-        step = min(done, size - done)
-        n = len(data) - done - step + 1
-        rank = _spread(rank[:n] * _U(0x9FB21C651E98DF25) + rank[step : step + n] * _U(2 * done + 1))
-        done += step
-    return rank
-
-
-def stretches(data: np.ndarray, threshold: int = THRESHOLD, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor rank, anchor place, first window, number of windows) of each stretch of windows with one anchor; of equal ranks in a window the leftmost is its anchor."""
-    windows = len(data) - threshold + 1
-    if windows < 1:
-        return np.zeros(0, _U), *[np.zeros(0, np.int64)] * 3
-    rank = ranks(data, gram)
-    low, at, width, done = rank, np.arange(len(rank)), threshold - gram + 1, 1
-    while done < width:
-        step = min(done, width - done)
-        later = low[step:] < low[:-step]
-        low, at = np.where(later, low[step:], low[:-step]), np.where(later, at[step:], at[:-step])
-        done += step
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return low[first], at[first], first, np.diff(np.r_[first, windows])
-
-
-def sides(data: np.ndarray, place: np.ndarray, threshold: int = THRESHOLD, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Ranks of the anchors with half of a window's other bytes on their left, and on their right; 0 where the text ends before."""
-    half = (threshold - gram) // 2
-    rank = ranks(data, gram + half)
-    out = []
-    for start, tag in ((place - half, 1), (place, 2)):
-        inside = (start >= 0) & (start < len(rank))
-        found = _spread(rank[np.clip(start, 0, max(len(rank) - 1, 0))] + _U(tag)) if len(rank) else np.zeros(len(start), _U)
-        out.append(np.where(inside, found, _U(0)))
-    return out[0], out[1]
+class Ranks:
+    """Ranks of strings in a block of bytes: sums of byte values times powers of an odd base, from running sums."""
+
+    _tables: dict[int, tuple] = {}
+
+    def __init__(self, data: np.ndarray, base: int):
+        values, powers, self._back = self._table(base, len(data))
+        self._run = np.empty(len(data) + 1, _U)
+        self._run[0] = 0
+        np.cumsum(values[data] * powers[: len(data)], out=self._run[1:])
+
+    @classmethod
+    def _table(cls, base: int, size: int) -> tuple:
+        found = cls._tables.get(base)
+        if found is None or len(found[1]) < size:
+            n = max(size, BLOCK + 256)
+            values = _spread(_spread(np.arange(1, 257, dtype=_U) * _U(base)) + _U(base >> 7))
+            up = np.cumprod(np.r_[_U(1), np.full(n - 1, base, _U)], dtype=_U)
+            back = np.cumprod(np.r_[_U(1), np.full(n - 1, pow(base, -1, 1 << 64), _U)], dtype=_U)
+            found = cls._tables[base] = (values, up, back)
+        return found
+
+    def all(self, size: int) -> np.ndarray:
+        """The rank of the string of ``size`` bytes at each place."""
+        n = max(0, len(self._run) - size)
+        return _spread((self._run[size:] - self._run[:n]) * self._back[:n])
+
+    def at(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return _spread((self._run[start + size] - self._run[start]) * self._back[start] + size.astype(_U))
+
+
+FIRST, SECOND = 0xA24BAED4963EE407, 0x9FB21C651E98DF25
+
+
+def stretches(data: np.ndarray, ends: np.ndarray, threshold: int = THRESHOLD, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
+    """(rank, rank of all bytes, text, place of the first window, number of windows) of the stretches of joined texts, block by block.
+
+    ``ends``: where each text ends.  No window reaches into the next text; of equal ranks in a window the leftmost is its anchor.
+    A stretch that a block's end cuts is two.
+    """
+    for a in range(0, len(data) - threshold + 1, BLOCK):
+        block = data[a : a + BLOCK + threshold - 1]
+        windows = len(block) - threshold + 1
+        ranks = Ranks(block, FIRST)
+        rank = ranks.all(gram)
+        low, width, done = (rank & ~_PLACE_BITS) | np.arange(len(rank), dtype=_U), threshold - gram + 1, 1
+        while done < width:
+            step = min(done, width - done)
+            low = np.minimum(low[step:], low[:-step])
+            done += step
+        inside = ends[np.searchsorted(ends, a, side="right") : np.searchsorted(ends, a + len(block), side="left")] - a
+        edge = np.zeros(windows + 1, np.int32)  # windows that reach over the end of their text
+        np.add.at(edge, np.clip(inside - threshold + 1, 0, windows), 1)
+        np.add.at(edge, np.clip(inside, 0, windows), -1)
+        bad = np.cumsum(edge[:-1]) > 0
+        head = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (bad[1:] != bad[:-1])])
+        count = np.diff(np.r_[head, windows])
+        good = ~bad[head]
+        head, count = head[good], count[good]
+        if len(head):
+            place = (low[head] & _PLACE_BITS).astype(np.int64)
+            around = Ranks(block, SECOND).at(head, count + threshold - 1) + _U(threshold) * (place - head).astype(_U)
+            yield rank[place], around, np.searchsorted(ends, a + head, side="right"), a + head, count
+
+
+def _join(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts, where each ends)."""
+    parts = [np.frombuffer(v.as_buffer(), np.uint8) for v in column]
+    return np.concatenate(parts), np.cumsum([len(p) for p in parts])
 
 
 def _bytes(batch: pa.RecordBatch, name: str) -> pa.Array:
@@ -105,124 +139,132 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return head
 
 
-def _places(batch: pa.RecordBatch, threshold: int, gram: int, longer: bool):
-    """Rows (key, other, doc, kind): 0 a rank of one text in the batch (other: the text), 1 the first of several, 2 one of several (other: the rank).
+def _lists(values: np.ndarray, size: np.ndarray, null_empty: bool = False) -> pa.Array:
+    """Lists of the given sizes over consecutive values."""
+    ends = np.r_[0, np.cumsum(size)].astype(np.int32)
+    mask = pa.array(size == 0) if null_empty else None
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int64)), mask=mask)
 
-    The ranks are those of all anchors, or, ``longer``, those of both sides of the anchors in the batch's fourth column.
-    """
+
+def _slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in ``data`` of the given slices, one after the other; where each begins)."""
+    begin = np.cumsum(size) - size
+    return np.arange(int(size.sum())) - np.repeat(begin - start, size), begin
+
+
+def _places(batch: pa.RecordBatch, threshold: int, gram: int):
+    """Rows (key, other, doc, kind): 0 a rank of one text in the part (other: the text), 1 the first of several, 2 one of several (other: the rank)."""
     import xxhash
 
     docs, column = batch.column(0).to_numpy(), _bytes(batch, "text")
-    rank, text, owner = [], [], []
-    owners: dict[int, int] = {}  # row of each text: of equal texts only the smallest document goes on
-    for i, value in enumerate(column):
-        key = xxhash.xxh3_64_intdigest(value.as_buffer())
-        if key not in owners or docs[i] < docs[owners[key]]:
-            owners[key] = i
-    for key, i in owners.items():
-        raw = column[i].as_buffer()
-        data = np.frombuffer(raw, np.uint8)
-        found, place, _, _ = stretches(data, threshold, gram)
-        if longer:
-            place = place[np.isin(found, batch.column(3)[i].values.to_numpy().view(_U))]
-            found = np.concatenate(sides(data, place, threshold, gram))
-            found = found[found != 0]
-        found = np.unique(found)
-        rank.append(found)
-        text.append(np.full(len(found), key, _U))
-        owner.append(np.full(len(found), docs[i], np.int64))
-    if not rank:
-        return
-    rank, text, owner = np.concatenate(rank), np.concatenate(text), np.concatenate(owner)
-    by = np.argsort(rank, kind="stable")
-    rank, text, owner = rank[by], text[by], owner[by]
-    if not len(rank):
-        return
-    head = _runs(rank)
-    count = np.diff(np.r_[np.flatnonzero(head), len(rank)])
-    several = np.repeat(count > 1, count)
-    kind = np.where(several, np.where(head, 1, 2), 0)
-    settled = kind == 2
-    key = np.where(settled, _spread(rank + text * _U(3)), rank)
-    other = np.where(settled, rank, text)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(key.view(np.int64)), pa.array(other.view(np.int64)), pa.array(owner), pa.array(kind.astype(np.int8))], ["key", "other", "doc", "kind"]
-    )
+    for a, b in by_bytes(column, PART_BYTES):
+        owners: dict[int, int] = {}  # row of each text: of equal texts only the smallest document goes on
+        for i in range(a, b):
+            key = xxhash.xxh3_64_intdigest(column[i].as_buffer())
+            if key not in owners or docs[i] < docs[owners[key]]:
+                owners[key] = i
+        rows, keys = np.fromiter(owners.values(), np.int64), np.fromiter(owners, _U)
+        data, ends = _join(column.take(pa.array(rows)))
+        found = [(rank, text) for rank, _, text, _, _ in stretches(data, ends, threshold, gram)]
+        if not found:
+            continue
+        rank, text = (np.concatenate(x) for x in zip(*found))
+        by = np.lexsort((text, rank))
+        rank, text = rank[by], text[by]
+        once = _runs(rank, text)
+        rank, text = rank[once], text[once]
+        head = _runs(rank)
+        count = np.diff(np.r_[np.flatnonzero(head), len(rank)])
+        several = np.repeat(count > 1, count)
+        # the first of several goes twice: as the rank's only row, and with the others under a key of its own
+        send = np.r_[np.flatnonzero(head), np.flatnonzero(several)]
+        kind = np.r_[several[head].astype(np.int8), np.full(int(several.sum()), 2, np.int8)]
+        rank, text = rank[send], keys[text[send]]
+        doc = docs[rows][np.concatenate([x[1] for x in found])[by][once][send]]
+        settled = kind == 2
+        key = np.where(settled, _spread(rank + text * _U(3)), rank)
+        other = np.where(settled, rank, text)
+        for c in range(0, len(key), SEND):
+            d = c + SEND
+            yield pa.RecordBatch.from_arrays([pa.array(key[c:d].view(np.int64)), pa.array(other[c:d].view(np.int64)), pa.array(doc[c:d]), pa.array(kind[c:d])], ["key", "other", "doc", "kind"])
 
 
 def _shared(sent: DataFrame) -> DataFrame:
     """(doc, ranks): for each document its ranks that another text has too."""
     w = W.partitionBy("key")
-    shared = sent.withColumn("shared", (F.max("kind").over(w) > 0) | (F.min("other").over(w) != F.max("other").over(w))).where("shared")
+    shared = sent.withColumn("shared", (F.max("kind").over(w) > 0) | (F.min("other").over(w) != F.max("other").over(w))).where("shared and kind <> 1")
     live = shared.select("doc", F.when(F.col("kind") == 2, F.col("other")).otherwise(F.col("key")).alias("rank"))
-    return live.groupBy("doc").agg(F.collect_set("rank").alias("ranks"))
-
-
-def _settle(one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order that sorts by rank and document, rows with an earlier document of the same rank in the batch)."""
-    by = np.lexsort((doc, two, one))
-    head = np.flatnonzero(_runs(one[by], two[by])) if len(by) else np.zeros(0, int)
-    least = np.repeat(doc[by][head], np.diff(np.r_[head, len(by)]))
-    return by, doc[by] > least
+    return live.groupBy("doc").agg(F.collect_list("rank").alias("ranks"))
 
 
 def _live_stretches(batch: pa.RecordBatch, threshold: int, gram: int):
-    """Rows (one, two, doc, version, first, count, settled, content) of the stretches whose anchors are shared with a side."""
+    """One row for each live stretch of a document in a part of the batch, with all its places there."""
     docs, versions, column, wanted = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _bytes(batch, "text"), batch.column(3)
-    parts = []
-    for i, value in enumerate(column):
-        raw = value.as_buffer()
-        data = np.frombuffer(raw, np.uint8)
-        _, place, first, count = stretches(data, threshold, gram)
-        live = wanted[i].values.to_numpy().view(_U)
-        left, right = (np.isin(x, live) for x in sides(data, place, threshold, gram))
-        middle = place - (threshold - gram) // 2  # windows up to here hold all of the left side, those from here on all of the right
-        last = np.where(right, first + count - 1, np.minimum(first + count - 1, middle))
-        first = np.where(left, first, np.maximum(first, middle))
-        take = (left | right) & (first <= last)
-        first, count = first[take], (last - first + 1)[take]
-        if len(first):
-            window = ranks(data, threshold)
-            one = window[first]
-            two = _spread(window[first + count - 1] + count.astype(_U))
-            parts.append((one, two, np.full(len(first), docs[i]), np.full(len(first), versions[i]), first, count, np.full(len(first), i)))
-    if not parts:
-        return
-    one, two, doc, version, first, count, row = (np.concatenate(x) for x in zip(*parts))
-    by, settled = _settle(one, two, doc)
-    one, two, doc, version, first, count, row = (x[by] for x in (one, two, doc, version, first, count, row))
-    raws = {i: column[i].as_py() for i in np.unique(row[~settled]).tolist()}
-    content = [None if s else raws[r][f : f + c + threshold - 1] for s, r, f, c in zip(settled.tolist(), row.tolist(), first.tolist(), count.tolist())]
-    one = np.where(settled, _spread(one + doc.view(_U) + _U(11) * first.astype(_U)), one)
-    for a in range(0, len(one), 20_000):
-        b = a + 20_000
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x[a:b]) for x in (one.view(np.int64), two.view(np.int64), doc, version, first.astype(np.int64), count.astype(np.int32), settled)] + [pa.array(content[a:b], pa.binary())],
-            ["one", "two", "doc", "version", "first", "count", "settled", "content"],
-        )
+    for a, b in by_bytes(column, PART_BYTES):
+        data, ends = _join(column.slice(a, b - a))
+        live = np.unique(wanted.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)).view(_U)
+        parts = []
+        for part in stretches(data, ends, threshold, gram):
+            take = np.isin(part[0], live)
+            if take.any():
+                parts.append([x[take] for x in part])
+        if not parts:
+            continue
+        rank, around, text, first, count = (np.concatenate(x) for x in zip(*parts))
+        doc = docs[a + text]
+        by = np.lexsort((first, text, doc, around, rank))
+        rank, around, text, first, count, doc = (x[by] for x in (rank, around, text, first, count, doc))
+        group = np.flatnonzero(_runs(rank, around))
+        least = np.repeat(doc[group], np.diff(np.r_[group, len(rank)]))
+        row = np.flatnonzero(_runs(rank, around, text))
+        places = _lists(first - (ends[text] - np.diff(np.r_[0, ends])[text]), np.diff(np.r_[row, len(rank)]))
+        rank, around, text, first, count, doc, settled = (x[row] for x in (rank, around, text, first, count, doc, doc > least))
+        size = np.where(settled, 0, count + threshold - 1)
+        key = np.where(settled, _spread(rank + doc.view(_U) + _U(11) * around), rank)
+        for c in range(0, len(rank), 20_000):
+            s = slice(c, c + 20_000)
+            at, begin = _slices(data, first[s], size[s])
+            content = pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(np.r_[begin, len(at)].astype(np.int32)), pa.py_buffer(data[at])])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[s].view(np.int64)), pa.array(around[s].view(np.int64)), pa.array(doc[s]), pa.array(versions[a + text[s]]), pa.array(count[s].astype(np.int32)), pa.array(settled[s]), places.slice(c, len(begin)), content],
+                ["rank", "around", "doc", "version", "count", "settled", "firsts", "content"],
+            )
 
 
 def _windows(batch: pa.RecordBatch, threshold: int):
-    """Rows (one, two, doc, place, settled): each window of the stretches that come first; place holds 24 bits of the version above the position."""
-    half = threshold // 2
-    doc, version, first, count = (batch.column(i).to_numpy() for i in range(4))
-    content = b"".join(batch.column(4).to_pylist())
-    data = np.frombuffer(content, np.uint8)
-    rank = ranks(data, half)
+    """One row for each window of the open stretches; place and more hold 24 bits of the version above the position."""
+    doc, version, count = (batch.column(i).to_numpy() for i in range(3))
+    firsts, column = batch.column(3), batch.column(4)
+    data = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
     sizes = count.astype(np.int64) + threshold - 1
-    start = np.cumsum(sizes) - sizes
+    at, _ = _slices(data, np.cumsum(sizes) - sizes, count.astype(np.int64))
     row = np.repeat(np.arange(len(doc)), count)
     nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    at = start[row] + nth
-    one = rank[at]
-    two = _spread(rank[at + threshold - half] * _U(5) + (one >> _U(7)))
+    one, two = np.empty(len(at), _U), np.empty(len(at), _U)
+    for a in range(0, len(data) - threshold + 1, BLOCK):
+        block = data[a : a + BLOCK + threshold - 1]
+        i, j = np.searchsorted(at, (a, a + BLOCK))
+        one[i:j] = Ranks(block, FIRST).all(threshold)[at[i:j] - a]
+        two[i:j] = Ranks(block, SECOND).all(threshold)[at[i:j] - a]
+    two &= _U(0x7FFFFFFF)
+    all_firsts, starts = firsts.flatten().to_numpy(), firsts.offsets.to_numpy() - firsts.offsets[0].as_py()
+    mark = (version & 0xFFFFFF) << 32
+    place = mark[row] + all_firsts[starts[:-1]][row] + nth
+    by = np.lexsort((doc[row], two, one))
+    one, two, place, row, nth = (x[by] for x in (one, two, place, row, nth))
     own = doc[row]
-    place = ((version[row] & 0xFFFFFF) << 32) | (first[row] + nth)
-    two = (two & _U(0x7FFFFFFF)).astype(np.int64)
-    by, settled = _settle(one, two, own)
-    one, two, own, place = one[by], two[by], own[by], place[by]
+    group = np.flatnonzero(_runs(one, two))
+    settled = own > np.repeat(own[group], np.diff(np.r_[group, len(one)]))
+    others = (np.diff(starts) - 1)[row]
     key = np.where(settled, _spread(one + place.view(_U) + own.view(_U) * _U(13)), one)
-    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(two.astype(np.int32)), pa.array(own), pa.array(place), pa.array(settled)], ["one", "two", "doc", "place", "settled"])
+    for c in range(0, len(key), SEND):
+        s = slice(c, c + SEND)
+        which, _ = _slices(all_firsts, starts[:-1][row[s]] + 1, others[s])
+        more = all_firsts[which] + np.repeat(mark[row[s]] + nth[s], others[s])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key[s].view(np.int64)), pa.array(two[s].astype(np.int32)), pa.array(own[s]), pa.array(place[s]), _lists(more, others[s], True), pa.array(settled[s])],
+            ["one", "two", "doc", "place", "more", "settled"],
+        )
 
 
 def covered(n: int, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -255,6 +297,7 @@ def _cut(batch: pa.RecordBatch, with_text: bool) -> list[pa.Array]:
 def remove_repeats(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """The columns ``keep`` of every document with n_bytes, n_removed, n_spans, kept_sha256 (and kept_text: what is left, cut characters dropped)."""
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "repeats")
+    fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     mine = [f"_{i}" for i in range(len(keep))]
     plain = df.select(*[F.col(c).alias(m) for c, m in zip(keep, mine)], F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     plain = plain.withColumn("_version", F.xxhash64("_text"))
@@ -264,38 +307,39 @@ def remove_repeats(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_
     seen = scratch.save(long_ones.select("_id", "_version", F.md5(F.col("_text").cast("binary")).alias("same")))
     first_of = seen.groupBy("same").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n"))
     copied = scratch.save(seen.join(first_of.where("n > 1"), "same").where("_id > first").select("_id", "_version").distinct())
+    scratch.drop(seen)
 
-    # rounds 1 and 2: anchors, and anchors with a side
+    # round 1: anchors
     one = long_ones.select(F.col("_id").alias("doc"), F.col("_version").alias("version"), F.col("_text").alias("text"))
-    live = scratch.save(_shared(map_batches(one, lambda b: _places(b, threshold, gram, False), PLACES)))
-    one = one.join(copied.select(F.col("_id").alias("doc"), F.col("_version").alias("version")), ["doc", "version"], "left_anti")
-    work = one.join(live, "doc").select("doc", "version", "text", "ranks")
-    longer = scratch.save(_shared(map_batches(work, lambda b: _places(b, threshold, gram, True), PLACES)))
+    live = _shared(map_batches(one, lambda b: _places(b, threshold, gram), PLACES))
+    done = copied.groupBy(F.col("_id").alias("doc")).agg(F.collect_set("_version").alias("done"))
+    live = scratch.save(live.join(done, "doc", "left"))
+
+    # round 2: stretches
+    work = one.join(live, "doc").where("done is null or not array_contains(done, version)").select("doc", "version", "text", "ranks")
+    found = map_batches(work, _live_stretches, STRETCHES, threshold, gram)
+    judged = found.withColumn("gone", F.col("settled") | (F.col("doc") > F.min("doc").over(W.partitionBy("rank", "around"))))
+    judged = scratch.save(judged.select("rank", "around", "doc", "version", "count", "firsts", "gone", F.when(~F.col("gone"), F.col("content")).alias("content")))
     scratch.drop(live)
 
-    # round 3: stretches
-    work = one.join(longer, "doc").select("doc", "version", "text", "ranks")
-    found = map_batches(work, _live_stretches, "one long, two long, doc long, version long, first long, count int, settled boolean, content binary", threshold, gram)
-    pair = W.partitionBy("one", "two")
-    judged = found.withColumn("gone", F.col("settled") | (F.col("doc") > F.min("doc").over(pair)))
-    judged = scratch.save(judged.select("doc", "version", "first", "count", "gone", F.when(~F.col("gone"), F.col("content")).alias("content")))
-    scratch.drop(longer)
-
-    # round 4: windows
-    open_ones = judged.where(~F.col("gone")).select("doc", "version", "first", "count", "content")
-    windows = map_batches(open_ones, _windows, "one long, two int, doc long, place long, settled boolean", threshold)
-    again = windows.withColumn("gone", F.col("settled") | (F.col("doc") > F.min("doc").over(pair))).where("gone").select("doc", "place")
+    # round 3: windows of the ranks that are still open
+    left = judged.where(~F.col("gone"))
+    several = left.groupBy("rank").agg(F.min("around").alias("a"), F.max("around").alias("b"), F.min("doc").alias("c"), F.max("doc").alias("d")).where("a <> b and c <> d")
+    open_ones = left.join(several.select("rank"), "rank", "left_semi").select("doc", "version", "count", "firsts", "content")
+    windows = map_batches(open_ones, _windows, WINDOWS, threshold)
+    again = windows.withColumn("gone", F.col("settled") | (F.col("doc") > F.min("doc").over(W.partitionBy("one", "two")))).where("gone").select("doc", "place", "more")
     again = scratch.save(again)
 
     # spans of each document
     bits = F.lit(0xFFFFFF)
-    spans = judged.where("gone").select("doc", F.col("version").bitwiseAND(bits).alias("v"), "first", (F.col("count") + threshold - 1).cast("long").alias("size"))
-    spans = spans.unionByName(again.select("doc", F.shiftright("place", 32).alias("v"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("first"), F.lit(threshold).cast("long").alias("size")))
+    spans = judged.where("gone").select("doc", F.col("version").bitwiseAND(bits).alias("v"), F.explode("firsts").alias("first"), (F.col("count") + threshold - 1).cast("long").alias("size"))
+    placed = again.select("doc", "place").unionByName(again.where("more is not null").select("doc", F.explode("more").alias("place")))
+    spans = spans.unionByName(placed.select("doc", F.shiftright("place", 32).alias("v"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("first"), F.lit(threshold).cast("long").alias("size")))
     spans = spans.groupBy(F.col("doc").alias("_id"), "v").agg(F.collect_list(F.struct("first", "size")).alias("s"))
-    spans = scratch.save(spans.select("_id", "v", F.col("s.first").alias("_first"), F.col("s.size").alias("_size")))
-    scratch.drop(judged, again)
-    out = plain.withColumn("v", F.col("_version").bitwiseAND(bits)).join(spans, ["_id", "v"], "left")
-    out = out.join(copied.withColumn("_copied", F.lit(True)), ["_id", "_version"], "left").withColumn("_copied", F.coalesce("_copied", F.lit(False)))
-    fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    whole = copied.select("_id", F.col("_version").bitwiseAND(bits).alias("v"), F.lit(True).alias("_copied"))
+    spans = spans.join(whole, ["_id", "v"], "full").select("_id", "v", F.col("s.first").alias("_first"), F.col("s.size").alias("_size"), F.coalesce("_copied", F.lit(False)).alias("_copied"))
+    spans = scratch.save(spans)
+    scratch.drop(judged, again, copied)
+    out = plain.withColumn("v", F.col("_version").bitwiseAND(bits)).join(spans, ["_id", "v"], "left").withColumn("_copied", F.coalesce("_copied", F.lit(False)))
     done = add_columns(out, _cut, fields, mine, with_text)
-    return done.select(*[F.col(m).alias(c) for m, c in zip(mine, keep)], *done.columns[len(mine) :])
+    return done.select(*[F.col(m).alias(c) for m, c in zip(mine, kept_names(keep, fields))], *done.columns[len(mine) :])

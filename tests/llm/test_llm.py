@@ -169,7 +169,8 @@ def test_repeats(spark):
     rng = random.Random(9)
     shared = "".join(rng.choice("abcdef ") for _ in range(170))
     made = [(20_000 + i, "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 90))) + shared[rng.randint(0, 60) : rng.randint(100, 170)] + "é" * rng.randint(0, 70)) for i in range(30)]
-    rows = documents(spark, 80) + made + [(30_000, made[3][1]), (30_001, "ab" * 400), (30_002, "ab" * 30)]
+    rows = documents(spark) + made + [(30_000, made[3][1]), (30_001, "ab" * 400), (30_002, "ab" * 30)]
+    rows += [(30_003, (shared + "0") * 40), (30_004, "x" + shared[:49] + "y" + shared[:50]), (30_005, "é" * 70_000 + shared)]
     got = {r["doc_id"]: r for r in remove_repeats(frame(spark, rows), ["doc_id"], with_text=True).collect()}
     seen = set()
     for d, t in sorted(rows, key=lambda r: r[0]):
@@ -186,6 +187,16 @@ def test_repeats(spark):
         assert r["kept_text"] == kept.decode("utf-8", "ignore")
 
 
+def test_repeats_of_no_rows_and_of_clashing_names(spark):
+    from roadflow.llm.repeats import remove_repeats
+
+    assert remove_repeats(frame(spark, []), ["doc_id"]).collect() == []
+    rows = [(2, "a long sentence that is repeated in another document " * 2, 7), (None, "a long sentence that is repeated in another document " * 2, 8), (1, "so: a long sentence that is repeated in another document ", 9)]
+    found = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, n_bytes int"), ["doc_id", "n_bytes"])
+    assert found.columns == ["doc_id", "kept_n_bytes", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert sorted((r["kept_n_bytes"], r["n_removed"]) for r in found.collect()) == [(7, 106), (8, 0), (9, 0)]
+
+
 @pytest.mark.parametrize("order", ["descending", "shuffled"])
 def test_repeats_of_copies_in_any_order(spark, order):
     from roadflow.llm.repeats import remove_repeats
