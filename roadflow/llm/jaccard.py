@@ -13,14 +13,18 @@ Documents with equal shingle sets form one class; only classes are compared.
 3. *Candidates* share a shingle in their prefixes under the second order (rare first), and must share one under the third and the
    fourth order (two independent hashes) too, before the sets are intersected.
 4. Groups of copies are not expanded into pairs.  In a round each prefix shingle
-   compares its classes with one pivot only, the one whose shingles are the most
-   common, that is, the one closest to all others.  Classes that are connected
+   compares its classes with a few pivots only, those whose shingles are the most
+   common, that is, the ones closest to all others: one in the first rounds, then 16, 64, ...
+   Classes that are connected
    already need no comparison, and neither do those with too few shingles left
-   behind the common one for the smallest set in reach.  What is still apart after the rounds is compared in full.
+   behind the common one for the smallest set in reach.  A pivot has met its whole group and leaves it, so the
+   rounds end; only links that connect something are looked for, not all links of a component.
 
 Defined results: a null, empty or blank text has no shingles, links with nothing and is its
 own component; a text of fewer than five words is one shingle; repeated rows are copies of each
-other; an empty table gives an empty table.
+other; rows that repeat an id with another text are documents of their own that share the id; rows without an id link
+like others, but give no class or component its id (null where a component has no other); an empty table gives an empty
+table; a kept column that is named like an output is returned as ``kept_<name>``.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from roadflow.llm.common import Scratch, add_columns, by_bytes, map_batches
+from roadflow.llm.common import Scratch, add_columns, by_bytes, kept_names, map_batches
 
 WORDS = 5
 #: Similarity as a fraction: 75 / 100.
@@ -39,7 +43,8 @@ NUM, DEN = 3, 4
 BATCH_BYTES = 1 << 20
 #: Rows up to which a table of classes is broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-ROUNDS = 2
+#: Pivots of a group in each round; the last number grows fourfold from round to round.
+PIVOTS = (1, 1, 16)
 
 _U = np.uint64
 
@@ -62,9 +67,9 @@ _POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15 | 1, _U), dtype=_U)
 _PLACE = _mix(np.arange(101, 101 + 64, dtype=_U)) | _U(1)
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, where it starts) in lower-cased bytes; words are runs without blanks."""
-    blank = _BLANK[data]
+def word_hashes(data: np.ndarray, gap: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, where it starts) in lower-cased bytes; words are runs without the bytes that ``gap`` marks."""
+    blank = gap[data]
     edge = np.diff(np.r_[True, blank, True].astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(start):
@@ -159,7 +164,7 @@ def _full_sets(batch: pa.RecordBatch, text: str) -> list[pa.Array]:
     found = list(_sets(batch, text))
     ends = np.cumsum([0] + [len(s) for s in found]).astype(np.int32)
     flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-    return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+    return [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array([fingerprint(s) for s in found], pa.int64())]
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -197,36 +202,36 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return near.withColumn("both", F.size(F.array_intersect("aset", "bset"))).where(DEN * F.col("both") >= NUM * (F.col("an") + F.col("bn") - F.col("both"))).select("a", "b", "top")
 
 
-def link_classes(sets: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+def link_classes(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) that connect whatever is connected; ``sets``: class, n, s, weight, set, prefix, third, fourth.
 
-    Classes with one label are connected, so rows of a group with one label, and rows without a possible partner in
-    their group, are gone for good.
+    Classes with one label are connected, so rows of a group with one label, rows without a possible partner in
+    their group, and pivots, which have met their group, are gone for good.
     """
     rows = sets.select("class", "n", "s", "weight", F.posexplode("prefix").alias("at", "token"), F.col("class").alias("label"))
     rows = rows.select("class", "n", (F.col("s") - F.col("at")).alias("m"), "weight", "token", "label")
     links: list[DataFrame] = []
-    for turn in range(rounds + 1):
+    turn, before = 0, []
+    while True:
+        most = PIVOTS[turn] if turn < len(PIVOTS) else PIVOTS[-1] * 4 ** (turn - len(PIVOTS) + 1)
         now = scratch.save(rows)
+        scratch.drop(*before)
         group = now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"))
         live = now.join(group.where("low <> high"), "token").where((NUM + DEN) * F.col("m") >= NUM * (F.col("n") + F.greatest("least", F.ceil(NUM * F.col("n") / DEN))))
         live = scratch.save(live.select("token", "class", "n", "m", "weight", "label"))
         scratch.drop(now)
-        if turn and not live.limit(1).count():
+        if links and not live.limit(1).count():
             break
-        if turn < rounds:
-            pivot = live.groupBy("token").agg(F.max(F.struct("weight", F.col("class").alias("a"), F.col("n").alias("an"), F.col("m").alias("am"), F.col("label").alias("of"))).alias("p")).select("token", "p.*")
-            pairs = live.select("token", F.col("class").alias("b"), F.col("n").alias("bn"), F.col("m").alias("bm"), "label").join(pivot.withColumnRenamed("weight", "rank"), "token").where("label <> of").where(_can_pair("a", "b"))
-            pairs = pairs.groupBy("a", "b").agg(F.max(F.struct("rank", "of")).alias("top"))
-        else:
-            one = lambda c: live.select("token", *[F.col(x).alias(c + y) for x, y in (("class", ""), ("n", "n"), ("m", "m"), ("label", "label"))])
-            pairs = one("a").join(one("b"), "token").where("a < b and alabel <> blabel").where(_can_pair("a", "b"))
-            pairs = pairs.select("a", "b", F.lit(0).alias("top")).distinct()
+        top = F.row_number().over(W.partitionBy("token").orderBy(F.desc("weight"), "class"))
+        pivots = scratch.save(live.withColumn("nth", top).where(F.col("nth") <= most))
+        pivot = pivots.select("token", F.col("weight").alias("rank"), F.col("class").alias("a"), F.col("n").alias("an"), F.col("m").alias("am"), F.col("label").alias("of"))
+        pairs = live.select("token", F.col("class").alias("b"), F.col("n").alias("bn"), F.col("m").alias("bm"), "label").join(pivot, "token").where("label <> of").where(_can_pair("a", "b"))
+        pairs = pairs.groupBy("a", "b").agg(F.max(F.struct("rank", "of")).alias("top"))
         found = scratch.save(_verify(pairs, sets))
         links.append(found.select("a", "b"))
-        moved = found.groupBy(F.col("b").alias("class")).agg(F.max("top").alias("top")).select("class", F.col("top.of").alias("to")) if turn < rounds else None
-        if moved is not None:
-            rows = live.join(moved, "class", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+        moved = found.groupBy(F.col("b").alias("class")).agg(F.max("top").alias("top")).select("class", F.col("top.of").alias("to"))
+        rows = live.join(pivots.select("token", "class"), ["token", "class"], "left_anti").join(moved, "class", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+        before, turn = [live, pivots], turn + 1
     out = links[0]
     for more in links[1:]:
         out = out.union(more)
@@ -241,22 +246,24 @@ def near_duplicates(df: DataFrame, keep: list[str], id_col: str = "doc_id", text
     """
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "jaccard")
     mine = [f"_{i}" for i in range(len(keep))]
-    plain = df.select(*[F.col(c).alias(m) for c, m in zip(keep, mine)], F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    meta = scratch.save(add_columns(plain, _classes, "n long, class long", [*mine, "_id"], "_text"))
-    classes = scratch.save(meta.where("n > 0").groupBy("class").agg(F.min("_id").alias("class_id"), F.first("n").alias("n")))
+    plain = df.select(*[F.col(c).alias(m) for c, m in zip(keep, mine)], F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_version", F.xxhash64("_text"))
+    meta = scratch.save(add_columns(plain, _classes, "n long, class long", [*mine, "_id", "_version"], "_text"))
+    one_text = F.min(F.struct("_id", "_version"))
+    classes = scratch.save(meta.where("n > 0").groupBy("class").agg(F.min("_id").alias("class_id"), F.first("n").alias("n"), one_text.alias("one")).select("class", "class_id", "n", "one.*"))
 
     token = W.partitionBy("token")
     sent = map_batches(plain.select("_text"), _prefixes, "token long, class long, weight long, shared boolean", "_text")
     judged = sent.select("class", "weight", (F.max("shared").over(token) | (F.min("class").over(token) != F.max("class").over(token))).alias("shared"))
     partnered = scratch.save(judged.where("shared").groupBy("class").agg(F.sum("weight").alias("w")).where("w >= 0").select("class"))
 
-    chosen = classes.join(partnered, "class", "left_semi").select("class", F.col("class_id").alias("_id"), F.col("n").alias("cn"))
+    chosen = classes.join(partnered, "class", "left_semi").select("class", F.col("_id").alias("cid"), F.col("_version").alias("cv"), "n")
     few = partnered.count() <= BROADCAST_ROWS
     chosen = scratch.save(chosen)
-    texts = plain.select("_id", "_text").join(F.broadcast(chosen) if few else chosen, "_id")
-    full = add_columns(texts, _full_sets, "set array<long>", ["class", "cn"], "_text")
-    # one text of each class; an id that repeats with other texts doesn't count for the class
-    full = full.where(F.size("set") == F.col("cn")).select("class", F.col("cn").alias("n"), F.explode("set").alias("token"))
+    one = F.broadcast(chosen) if few else chosen
+    texts = plain.select("_id", "_version", "_text").join(one, F.col("_id").eqNullSafe(F.col("cid")) & (F.col("_version") == F.col("cv")))
+    full = add_columns(texts, _full_sets, "set array<long>, found long", ["class", "n"], "_text")
+    # one text of each class, known by its fingerprint
+    full = full.where("found = class").select("class", "n", F.explode("set").alias("token"))
     counted = full.withColumn("df", F.count(F.lit(1)).over(token)).where("df > 1")
     listed = counted.groupBy("class", "n").agg(F.array_sort(F.collect_set(F.struct("df", "token"))).alias("by_df")).withColumn("s", F.size("by_df").cast("long"))
     listed = listed.where(DEN * F.col("s") >= NUM * F.col("n"))
@@ -276,6 +283,7 @@ def near_duplicates(df: DataFrame, keep: list[str], id_col: str = "doc_id", text
     named = classes.join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
     lowest = named.groupBy("label").agg(F.min("class_id").alias("component_id"))
     ids = scratch.save(named.join(lowest, "label").select("class", "class_id", "component_id"))
-    out = meta.join(ids, "class", "left")
+    out = meta.drop("_version").join(ids, "class", "left")
     own = lambda c: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("_id")).alias(c)
-    return out.select(*[F.col(m).alias(c) for m, c in zip(mine, keep)], F.col("n").alias("n_shingles"), own("class_id"), own("component_id"))
+    names = kept_names(keep, "n_shingles long, class_id long, component_id long")
+    return out.select(*[F.col(m).alias(c) for m, c in zip(mine, names)], F.col("n").alias("n_shingles"), own("class_id"), own("component_id"))
