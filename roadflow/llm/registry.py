@@ -28,7 +28,7 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     from roadflow.llm.jaccard import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "n_shingles", "component_id")
+    return near_duplicates(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), contaminated().alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near"),
     )
 
 

@@ -160,6 +160,34 @@ def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(frame(spark, []), ["doc_id"]).collect() == []
 
 
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    from roadflow.llm.jaccard import near_duplicates
+
+    rng = random.Random(21)
+    words = lambda: [f"w{rng.randint(0, 10**6)}" for _ in range(60)]
+    a, b, c = words(), words(), words()
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a[:30] + b[30:])), (7, " ".join(c)), (None, " ".join(c)), (None, " ".join([*c[:-1], "other"])), (None, "alone")]
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0) for r in near_duplicates(frame(spark, rows), ["doc_id"]).collect())
+    assert got == [(0, 1, 0), (0, 56, 7), (0, 56, 7), (1, 56, 1), (1, 56, 1), (2, 56, 2), (7, 56, 7)]
+
+
+def test_near_duplicates_near_the_threshold(spark, monkeypatch):
+    """A group that shares most of its words and links in places only: pivot rounds go on until nothing is open."""
+    from roadflow.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "PIVOTS", (1, 2))
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(70):
+        words = list(base)
+        at = rng.randrange(0, 88)
+        words[at : at + 12] = [f"v{rng.randint(0, 3)}_{at}_{k}" for k in range(12)]
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(frame(spark, rows), ["doc_id"]).collect()}
+    assert got == _components(rows) and len({c for _, c in got.values()}) > 5
+
+
 # --- repeats ---------------------------------------------------------------------
 
 
@@ -356,11 +384,35 @@ def test_decontamination(spark, monkeypatch, block):
         assert {x for s in r["spans"] for x in range(s["from"], s["to"])} == hit
 
 
-def test_proximity():
-    from roadflow.llm.decontamination import Shard, find_near
-
-    shard = Shard([b"a x b", b"a x x x b", b"b a"], {b"a": 0, b"b": 1})
-    assert find_near(shard, [0, 1], 2).tolist() == [0, 9]
+def test_proximity(spark):
+    from roadflow.llm.decontamination import Phrases, Segment, find_contamination, search
+
+    rng = random.Random(3)
+    letters = "abcdefgh"
+    texts = [[rng.choice(letters) for _ in range(rng.randint(0, 60))] for _ in range(40)]
+    items = [(str(i), " ".join(rng.choice(letters) for _ in range(rng.randint(1, 6)))) for i in range(30)]
+    segment = Segment.unpacked(*Segment.of([" ".join(t).encode() for t in texts]).packed())
+    phrases = Phrases(items, 4)
+    phrases.rank_by(np.array([sum(t.count(x) for t in texts) for x in sorted(letters, key=lambda x: phrases.terms.tolist().index(int(Phrases([("0", x)]).terms[0])))]))
+    for words, (exact, near, spans) in zip(texts, search(segment, phrases, 5)):
+        want, close, hit = set(), set(), set()
+        for name, text in items:
+            own = text.split()
+            for k in range(max(1, len(own) - 3)):
+                w = own[k : k + 4]
+                for p in range(len(words) - len(w) + 1):
+                    if words[p : p + len(w)] == w:
+                        want.add(name)
+                        hit |= set(range(p, p + len(w)))
+                lead = min(w, key=lambda x: (sum(t.count(x) for t in texts)))
+                if any(x == lead and set(w) <= set(words[max(0, p - 5) : p + 6]) for p, x in enumerate(words)):
+                    close.add(name)
+        assert exact == sorted(want) and near == sorted(close)
+        assert {x for s in spans for x in range(s["from"], s["to"])} == hit
+    docs = frame(spark, [(1, "alpha one beta"), (2, "alpha " + "x " * 21 + "beta"), (3, None), (4, "Beta, ALPHA"), (4, "Beta, ALPHA")])
+    items = spark.createDataFrame([(5, "alpha beta"), (None, "beta alpha")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["n_hit"], r["items"], r["near_items"]) for r in find_contamination(docs, items, ["doc_id"]).collect())
+    assert got == [(1, 0, [], ["5"]), (2, 0, [], []), (3, 0, [], []), (4, 2, [], ["5"]), (4, 2, [], ["5"])]
 
 
 # --- urls --------------------------------------------------------------------------------------------
