@@ -44,7 +44,7 @@ PART_BYTES = 16 << 20
 SEND = 100_000
 
 PLACES = "key long, other long, doc long, kind byte"
-STRETCHES = "rank long, around long, doc long, version long, count int, settled boolean, firsts array<long>, content binary"
+STRETCHES = "rank long, around long, doc long, version long, count int, settled boolean, firsts array<long>"
 WINDOWS = "one long, two int, doc long, place long, more array<long>, settled boolean"
 
 _U = np.uint64
@@ -146,10 +146,9 @@ def _lists(values: np.ndarray, size: np.ndarray, null_empty: bool = False) -> pa
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int64)), mask=mask)
 
 
-def _slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places in ``data`` of the given slices, one after the other; where each begins)."""
-    begin = np.cumsum(size) - size
-    return np.arange(int(size.sum())) - np.repeat(begin - start, size), begin
+def _slices(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of all slices, one after the other."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - start, size)
 
 
 def _places(batch: pa.RecordBatch, threshold: int, gram: int):
@@ -197,74 +196,101 @@ def _shared(sent: DataFrame) -> DataFrame:
     return live.groupBy("doc").agg(F.collect_list("rank").alias("ranks"))
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are among the ascending known ones."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
 def _live_stretches(batch: pa.RecordBatch, threshold: int, gram: int):
     """One row for each live stretch of a document in a part of the batch, with all its places there."""
     docs, versions, column, wanted = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _bytes(batch, "text"), batch.column(3)
     for a, b in by_bytes(column, PART_BYTES):
         data, ends = _join(column.slice(a, b - a))
-        live = np.unique(wanted.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)).view(_U)
+        live = np.unique(wanted.slice(a, b - a).flatten().to_numpy(zero_copy_only=False).view(_U))
         parts = []
         for part in stretches(data, ends, threshold, gram):
-            take = np.isin(part[0], live)
-            if take.any():
-                parts.append([x[take] for x in part])
+            take = _among(part[0], live)
+            parts.append([x[take] for x in part])
         if not parts:
             continue
         rank, around, text, first, count = (np.concatenate(x) for x in zip(*parts))
+        by = np.lexsort((first, text, docs[a + text], around, rank))
+        rank, around, text, first, count = (x[by] for x in (rank, around, text, first, count))
+        if not len(rank):
+            continue
         doc = docs[a + text]
-        by = np.lexsort((first, text, doc, around, rank))
-        rank, around, text, first, count, doc = (x[by] for x in (rank, around, text, first, count, doc))
         group = np.flatnonzero(_runs(rank, around))
         least = np.repeat(doc[group], np.diff(np.r_[group, len(rank)]))
         row = np.flatnonzero(_runs(rank, around, text))
-        places = _lists(first - (ends[text] - np.diff(np.r_[0, ends])[text]), np.diff(np.r_[row, len(rank)]))
-        rank, around, text, first, count, doc, settled = (x[row] for x in (rank, around, text, first, count, doc, doc > least))
-        size = np.where(settled, 0, count + threshold - 1)
+        places = _lists(first - np.r_[0, ends][text], np.diff(np.r_[row, len(rank)]))
+        rank, around, text, count, doc, settled = (x[row] for x in (rank, around, text, count, doc, doc > least))
         key = np.where(settled, _spread(rank + doc.view(_U) + _U(11) * around), rank)
-        for c in range(0, len(rank), 20_000):
-            s = slice(c, c + 20_000)
-            at, begin = _slices(data, first[s], size[s])
-            content = pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(np.r_[begin, len(at)].astype(np.int32)), pa.py_buffer(data[at])])
+        for c in range(0, len(rank), SEND):
+            s = slice(c, c + SEND)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key[s].view(np.int64)), pa.array(around[s].view(np.int64)), pa.array(doc[s]), pa.array(versions[a + text[s]]), pa.array(count[s].astype(np.int32)), pa.array(settled[s]), places.slice(c, len(begin)), content],
-                ["rank", "around", "doc", "version", "count", "settled", "firsts", "content"],
+                [pa.array(key[s].view(np.int64)), pa.array(around[s].view(np.int64)), pa.array(doc[s]), pa.array(versions[a + text[s]]), pa.array(count[s].astype(np.int32)), pa.array(settled[s]), places.slice(c, len(rank[s]))],
+                ["rank", "around", "doc", "version", "count", "settled", "firsts"],
             )
 
 
 def _windows(batch: pa.RecordBatch, threshold: int):
-    """One row for each window of the open stretches; place and more hold 24 bits of the version above the position."""
-    doc, version, count = (batch.column(i).to_numpy() for i in range(3))
-    firsts, column = batch.column(3), batch.column(4)
-    data = np.frombuffer(b"".join(column.to_pylist()), np.uint8)
-    sizes = count.astype(np.int64) + threshold - 1
-    at, _ = _slices(data, np.cumsum(sizes) - sizes, count.astype(np.int64))
-    row = np.repeat(np.arange(len(doc)), count)
-    nth = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    one, two = np.empty(len(at), _U), np.empty(len(at), _U)
-    for a in range(0, len(data) - threshold + 1, BLOCK):
-        block = data[a : a + BLOCK + threshold - 1]
-        i, j = np.searchsorted(at, (a, a + BLOCK))
-        one[i:j] = Ranks(block, FIRST).all(threshold)[at[i:j] - a]
-        two[i:j] = Ranks(block, SECOND).all(threshold)[at[i:j] - a]
-    two &= _U(0x7FFFFFFF)
-    all_firsts, starts = firsts.flatten().to_numpy(), firsts.offsets.to_numpy() - firsts.offsets[0].as_py()
-    mark = (version & 0xFFFFFF) << 32
-    place = mark[row] + all_firsts[starts[:-1]][row] + nth
-    by = np.lexsort((doc[row], two, one))
-    one, two, place, row, nth = (x[by] for x in (one, two, place, row, nth))
-    own = doc[row]
-    group = np.flatnonzero(_runs(one, two))
-    settled = own > np.repeat(own[group], np.diff(np.r_[group, len(one)]))
-    others = (np.diff(starts) - 1)[row]
-    key = np.where(settled, _spread(one + place.view(_U) + own.view(_U) * _U(13)), one)
-    for c in range(0, len(key), SEND):
-        s = slice(c, c + SEND)
-        which, _ = _slices(all_firsts, starts[:-1][row[s]] + 1, others[s])
-        more = all_firsts[which] + np.repeat(mark[row[s]] + nth[s], others[s])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key[s].view(np.int64)), pa.array(two[s].astype(np.int32)), pa.array(own[s]), pa.array(place[s]), _lists(more, others[s], True), pa.array(settled[s])],
-            ["one", "two", "doc", "place", "more", "settled"],
-        )
+    """One row for each window of the open stretches, with the further places of the same window in its document (more).
+
+    What an earlier document of the part has is settled: runs of such windows are one row, whose ``two`` is the number of windows.
+    Places hold 24 bits of the text's version above the position.
+    """
+    docs, versions, column = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _bytes(batch, "text")
+    for a, b in by_bytes(column, PART_BYTES):
+        data, ends = _join(column.slice(a, b - a))
+        begin = np.r_[0, ends]
+        size = np.diff(batch.column(3).slice(a, b - a).offsets.to_numpy())
+        first, count = (batch.column(k).slice(a, b - a).flatten().to_numpy(zero_copy_only=False) for k in (3, 4))
+        text = np.repeat(np.arange(b - a), size)
+        by = np.lexsort((first, text))
+        first, count, text = begin[text[by]] + first[by], count[by], text[by]
+        at, text = _slices(first, count), np.repeat(text, count)
+        one, two = np.empty(len(at), _U), np.empty(len(at), _U)
+        for c in range(0, len(data) - threshold + 1, BLOCK):
+            i, j = np.searchsorted(at, (c, c + BLOCK))
+            if i < j:
+                block = data[c : c + BLOCK + threshold - 1]
+                one[i:j] = Ranks(block, FIRST).all(threshold)[at[i:j] - c]
+                two[i:j] = Ranks(block, SECOND).all(threshold)[at[i:j] - c]
+        two &= _U(0x7FFFFFFF)
+        by = np.lexsort((at, text, docs[a + text], two, one))
+        one, two, at, text = one[by], two[by], at[by], text[by]
+        own = docs[a + text]
+        group = np.flatnonzero(_runs(one, two))
+        settled = own > np.repeat(own[group], np.diff(np.r_[group, len(one)]))
+        mark = (versions[a + text] & 0xFFFFFF) << 32
+        row = np.flatnonzero(_runs(one, two, text) & ~settled)
+        place = mark + at - begin[text]
+        rest = np.flatnonzero(~settled)
+        nth = np.searchsorted(rest, row)
+        more = np.diff(np.r_[nth, len(rest)]) - 1
+        others = np.delete(place[rest], nth)
+        upto = np.cumsum(more)
+        for c in range(0, len(row), SEND):
+            r = row[c : c + SEND]
+            some = others[upto[c] - more[c] : upto[min(c + SEND, len(row)) - 1]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(one[r].view(np.int64)), pa.array(two[r].astype(np.int32)), pa.array(own[r]), pa.array(place[r]), _lists(some, more[c : c + SEND], True), pa.array(np.zeros(len(r), bool))],
+                WINDOW_NAMES,
+            )
+        gone = np.sort(at[settled])
+        if len(gone):
+            head = np.flatnonzero(np.r_[True, gone[1:] != gone[:-1] + 1])  # texts are further apart
+            run = np.diff(np.r_[head, len(gone)])
+            of = np.searchsorted(ends, gone[head], side="right")
+            place = ((versions[a + of] & 0xFFFFFF) << 32) + gone[head] - begin[of]
+            key = _spread(place.view(_U) + docs[a + of].view(_U) * _U(13))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(run.astype(np.int32)), pa.array(docs[a + of]), pa.array(place), pa.nulls(len(head), pa.list_(pa.int64())), pa.array(np.ones(len(head), bool))],
+                WINDOW_NAMES,
+            )
+
+
+WINDOW_NAMES = ["one", "two", "doc", "place", "more", "settled"]
 
 
 def covered(n: int, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -319,22 +345,25 @@ def remove_repeats(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_
     work = one.join(live, "doc").where("done is null or not array_contains(done, version)").select("doc", "version", "text", "ranks")
     found = map_batches(work, _live_stretches, STRETCHES, threshold, gram)
     judged = found.withColumn("gone", F.col("settled") | (F.col("doc") > F.min("doc").over(W.partitionBy("rank", "around"))))
-    judged = scratch.save(judged.select("rank", "around", "doc", "version", "count", "firsts", "gone", F.when(~F.col("gone"), F.col("content")).alias("content")))
+    judged = scratch.save(judged.select("rank", "around", "doc", "version", "count", "firsts", "gone"))
     scratch.drop(live)
 
     # round 3: windows of the ranks that are still open
     left = judged.where(~F.col("gone"))
     several = left.groupBy("rank").agg(F.min("around").alias("a"), F.max("around").alias("b"), F.min("doc").alias("c"), F.max("doc").alias("d")).where("a <> b and c <> d")
-    open_ones = left.join(several.select("rank"), "rank", "left_semi").select("doc", "version", "count", "firsts", "content")
-    windows = map_batches(open_ones, _windows, WINDOWS, threshold)
-    again = windows.withColumn("gone", F.col("settled") | (F.col("doc") > F.min("doc").over(W.partitionBy("one", "two")))).where("gone").select("doc", "place", "more")
-    again = scratch.save(again)
+    places = left.join(several.select("rank"), "rank", "left_semi").select("doc", "version", "count", F.explode("firsts").alias("first"))
+    places = scratch.save(places.groupBy("doc", "version").agg(F.collect_list(F.struct("first", "count")).alias("p")).select("doc", F.col("version").alias("v"), F.col("p.first").alias("firsts"), F.col("p.count").alias("counts")))
+    work = one.join(places, "doc").where("version = v").select("doc", "version", "text", "firsts", "counts")
+    windows = map_batches(work, _windows, WINDOWS, threshold)
+    gone = F.col("settled") | (F.col("doc") > F.min("doc").over(W.partitionBy("one", "two")))
+    again = scratch.save(windows.withColumn("gone", gone).where("gone").select("doc", "place", "more", F.when(F.col("settled"), F.col("two")).otherwise(1).alias("run")))
+    scratch.drop(places)
 
     # spans of each document
     bits = F.lit(0xFFFFFF)
     spans = judged.where("gone").select("doc", F.col("version").bitwiseAND(bits).alias("v"), F.explode("firsts").alias("first"), (F.col("count") + threshold - 1).cast("long").alias("size"))
-    placed = again.select("doc", "place").unionByName(again.where("more is not null").select("doc", F.explode("more").alias("place")))
-    spans = spans.unionByName(placed.select("doc", F.shiftright("place", 32).alias("v"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("first"), F.lit(threshold).cast("long").alias("size")))
+    placed = again.select("doc", "place", "run").unionByName(again.where("more is not null").select("doc", F.explode("more").alias("place"), "run"))
+    spans = spans.unionByName(placed.select("doc", F.shiftright("place", 32).alias("v"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("first"), (F.col("run") + threshold - 1).cast("long").alias("size")))
     spans = spans.groupBy(F.col("doc").alias("_id"), "v").agg(F.collect_list(F.struct("first", "size")).alias("s"))
     whole = copied.select("_id", F.col("_version").bitwiseAND(bits).alias("v"), F.lit(True).alias("_copied"))
     spans = spans.join(whole, ["_id", "v"], "full").select("_id", "v", F.col("s.first").alias("_first"), F.col("s.size").alias("_size"), F.coalesce("_copied", F.lit(False)).alias("_copied"))
