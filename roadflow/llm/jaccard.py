@@ -84,11 +84,33 @@ def word_hashes(data: np.ndarray, gap: np.ndarray = _BLANK) -> tuple[np.ndarray,
     return _mix(np.add.reduceat(value, start) + _U(1) * size.astype(_U)), start
 
 
+#: Bytes that are hashed together, so that the arrays stay in the processor's cache.
+SLICE_BYTES = 1 << 16
+
+
+def hashed_words(data: np.ndarray, gap: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` of long data, slice by slice; slices end between words."""
+    if len(data) <= SLICE_BYTES:
+        return word_hashes(data, gap)
+    found, at = [], 0
+    while at < len(data):
+        end = min(at + SLICE_BYTES, len(data))
+        while end < len(data):  # on to the next byte between words
+            ahead = np.flatnonzero(gap[data[end : end + SLICE_BYTES]])
+            end += int(ahead[0]) if len(ahead) else min(SLICE_BYTES, len(data) - end)
+            if len(ahead):
+                break
+        hashed, start = word_hashes(data[at:end], gap)
+        found.append((hashed, start + at))
+        at = end
+    return np.concatenate([h for h, _ in found]), np.concatenate([s for _, s in found])
+
+
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     """The distinct shingle hashes of each text, ascending."""
     joined = b" ".join(texts)
     data = _LOWER[np.frombuffer(joined, np.uint8)]
-    hashed, start = word_hashes(data)
+    hashed, start = hashed_words(data)
     ends = np.cumsum([len(t) + 1 for t in texts])
     cut = np.searchsorted(start, ends)
     n = len(hashed)
