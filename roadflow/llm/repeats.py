@@ -33,11 +33,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadflow.llm.common import Scratch, add_columns, by_bytes, kept_names, map_batches
+from roadflow.llm.hashing import BLOCK, FIRST, SECOND, Ranks, spread
 
 THRESHOLD = 50
 GRAM = 24
-#: Window starts that are looked at together, so that the arrays stay in the processor's cache.
-BLOCK = 1 << 16
 #: Text bytes in which repeats are settled before anything is sent.
 PART_BYTES = 16 << 20
 #: Rows in a batch that leaves a function.
@@ -51,46 +50,6 @@ _U = np.uint64
 _PLACE_BITS = _U((1 << 18) - 1)
 
 
-def _spread(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> _U(32))
-    x = x * _U(0xD6E8FEB86659FD93)
-    return x ^ (x >> _U(29))
-
-
-class Ranks:
-    """Ranks of strings in a block of bytes: sums of byte values times powers of an odd base, from running sums."""
-
-    _tables: dict[int, tuple] = {}
-
-    def __init__(self, data: np.ndarray, base: int):
-        values, powers, self._back = self._table(base, len(data))
-        self._run = np.empty(len(data) + 1, _U)
-        self._run[0] = 0
-        np.cumsum(values[data] * powers[: len(data)], out=self._run[1:])
-
-    @classmethod
-    def _table(cls, base: int, size: int) -> tuple:
-        found = cls._tables.get(base)
-        if found is None or len(found[1]) < size:
-            n = max(size, BLOCK + 256)
-            values = _spread(_spread(np.arange(1, 257, dtype=_U) * _U(base)) + _U(base >> 7))
-            up = np.cumprod(np.r_[_U(1), np.full(n - 1, base, _U)], dtype=_U)
-            back = np.cumprod(np.r_[_U(1), np.full(n - 1, pow(base, -1, 1 << 64), _U)], dtype=_U)
-            found = cls._tables[base] = (values, up, back)
-        return found
-
-    def all(self, size: int) -> np.ndarray:
-        """The rank of the string of ``size`` bytes at each place."""
-        n = max(0, len(self._run) - size)
-        return _spread((self._run[size:] - self._run[:n]) * self._back[:n])
-
-    def at(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return _spread((self._run[start + size] - self._run[start]) * self._back[start] + size.astype(_U))
-
-
-FIRST, SECOND = 0xA24BAED4963EE407, 0x9FB21C651E98DF25
-
-
 def stretches(data: np.ndarray, ends: np.ndarray, threshold: int = THRESHOLD, gram: int = GRAM) -> Iterator[tuple[np.ndarray, ...]]:
     """(rank, rank of all bytes, text, place of the first window, number of windows) of the stretches of joined texts, block by block.
 
@@ -181,7 +140,7 @@ def _places(batch: pa.RecordBatch, threshold: int, gram: int):
         rank, text = rank[send], keys[text[send]]
         doc = docs[rows][np.concatenate([x[1] for x in found])[by][once][send]]
         settled = kind == 2
-        key = np.where(settled, _spread(rank + text * _U(3)), rank)
+        key = np.where(settled, spread(rank + text * _U(3)), rank)
         other = np.where(settled, rank, text)
         for c in range(0, len(key), SEND):
             d = c + SEND
@@ -224,7 +183,7 @@ def _live_stretches(batch: pa.RecordBatch, threshold: int, gram: int):
         row = np.flatnonzero(_runs(rank, around, text))
         places = _lists(first - np.r_[0, ends][text], np.diff(np.r_[row, len(rank)]))
         rank, around, text, count, doc, settled = (x[row] for x in (rank, around, text, count, doc, doc > least))
-        key = np.where(settled, _spread(rank + doc.view(_U) + _U(11) * around), rank)
+        key = np.where(settled, spread(rank + doc.view(_U) + _U(11) * around), rank)
         for c in range(0, len(rank), SEND):
             s = slice(c, c + SEND)
             yield pa.RecordBatch.from_arrays(
@@ -283,7 +242,7 @@ def _windows(batch: pa.RecordBatch, threshold: int):
             run = np.diff(np.r_[head, len(gone)])
             of = np.searchsorted(ends, gone[head], side="right")
             place = ((versions[a + of] & 0xFFFFFF) << 32) + gone[head] - begin[of]
-            key = _spread(place.view(_U) + docs[a + of].view(_U) * _U(13))
+            key = spread(place.view(_U) + docs[a + of].view(_U) * _U(13))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), pa.array(run.astype(np.int32)), pa.array(docs[a + of]), pa.array(place), pa.nulls(len(head), pa.list_(pa.int64())), pa.array(np.ones(len(head), bool))],
                 WINDOW_NAMES,
@@ -331,9 +290,9 @@ def remove_repeats(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_
 
     # equal texts
     seen = scratch.save(long_ones.select("_id", "_version", F.md5(F.col("_text").cast("binary")).alias("same")))
-    first_of = seen.groupBy("same").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    copied = scratch.save(seen.join(first_of.where("n > 1"), "same").where("_id > first").select("_id", "_version").distinct())
-    scratch.drop(seen)
+    first_of = scratch.save(seen.groupBy("same").agg(F.min("_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "first"))  # a join of written tables can split a large group
+    copied = scratch.save(seen.join(first_of, "same").where("_id > first").select("_id", "_version").distinct())
+    scratch.drop(seen, first_of)
 
     # round 1: anchors
     one = long_ones.select(F.col("_id").alias("doc"), F.col("_version").alias("version"), F.col("_text").alias("text"))
@@ -353,6 +312,9 @@ def remove_repeats(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_
     several = left.groupBy("rank").agg(F.min("around").alias("a"), F.max("around").alias("b"), F.min("doc").alias("c"), F.max("doc").alias("d")).where("a <> b and c <> d")
     places = left.join(several.select("rank"), "rank", "left_semi").select("doc", "version", "count", F.explode("firsts").alias("first"))
     places = scratch.save(places.groupBy("doc", "version").agg(F.collect_list(F.struct("first", "count")).alias("p")).select("doc", F.col("version").alias("v"), F.col("p.first").alias("firsts"), F.col("p.count").alias("counts")))
+    bits = F.lit(0xFFFFFF)
+    whole = scratch.save(judged.where("gone").select("doc", F.col("version").bitwiseAND(bits).alias("v"), "firsts", (F.col("count") + threshold - 1).cast("long").alias("size")))
+    scratch.drop(judged)
     work = one.join(places, "doc").where("version = v").select("doc", "version", "text", "firsts", "counts")
     windows = map_batches(work, _windows, WINDOWS, threshold)
     gone = F.col("settled") | (F.col("doc") > F.min("doc").over(W.partitionBy("one", "two")))
@@ -360,15 +322,14 @@ def remove_repeats(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_
     scratch.drop(places)
 
     # spans of each document
-    bits = F.lit(0xFFFFFF)
-    spans = judged.where("gone").select("doc", F.col("version").bitwiseAND(bits).alias("v"), F.explode("firsts").alias("first"), (F.col("count") + threshold - 1).cast("long").alias("size"))
+    spans = whole.select("doc", "v", F.explode("firsts").alias("first"), "size")
     placed = again.select("doc", "place", "run").unionByName(again.where("more is not null").select("doc", F.explode("more").alias("place"), "run"))
     spans = spans.unionByName(placed.select("doc", F.shiftright("place", 32).alias("v"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("first"), (F.col("run") + threshold - 1).cast("long").alias("size")))
     spans = spans.groupBy(F.col("doc").alias("_id"), "v").agg(F.collect_list(F.struct("first", "size")).alias("s"))
-    whole = copied.select("_id", F.col("_version").bitwiseAND(bits).alias("v"), F.lit(True).alias("_copied"))
-    spans = spans.join(whole, ["_id", "v"], "full").select("_id", "v", F.col("s.first").alias("_first"), F.col("s.size").alias("_size"), F.coalesce("_copied", F.lit(False)).alias("_copied"))
+    copies = copied.select("_id", F.col("_version").bitwiseAND(bits).alias("v"), F.lit(True).alias("_copied"))
+    spans = spans.join(copies, ["_id", "v"], "full").select("_id", "v", F.col("s.first").alias("_first"), F.col("s.size").alias("_size"), F.coalesce("_copied", F.lit(False)).alias("_copied"))
     spans = scratch.save(spans)
-    scratch.drop(judged, again, copied)
+    scratch.drop(whole, again, copied)
     out = plain.withColumn("v", F.col("_version").bitwiseAND(bits)).join(spans, ["_id", "v"], "left").withColumn("_copied", F.coalesce("_copied", F.lit(False)))
     done = add_columns(out, _cut, fields, mine, with_text)
     return done.select(*[F.col(m).alias(c) for m, c in zip(mine, kept_names(keep, fields))], *done.columns[len(mine) :])
