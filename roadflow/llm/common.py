@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -73,16 +73,17 @@ def map_batches(df: DataFrame, fn: Callable[..., Iterator[pa.RecordBatch]], sche
 
 
 def add_columns(df: DataFrame, fn: Callable[..., list], fields: str, keep: list[str], *args) -> DataFrame:
-    """The columns ``keep`` of every row, and those that ``fn(batch, *args)`` returns for them (``fields``: their DDL)."""
+    """The columns ``keep`` of every row, and those that ``fn(batch, *args)`` returns for them (``fields``: their DDL); see ``kept_names``."""
     ship(df.sparkSession)
     added = T._parse_datatype_string(fields)
-    schema = T.StructType([df.schema[c] for c in keep] + added.fields)
+    names = kept_names(keep, fields)
+    schema = T.StructType([T.StructField(n, df.schema[c].dataType) for n, c in zip(names, keep)] + added.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 kept = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-                yield pa.RecordBatch.from_arrays(kept + list(fn(batch, *args)), [*keep, *added.names])
+                yield pa.RecordBatch.from_arrays(kept + list(fn(batch, *args)), [*names, *added.names])
 
     return df.mapInArrow(run, schema)
 
@@ -95,11 +96,16 @@ def kept_names(keep: list[str], fields: str) -> list[str]:
 
 def by_bytes(column: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``limit`` text bytes each (one row at least)."""
-    start = size = 0
-    for i, n in enumerate(pc.binary_length(column).to_pylist()):
-        if i > start and size + (n or 0) > limit:
-            yield start, i
-            start, size = i, 0
-        size += n or 0
-    if len(column) > start:
-        yield start, len(column)
+    return by_size((n or 0 for n in pc.binary_length(column).to_pylist()), limit)
+
+
+def by_size(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes add up to ``limit`` at most (one of them at least)."""
+    start = total = i = 0
+    for i, n in enumerate(sizes, 1):
+        if i - 1 > start and total + n > limit:
+            yield start, i - 1
+            start, total = i - 1, 0
+        total += n
+    if i > start:
+        yield start, i

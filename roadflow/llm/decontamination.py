@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadflow.llm.common import Scratch, by_bytes, kept_names, map_batches
-from roadflow.llm.jaccard import _LOWER, word_hashes
+from roadflow.llm.hashing import LOWER, hashed_words
 
 WORDS = 13
 #: Words around the rarest term in which a near match has all others.
@@ -53,8 +53,8 @@ _GAP[ord("a") : ord("z") + 1] = False
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word of all texts, where the words of each text end)."""
-    data = _LOWER[np.frombuffer(b" ".join(texts), np.uint8)]
-    hashed, start = word_hashes(data, _GAP)
+    data = LOWER[np.frombuffer(b" ".join(texts), np.uint8)]
+    hashed, start = hashed_words(data, _GAP)
     return hashed, np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))
 
 

@@ -36,6 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadflow.llm.common import Scratch, add_columns, by_bytes, kept_names, map_batches
+from roadflow.llm.hashing import LOWER, hashed_words
 
 WORDS = 5
 #: Similarity as a fraction: 75 / 100.
@@ -58,58 +59,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-_BYTE = _mix(np.arange(1, 257, dtype=_U) * _U(0x9E3779B97F4A7C15))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BLANK = np.zeros(256, bool)
-_BLANK[[32, *range(9, 14)]] = True
-_POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15 | 1, _U), dtype=_U)
 _PLACE = _mix(np.arange(101, 101 + 64, dtype=_U)) | _U(1)
 
 
-def word_hashes(data: np.ndarray, gap: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, where it starts) in lower-cased bytes; words are runs without the bytes that ``gap`` marks."""
-    blank = gap[data]
-    edge = np.diff(np.r_[True, blank, True].astype(np.int8))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(start):
-        return np.zeros(0, _U), start
-    size = end - start
-    rank = np.arange(len(data)) - np.repeat(np.r_[0, start], np.diff(np.r_[0, start, len(data)]))
-    turn = rank // 64  # long words: the powers begin anew, with another factor for each turn
-    value = _BYTE[data] * _POWERS[rank % 64]
-    if size.max() > 64:
-        value = np.where(turn > 0, value * (_mix(turn.astype(_U) + _U(7)) | _U(1)), value)
-    value[blank] = 0
-    return _mix(np.add.reduceat(value, start) + _U(1) * size.astype(_U)), start
-
-
-#: Bytes that are hashed together, so that the arrays stay in the processor's cache.
-SLICE_BYTES = 1 << 16
-
-
-def hashed_words(data: np.ndarray, gap: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray]:
-    """``word_hashes`` of long data, slice by slice; slices end between words."""
-    if len(data) <= SLICE_BYTES:
-        return word_hashes(data, gap)
-    found, at = [], 0
-    while at < len(data):
-        end = min(at + SLICE_BYTES, len(data))
-        while end < len(data):  # on to the next byte between words
-            ahead = np.flatnonzero(gap[data[end : end + SLICE_BYTES]])
-            end += int(ahead[0]) if len(ahead) else min(SLICE_BYTES, len(data) - end)
-            if len(ahead):
-                break
-        hashed, start = word_hashes(data[at:end], gap)
-        found.append((hashed, start + at))
-        at = end
-    return np.concatenate([h for h, _ in found]), np.concatenate([s for _, s in found])
-
-
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> list[np.ndarray]:
     """The distinct shingle hashes of each text, ascending."""
     joined = b" ".join(texts)
-    data = _LOWER[np.frombuffer(joined, np.uint8)]
+    data = LOWER[np.frombuffer(joined, np.uint8)]
     hashed, start = hashed_words(data)
     ends = np.cumsum([len(t) + 1 for t in texts])
     cut = np.searchsorted(start, ends)
