@@ -2,17 +2,17 @@
 
 1. Every text is encoded once.  Whole windows are cut off a long document and fill sequences of their own; what is left is one piece
    shorter than a window.
-2. Pieces are dealt over shards by a hash of the document, ``SHARD_DOCS``
-   documents in each, so a shard is a bounded task at every size.
+2. Pieces are dealt over shards by a hash of the document, the piece and its row, ``SHARD_DOCS``
+   documents in each on average, so a shard is a bounded task at every size, however often an id or a text repeats.
 3. In a shard the lengths are binned; shallow combinations of at most three
    bins that fill a window exactly are enumerated; their repeat counts are the
-   non-negative least squares solution against the shard's histogram, rounded
-   down.  Pieces are laid by these counts, and the residual ones go greedily, the
+   non-negative least squares solution against the shard's histogram, rounded down (to the nearest, uniform lengths
+   fill 98.5 % of the windows, down 99 %).  Pieces are laid by these counts, and the residual ones go greedily, the
    longest first, into the fullest sequence that still has room.
 
 Only lengths and checksums are shuffled, never texts or ids.  Defined results: a null
 or empty text is one piece, its end id; repeated rows of one id are
-separate pieces with the same id; an empty table gives an empty table.
+separate pieces with the same id; ids keep their type; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -35,18 +35,19 @@ END_ID = 1
 SHARD_DOCS = 4000
 #: Bins of a window's length in the least squares problem.
 BINS = 256
-ROUNDS = 200
+#: Steps at most, and the change of all counts below which they end.
+ROUNDS, TOLERANCE = 1000, 0.01
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def _pieces(batch: pa.RecordBatch, name: str, window: int):
     encoder = word_encoder(tokenizer_path(name))
     out: list[tuple] = []
-    ids, column = batch.column(0).to_pylist(), batch.column(1)
+    column = batch.column(1)
     end, size = END_ID.to_bytes(4, "little"), 4 * window
     for a, b in by_bytes(column, BATCH_BYTES):
-        for doc, text in zip(ids[a:b], column.slice(a, b - a).to_pylist()):
+        for row, text in enumerate(column.slice(a, b - a).to_pylist(), a):
             cut, start, rest = [], 0, b""
             for part in encoder.packed(text):
                 rest += part
@@ -58,8 +59,9 @@ def _pieces(batch: pa.RecordBatch, name: str, window: int):
             rest += end
             cut.append((start, len(rest) // 4, zlib.crc32(rest)))
             total = start + len(rest) // 4
-            out += [(doc, s, n, c, total) for s, n, c in cut]
-    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            out += [(s, n, c, total, row) for s, n, c in cut]
+    found = [pa.array(x, pa.int64()) for x in zip(*out)]
+    yield pa.RecordBatch.from_arrays([batch.column(0).take(found[-1]), *found], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row"])
 
 
 @lru_cache(maxsize=4)
@@ -97,7 +99,10 @@ def solve_counts(histogram: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
         slope = ((product(y) - target)[used] * weight).sum(axis=1)
         z = np.maximum(0.0, y - step * slope)
         u = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        moved = np.abs(z - x).max()
         y, x, t = z + (t - 1) / u * (z - x), z, u
+        if moved < TOLERANCE:
+            break
     out = np.zeros(len(combos))
     out[((combos == 0) | (histogram[combos] > 0)).all(axis=1)] = x
     return out
@@ -158,13 +163,14 @@ def _pack_shard(key, batches):
 
 
 def cut_pieces(df: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens."""
-    return map_batches(texts(df, id_col, text_col), _pieces, PIECES, tokenizer, WINDOW)
+    """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, and the row in its batch."""
+    return map_batches(texts(df, id_col, text_col), _pieces, f"doc_id {df.schema[id_col].dataType.simpleString()}, {PIECES}, row long", tokenizer, WINDOW)
 
 
 def pack(df: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces with their sequence_id and offset; sequence ids are unique, not consecutive."""
     shards = max(1, -(-df.count() // SHARD_DOCS))
     pieces = cut_pieces(df, tokenizer, id_col, text_col)
-    shard = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(shards)).cast("long")
-    return pieces.withColumn("shard", shard).groupBy("shard").applyInArrow(_pack_shard, PIECES + ", sequence_id long, offset long")
+    shard = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "row"), F.lit(shards)).cast("long")
+    fields = f"doc_id {df.schema[id_col].dataType.simpleString()}, {PIECES}, sequence_id long, offset long"
+    return pieces.withColumn("shard", shard).groupBy("shard").applyInArrow(_pack_shard, fields)

@@ -8,13 +8,13 @@ Safe boundaries of the word-level tokenizer: a space or a line feed.  Its
 pre-tokenizer always breaks there, its normaliser composes nothing with them and
 none of its special strings contains one.  Between two boundaries the
 ids of a chunk do not depend on its neighbours, so they are kept in a bounded
-dictionary for each worker.  A new chunk made of lower-case Latin letters,
-digits and plain punctuation is merged by the byte-pair engine of ``tiktoken``
-over the same vocabulary (equal ids, an eighth of the time); every other chunk
-goes to ``tokenizers`` itself.
+dictionary for each worker.  New chunks made of Latin letters,
+digits and plain punctuation are merged by the byte-pair engine of ``tiktoken``
+over the same vocabulary (equal ids, an eighth of the time); all other new chunks of a slice
+go to ``tokenizers`` as one batch.
 
 Defined results: null text counts as empty and has no tokens; repeated rows are
-counted each; an empty table gives an empty table.
+counted each; ids keep their type; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -75,7 +75,8 @@ class WordEncoder(dict):
             ranks[bytes(byte_of[c] for c in token[: -4 if end else None]) + b"\xff" * end] = i  # 255 is no byte of UTF-8
         self.merge = tiktoken.Encoding("words", pat_str=r"[^\s]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
-    def __missing__(self, chunk: str) -> bytes:
+    def _plain(self, chunk: str) -> list[int] | None:
+        """The ids of a chunk that the byte-pair engine may encode."""
         word = chunk.rstrip(".,;:!?")
         if word.isalpha() and max(word) <= "\xff":  # a word, maybe with plain punctuation behind it
             ids = self.merge(word.lower().encode() + b"\xff")
@@ -83,14 +84,20 @@ class WordEncoder(dict):
                 ids = ids + self.merge(chunk[len(word) :].encode() + b"\xff")
         else:
             low = chunk if _WIDE.search(chunk) else chunk.lower()
-            if _PLAIN.fullmatch(low) and "<" not in chunk:
-                ids = [i for piece in _PIECES.findall(low) for i in self.merge(piece.encode() + b"\xff")]
-            else:
-                ids = self.library.encode(chunk, add_special_tokens=False).ids
-        out = array("I", ids).tobytes()
-        if len(chunk) <= 64:
-            self[chunk] = out
-        return out
+            if not _PLAIN.fullmatch(low) or "<" in chunk:
+                return None
+            ids = [i for piece in _PIECES.findall(low) for i in self.merge(piece.encode() + b"\xff")]
+        return ids
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Encode new chunks; those too long to keep are returned."""
+        found = {c: self._plain(c) for c in chunks}
+        rest = [c for c, ids in found.items() if ids is None]
+        if rest:
+            found.update(zip(rest, (e.ids for e in self.library.encode_batch_fast(rest, add_special_tokens=False))))
+        packed = {c: array("I", ids).tobytes() for c, ids in found.items()}
+        self.update((c, x) for c, x in packed.items() if len(c) <= 64)
+        return {c: x for c, x in packed.items() if len(c) > 64}
 
     def packed(self, text: str) -> Iterator[bytes]:
         """The ids of a whole text, in parts."""
@@ -98,7 +105,9 @@ class WordEncoder(dict):
         for part in slices(text):
             if len(self) > CACHE_CHUNKS:
                 self.clear()
-            yield b"".join(map(self.__getitem__, (part.lower() if lower else part).replace("\n", " ").split(" ")))
+            chunks = (part.lower() if lower else part).replace("\n", " ").split(" ")
+            long = self._learn(new) if (new := [c for c in dict.fromkeys(chunks) if c not in self]) else {}
+            yield b"".join([long[c] if c in long else self[c] for c in chunks] if long else map(self.__getitem__, chunks))
 
 
 def slices(text: str, limit: int | None = None) -> Iterator[str]:
@@ -152,4 +161,4 @@ def _count(batch: pa.RecordBatch, name: str):
 
 def token_counts(df: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every text; no shuffle, no ids leave the worker."""
-    return map_batches(texts(df, id_col, text_col), _count, "doc_id long, n_bytes long, n_tokens long", tokenizer)
+    return map_batches(texts(df, id_col, text_col), _count, f"doc_id {df.schema[id_col].dataType.simpleString()}, n_bytes long, n_tokens long", tokenizer)
