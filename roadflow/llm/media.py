@@ -8,15 +8,21 @@ the declared type; confirmed media further on are carved out with their place an
 Documents can be stored as media without loss: UTF-8 bytes, filled up with 255 to a
 positive multiple of 576, are the 8-bit samples of a WAV file (mono, unsigned).
 
+Where a format says its end with a mark, the places of all such marks are found once for each value and looked up, and
+so are the ends of chained blocks, so that many magics in front of no medium cost no more than a few.
+
 Defined results: a null value has no type, no length and no carved media; an empty one
-has type ``application/octet-stream``.  Equal values give equal results.
+has type ``application/octet-stream``.  Equal values give equal results; an empty table gives an empty table; a kept column
+that is named like an output is returned as ``kept_<name>``.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -45,22 +51,50 @@ SIGNATURES = [
 ]
 
 
-def _png(v: bytes, at: int) -> int:
+class Value(bytes):
+    """Bytes with the places of marks and the ends of block chains, each found once."""
+
+    def after(self, mark: bytes, at: int) -> int:
+        """The first place of a mark from ``at`` on; -1 without one."""
+        found = self.__dict__.setdefault("marks", {})
+        if mark not in found:
+            places = found[mark] = array("q")
+            place = self.find(mark)
+            while place >= 0:
+                places.append(place)
+                place = self.find(mark, place + 1)
+        i = bisect.bisect_left(found[mark], at)
+        return found[mark][i] if i < len(found[mark]) else -1
+
+    def chained(self, at: int) -> int:
+        """Behind the blocks (a length byte, so many bytes) that begin at a place, where an empty one ends them; the value's length or more without one."""
+        ends = self.__dict__.setdefault("ends", {})
+        path = []
+        while at < len(self) and at not in ends and self[at]:
+            path.append(at)
+            at += 1 + self[at]
+        end = ends.get(at, at + 1)
+        for place in path:
+            ends[place] = end
+        return end
+
+
+def _png(v: Value, at: int) -> int:
     pos, seen = at + 8, False
     while pos + 12 <= len(v):
         size, kind = int.from_bytes(v[pos : pos + 4], "big"), v[pos + 4 : pos + 8]
         end = pos + 12 + size
-        if end > len(v) or zlib.crc32(v[pos + 4 : end - 4]) != int.from_bytes(v[end - 4 : end], "big"):
-            return 0
         if not seen and (kind != b"IHDR" or size != 13):
             return 0
+        if end > len(v) or zlib.crc32(v[pos + 4 : end - 4]) != int.from_bytes(v[end - 4 : end], "big"):
+            return 0
         seen, pos = True, end
         if kind == b"IEND":
             return pos - at
     return 0
 
 
-def _gif(v: bytes, at: int) -> int:
+def _gif(v: Value, at: int) -> int:
     if at + 13 > len(v):
         return 0
     flags, pos = v[at + 10], at + 13
@@ -76,13 +110,11 @@ def _gif(v: bytes, at: int) -> int:
             pos += 11 + (3 << ((local & 7) + 1) if local & 0x80 else 0)
         else:
             return 0
-        while pos < len(v) and v[pos]:
-            pos += 1 + v[pos]
-        pos += 1
+        pos = v.chained(pos)
     return 0
 
 
-def _jpeg(v: bytes, at: int) -> int:
+def _jpeg(v: Value, at: int) -> int:
     pos, frame = at + 2, False
     while pos + 4 <= len(v) and v[pos] == 0xFF:
         mark = v[pos + 1]
@@ -94,12 +126,12 @@ def _jpeg(v: bytes, at: int) -> int:
             return 0
         pos += 2 + size
         if mark == 0xDA:
-            end = v.find(b"\xff\xd9", pos)
-            return end + 2 - at if frame and end >= 0 else 0
+            end = v.after(b"\xff\xd9", pos) if frame else -1
+            return end + 2 - at if end >= 0 else 0
     return 0
 
 
-def _wav(v: bytes, at: int) -> int:
+def _wav(v: Value, at: int) -> int:
     if v[at + 8 : at + 16] != b"WAVEfmt ":
         return 0
     size = int.from_bytes(v[at + 4 : at + 8], "little") + 8
@@ -114,7 +146,7 @@ def _wav(v: bytes, at: int) -> int:
     return 0
 
 
-def _bmp(v: bytes, at: int) -> int:
+def _bmp(v: Value, at: int) -> int:
     if at + 30 > len(v):
         return 0
     size, spare, start, header = struct.unpack_from("<IIII", v, at + 2)
@@ -123,8 +155,8 @@ def _bmp(v: bytes, at: int) -> int:
     return size if sound and 14 + header <= start <= size <= len(v) - at else 0
 
 
-def _zip(v: bytes, at: int) -> int:
-    end = v.find(b"PK\x05\x06", at)
+def _zip(v: Value, at: int) -> int:
+    end = v.after(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(v):
         return 0
     size, start = struct.unpack_from("<II", v, end + 12)
@@ -133,26 +165,28 @@ def _zip(v: bytes, at: int) -> int:
     return total if start + size == end - at and at + total <= len(v) else 0
 
 
-def _gzip(v: bytes, at: int) -> int:
+def _gzip(v: Value, at: int) -> int:
     if v[at + 3] & 0xE0 if at + 3 < len(v) else True:
         return 0
-    reader = zlib.decompressobj(31)
+    reader, pos, step = zlib.decompressobj(31), at, 256
     try:
-        rest = v[at:]
-        while rest and not reader.eof:  # the output is dropped as it comes
-            reader.decompress(rest, 1 << 20)
-            rest = reader.unconsumed_tail
+        while pos < len(v) and not reader.eof:  # a little at first; the output is dropped as it comes
+            rest = v[pos : pos + step]
+            pos, step = pos + len(rest), min(2 * step, 1 << 16)
+            while rest and not reader.eof:
+                reader.decompress(rest, 1 << 20)
+                rest = reader.unconsumed_tail
     except zlib.error:
         return 0
-    return len(v) - at - len(reader.unused_data) if reader.eof else 0
+    return pos - at - len(reader.unused_data) if reader.eof else 0
 
 
-def _pdf(v: bytes, at: int) -> int:
-    end = v.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and v.find(b"startxref", at, end) >= 0 else 0
+def _pdf(v: Value, at: int) -> int:
+    end = v.after(b"%%EOF", at)
+    return end + 5 - at if end >= 0 and 0 <= v.after(b"startxref", at) <= end - 9 else 0
 
 
-def _flac(v: bytes, at: int) -> int:
+def _flac(v: Value, at: int) -> int:
     pos, first = at + 4, True
     while pos + 4 <= len(v):
         kind, size = v[pos] & 0x7F, int.from_bytes(v[pos + 1 : pos + 4], "big")
@@ -186,10 +220,10 @@ def sniff(value: bytes) -> list[tuple[int, int, str]]:
     leaves the rest to be searched.
     """
     out: list[tuple[int, int, str]] = []
-    free = 0
+    free, known = 0, Value(value)
     for end, (size, place, kind) in automaton().iter(value.decode("latin-1")):
         at = end + 1 - size - place
-        if at >= free and (length := VALIDATORS[kind](value, at)):
+        if at >= free and (length := VALIDATORS[kind](known, at)):
             out.append((at, length, kind))
             free = at + length
     return out

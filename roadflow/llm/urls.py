@@ -21,6 +21,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadflow.llm.common import kept_names
+
 BUCKETS = 4096
 STEPS = 300
 
@@ -139,11 +141,13 @@ def filter_urls(df: DataFrame, keep: list[str], url_col: str = "url", rules: lis
     """The columns ``keep`` with host, path, rule and verdict (allow or block)."""
     rules = RULES if rules is None else rules
     host, path = host_and_path(F.col(url_col))
-    parts = df.select(*keep, host.alias("host"), path.alias("path"))
+    mine = [f"_{i}" for i in range(len(keep))]
+    parts = df.select(*[F.col(c).alias(m) for c, m in zip(keep, mine)], host.alias("host"), path.alias("path"))
     parts = parts.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     said = F.coalesce(*[F.when(F.col("rule") == r, F.lit(v)) for r, v in rules], F.lit(None).cast("string")) if rules else F.lit(None).cast("string")
     model = F.when(logit(F.col("host"), F.col("path")) > 0, F.lit("block")).otherwise(F.lit("allow"))
-    return parts.withColumn("verdict", F.when(F.col("rule").isNotNull(), said).otherwise(model))
+    names = kept_names(keep, "host string, path string, rule string, verdict string")
+    return parts.withColumn("verdict", F.when(F.col("rule").isNotNull(), said).otherwise(model)).withColumnsRenamed(dict(zip(mine, names)))
 
 
 def filter_sql(rules: list[tuple[str, str]] | None = None) -> str:
