@@ -4,8 +4,8 @@ Everything on texts is column expressions.  Per kind (email, ip, card, phone):
 
 * the base pattern's matches, leftmost and without overlap, that pass its check are always spans;
 * high-recall generators propose more spans, which may overlap; boosted trees see format and context features of each, and those
-  above their generator's calibrated threshold are added, if no base span overlaps.  Of two
-  added spans that overlap the one with the higher score stays (ties: the earlier).
+  above their generator's calibrated threshold are added, if no base span overlaps and no other candidate with a
+  higher score does (ties: the earlier).
 
 Offsets are code points, ends exclusive.  The trees learn from examples made by rule from
 templates (``examples``), pass through the same feature expressions as a small
@@ -15,8 +15,10 @@ The base patterns are searched in a form that gives the same matches in
 time linear in the text: a match can begin only where the previous character could not belong to
 it or where the last match ended.
 
+Folds go through chunks and many spans are searched by halving, so a text with very many of them takes hardly more than linear time.
+
 Defined results: a null or empty text has no spans; repeated rows are judged each; an empty table
-gives an empty table.
+gives an empty table; a kept column that is named like an output is returned as ``kept_<name>``.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadflow.llm.common import kept_names
+
 KINDS = ("email", "ip", "card", "phone")
 
 #: Kind -> (cheap test that a text may hold one, its pattern, check of a match m).
@@ -68,17 +72,58 @@ FEATURES = [
     "cast(post rlike r'^[0-9A-Za-z%$]' as int)",
     "cast(m rlike r'(?i)[(\\[{] ?at ?[)\\]}].*\\W[a-z]{2,6}$' as int)",
 ]
-CONTEXT = 24
 ROUNDS, RATE, PRECISION = 30, 0.3, 0.98
 EXAMPLES = 600
 
 
+#: Characters before a candidate that are its context.
+CONTEXT = 24
+#: Elements that one fold goes through, as a growing array is copied with every element; characters in a piece of text, a power of two.
+CHUNK, PIECE = 256, 1024
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL body in which the value, evaluated once, has a name."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _chunks(items: str, body: str) -> str:
+    """SQL array of what the body makes of each chunk ``part`` of the items, and of its number j."""
+    return f"transform(sequence(0, cast((size({items}) - 1) div {CHUNK} as int)), j -> {_let('part', f'slice({items}, j * {CHUNK} + 1, {CHUNK})', body)})"
+
+
 def _span_list(pattern: str, extra: str) -> str:
-    """SQL for the matches of a pattern with their places: gaps between matches and matches, added up."""
-    return f"""aggregate(zip_with(slice(split(text, r'{pattern}', -1), 1, size(regexp_extract_all(text, r'{pattern}', 0))), regexp_extract_all(text, r'{pattern}', 0), (gap, m) -> struct(length(gap) as gap, m as m)),
-  struct(0 as at, cast(array() as array<struct<m: string, start: int, end: int>>) as found),
-  (acc, x) -> struct(acc.at + x.gap + length(x.m) as at, concat(acc.found, array(struct(x.m as m, acc.at + x.gap as start, acc.at + x.gap + length(x.m) as end))) as found),
-  acc -> {extra.replace("FOUND", "acc.found")})"""
+    """SQL for the matches of a pattern with their places: gaps between matches and matches, added up chunk by chunk.
+
+    pre is the end of the match and the gap before, post the beginning of the gap behind; a
+    place in a long text would take long to find.
+    """
+    kind = "array<struct<m: string, start: int, end: int, pre: string, post: string>>"
+    n = "size(p.found)"
+    items = f"""zip_with(zip_with(slice(p.gaps, 1, {n}), p.found, (gap, m) -> struct(gap as gap, m as m)),
+      zip_with(slice(concat(array(''), p.found), 1, {n}), slice(p.gaps, 2, {n}), (b, a) -> struct(b as b, a as a)),
+      (x, y) -> struct(length(x.gap) as n, x.m as m, right(concat(y.b, x.gap), {CONTEXT}) as pre, left(y.a, 8) as post))"""
+    sizes = _chunks("found", "aggregate(part, 0, (acc, x) -> acc + x.n + length(x.m))")
+    new = "array(struct(x.m as m, acc.at + x.n as start, acc.at + x.n + length(x.m) as end, x.pre as pre, x.post as post))"
+    placed = f"""aggregate(part, struct(aggregate(slice(sizes, 1, j), 0, (acc, x) -> acc + x) as at, cast(array() as {kind}) as done),
+      (acc, x) -> struct(acc.at + x.n + length(x.m) as at, concat(acc.done, {new}) as done), acc -> acc.done)"""
+    every = _let("found", items, _let("sizes", sizes, f"flatten({_chunks('found', placed)})"))
+    both = f"struct(split(text, r'{pattern}', -1) as gaps, regexp_extract_all(text, r'{pattern}', 0) as found)"
+    return _let("p", both, extra.replace("FOUND", every))
+
+
+def _bound(spans: str, field: str, above: str) -> str:
+    """SQL for the place of the first of ascending spans whose field is above a value, by halving."""
+    return f"""aggregate(sequence(0, cast(log2(size({spans}) + 1) as int) + 1), struct(0 as low, size({spans}) as high),
+        (acc, i) -> case when acc.low >= acc.high then acc
+                         when get({spans}, shiftright(acc.low + acc.high, 1)).{field} > {above} then struct(acc.low as low, shiftright(acc.low + acc.high, 1) as high)
+                         else struct(shiftright(acc.low + acc.high, 1) + 1 as low, acc.high as high) end, acc -> acc.low)"""
+
+
+def _overlapping(spans: str) -> str:
+    """SQL array of the spans that candidate c may overlap: all of a few, else those found by halving (spans ascend and don't overlap each other)."""
+    first, behind = _bound(spans, "end", "c.start"), _bound(spans, "start", "c.end - 1")
+    return f"if(size({spans}) <= 16, {spans}, {_let('first', first, f'slice({spans}, first + 1, greatest({behind} - first, 0))')})"
 
 
 def _with_digits(body: str) -> str:
@@ -97,7 +142,7 @@ def _base(kind: str) -> str:
 def _proposed(name: str) -> str:
     kind, test, pattern = GENERATORS[name]
     g = list(GENERATORS).index(name)
-    found = f"transform(FOUND, c -> struct('{kind}' as kind, c.start as start, c.end as end, {g} as g, c.m as m, substr(text, greatest(c.start - {CONTEXT}, 0) + 1, least(c.start, {CONTEXT})) as pre, substr(text, c.end + 1, 8) as post))"
+    found = f"transform(FOUND, c -> struct('{kind}' as kind, c.start as start, c.end as end, {g} as g, c.m as m, c.pre as pre, c.post as post))"
     return f"case when {test} then {_span_list(pattern, found)} else cast(array() as array<struct<kind: string, start: int, end: int, g: int, m: string, pre: string, post: string>>) end"
 
 
@@ -236,19 +281,22 @@ def find(df: DataFrame, keep: list[str], text_col: str = "text", model: tuple |
     z = " + ".join(f"({_tree_sql(t)})" for t in trees)
     cut = "case c.g " + " ".join(f"when {g} then {t!r}D" for g, t in enumerate(cuts)) + " end"
     score = f"1D / (1D + exp(-{RATE}D * element_at(transform(array({_features('c')}), f -> {z}), 1)))"
-    plain = df.select(*[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    base = plain.withColumn("base", F.expr("concat(" + ", ".join(_base(k) for k in KINDS) + ")")).withColumn("proposed", F.expr(_all_proposed()))
-    scored = base.withColumn("added", F.expr(f"""
-      filter(transform(filter(proposed, c -> not exists(base, b -> b.start < c.end and c.start < b.end)),
-        c -> struct(c.start as start, c.end as end, c.kind as kind, if({score} >= {cut}, {score}, -1D) as score)), c -> c.score >= 0)"""))
-    apart = scored.withColumn("added", F.expr("""
-      aggregate(array_sort(added), cast(array() as array<struct<start: int, end: int, kind: string, score: double>>),
-        (acc, c) -> case when size(acc) = 0 or element_at(acc, -1).end <= c.start then concat(acc, array(c))
-                         when c.score > element_at(acc, -1).score then concat(slice(acc, 1, size(acc) - 1), array(c))
-                         else acc end)"""))
+    mine = [f"_{i}" for i in range(len(keep))]
+    plain = df.select(*[F.col(c).alias(m) for c, m in zip(keep, mine)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own, more = [f"_base_{k}" for k in KINDS], [f"_added_{g}" for g in range(len(GENERATORS))]
+    based = plain.withColumns({c: F.expr(_base(k)) for c, k in zip(own, KINDS)}).withColumn("proposed", F.expr(_all_proposed()))
+    free = " and ".join(f"not exists({_overlapping(c)}, b -> b.start < c.end and c.start < b.end)" for c in own)
+    scored = based.withColumn("base", F.concat(*own)).withColumn("scored", F.expr(f"""
+      filter(transform(filter(proposed, c -> {free}),
+        c -> struct(c.start as start, c.end as end, c.kind as kind, c.g as g, {score} as score)), c -> c.score >= {cut})"""))
+    dealt = scored.withColumns({c: F.expr(f"filter(scored, c -> c.g = {g})") for g, c in enumerate(more)})
+    beats = "d.g <> c.g and d.start < c.end and c.start < d.end and (d.score > c.score or d.score = c.score and (d.start < c.start or d.start = c.start and d.g < c.g))"
+    alone = " and ".join(f"not exists({_overlapping(c)}, d -> {beats})" for c in more)
+    apart = dealt.withColumn("added", F.expr(f"if(size(scored) < 2, scored, filter(scored, c -> {alone}))"))
     order = "case s.kind " + " ".join(f"when '{k}' then {i}" for i, k in enumerate(KINDS)) + " end"
     spans = f"transform(array_sort(transform(concat(base, transform(added, c -> struct(c.kind as kind, c.start as start, c.end as end))), s -> struct({order} as o, s.start as start, s.end as end, s.kind as kind))), s -> struct(s.kind as kind, s.start as start, s.end as end))"
-    return apart.select(*[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)], F.col("text").alias("_text"), "base", F.expr(spans).alias("spans")).select(*keep, "base", "spans", "_text")
+    out = kept_names(keep, "base int, spans int, _text int")
+    return apart.select(*[F.col(m).alias(c) for m, c in zip(mine, out)], "base", F.expr(spans).alias("spans"), F.col("text").alias("_text"))
 
 
 def joined(spans: str):
@@ -259,12 +307,14 @@ def joined(spans: str):
 def redact(df: DataFrame, text_col: str = "text", model: tuple | None = None) -> DataFrame:
     """All columns, with each span of the text replaced by its kind in brackets; overlapping spans merge under the first one's kind."""
     names = df.columns
-    found = find(df, names, text_col, model)
-    merged = """aggregate(array_sort(transform(spans, s -> struct(s.start as start, s.end as end, s.kind as kind))), cast(array() as array<struct<start: int, end: int, kind: string>>),
-      (acc, s) -> if(size(acc) > 0 and element_at(acc, -1).end > s.start,
-        concat(slice(acc, 1, size(acc) - 1), array(struct(element_at(acc, -1).start as start, greatest(element_at(acc, -1).end, s.end) as end, element_at(acc, -1).kind as kind))), concat(acc, array(s))))"""
-    clean = f"""aggregate({merged}, struct(0 as at, cast(array() as array<string>) as parts),
-      (acc, s) -> struct(s.end as at, concat(acc.parts, array(substr(_text, acc.at + 1, s.start - acc.at), concat('[', upper(s.kind), ']'))) as parts),
-      acc -> concat(array_join(acc.parts, ''), substr(_text, acc.at + 1)))"""
-    new = F.when(F.size("spans") > 0, F.expr(clean)).otherwise(F.col(text_col))
-    return found.select(*[new.alias(c) if c == text_col else F.col(c) for c in names])
+    mine = [f"_keep_{i}" for i in range(len(names))]
+    found = find(df.toDF(*mine), mine, mine[names.index(text_col)], model)
+    bits = PIECE.bit_length() - 1
+    cut = lambda a, b: f"substr(array_join(slice(pieces, shiftright({a}, {bits}) + 1, shiftright({b}, {bits}) - shiftright({a}, {bits}) + 1), ''), pmod({a}, {PIECE}) + 1, {b} - {a})"
+    ends = _chunks("s", "array_max(transform(part, x -> x.end))")
+    groups = f"""aggregate(part, struct(coalesce(array_max(slice(ends, 1, j)), 0) as upto, cast(array() as array<struct<from: int, to: int, kind: string>>) as done),
+      (acc, x) -> struct(greatest(acc.upto, x.end) as upto, if(x.start >= acc.upto, concat(acc.done, array(struct(acc.upto as from, x.start as to, x.kind as kind))), acc.done) as done), acc -> acc.done)"""
+    joined_up = f"concat(array_join(transform(flatten({_chunks('s', groups)}), x -> concat({cut('x.from', 'x.to')}, '[', upper(x.kind), ']')), ''), {cut('array_max(ends)', 'length(_text)')})"
+    sorted_spans = "array_sort(transform(spans, s -> struct(s.start as start, s.end as end, s.kind as kind)))"
+    clean = _let("pieces", f"regexp_extract_all(_text, r'(?s).{{1,{PIECE}}}', 0)", _let("s", sorted_spans, _let("ends", ends, joined_up)))
+    return found.select(*[(F.when(F.size("spans") > 0, F.expr(clean)).otherwise(F.col(m)) if c == text_col else F.col(m)).alias(c) for m, c in zip(mine, names)])

@@ -278,6 +278,70 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(p, want) and np.isclose(total, logz)
 
 
+def test_quality_by_hand(spark):
+    """The score of a document from plain loops over lines, characters and labels."""
+    import itertools
+    import math
+
+    from roadflow.llm import quality
+
+    rng = np.random.default_rng(3)
+    field = quality.Field(rng.normal(0, 0.5, quality.WIDTH), np.array([[0.4, -0.3], [-0.6, 0.7]]))
+
+    def own(lines, i):
+        x = lines[i].encode()
+        kinds = [("a" <= chr(c) <= "z", "A" <= chr(c) <= "Z", chr(c) in "0123456789", chr(c) in " \t", chr(c) in ".,;:?'\"()-", c == 33, chr(c) in "|/\\_<>=~") for c in x]
+        n = [sum(k[j] for k in kinds) for j in range(7)]
+        plain = sum(33 <= c < 127 and not any(k) for c, k in zip(x, kinds))
+        wide = sum(c >= 128 for c in x)
+        words, parts = n[3] + 1, x.split()
+        fresh = len(set(parts)) / len(parts) if parts else 1
+        return [*(v / max(1, len(x)) for v in [*n, plain, wide]), math.log1p(len(x)) / 6, min(len(x) / words, 40) / 10, n[1] / max(1, n[0] + n[1] + wide), (n[5] + n[6] + plain) / words, n[4] / words, len(x) > 0 and lines[i] in lines[:i], len(x) == 0, 1 - fresh, fresh < 0.5]
+
+    def score(text):
+        lines = (text or "").split("\n")
+        f = [own(lines, i) for i in range(len(lines))]
+        none = [0] * quality.OWN
+        good = [float(np.dot(f[i] + (f[i - 1] if i else none) + (f[i + 1] if i + 1 < len(f) else none) + [1, i == 0, i == len(f) - 1], field.weights)) for i in range(len(f))]
+        paths = list(itertools.product((0, 1), repeat=len(lines)))
+        w = np.exp([sum(g * y for g, y in zip(good, p)) + sum(field.links[a, b] for a, b in zip(p, p[1:])) for p in paths])
+        p = [w[[x[i] == 1 for x in paths]].sum() / w.sum() for i in range(len(lines))]
+        weight = [len(x.encode()) + 1 for x in lines]
+        return float(np.dot(p, weight) / sum(weight))
+
+    rows = [r for r in documents(spark) if (r[1] or "").count("\n") < 9] + [(7, "One two\n\nONE, two! 3|4 é\nOne two\nx x x x"), (8, "\n"), (9, "a\n" * 7)]
+    got = {(r["doc_id"], r["text"]): r["score"] for r in quality.score(frame(spark, rows), field, ["doc_id", "text"]).collect()}
+    assert len(got) == len(rows) and all(abs(got[d, t] - score(t)) < 2e-6 for d, t in rows)
+
+
+def test_quality_of_many_lines(spark, monkeypatch):
+    import time
+
+    import pyarrow as pa
+
+    from roadflow.llm import quality
+
+    rng = np.random.default_rng(4)
+    field = quality.Field(rng.normal(0, 0.5, quality.WIDTH), np.array([[0.4, -0.3], [-0.6, 0.7]]))
+    for n in (1, 2, 5, 90):
+        good = rng.normal(size=n)
+        assert np.allclose(quality.long_marginals(good, field.links), quality._forward_backward(good, field.links, np.array([n]))[0])
+    texts = ["\n".join(rng.choice(["", "a b", "A! 1", "é", "a b c " * 9]) for _ in range(int(rng.integers(1, 60)))) for _ in range(40)]
+    batch = lambda x: pa.RecordBatch.from_arrays([pa.array(x)], ["text"])
+    want = quality._score(batch(texts), "text", field)[0].to_pylist()
+    with monkeypatch.context() as m:
+        m.setattr(quality, "BLOCK_LINES", 3)
+        m.setattr(quality, "BATCH_BYTES", 1)
+        assert np.allclose(quality._score(batch(texts), "text", field)[0].to_pylist(), want, atol=2e-6)
+        m.setattr(quality, "TRAIN_LINES", 5)
+        for t in texts:
+            some = quality._some_lines(t.encode(), 12345).decode()
+            assert f"\n{some}\n" in f"\n{t}\n" and len(some.split("\n")) == min(5, len(t.split("\n")))
+    began = time.time()
+    assert 0 <= quality._score(batch(["\n" * 10_000_000]), "text", field)[0][0].as_py() <= 1
+    assert time.time() - began < 120
+
+
 def test_quality_of_odd_texts(spark):
     from roadflow.llm.quality import WIDTH, Field, score
 
@@ -291,34 +355,114 @@ def test_quality_of_odd_texts(spark):
 # --- language model ---------------------------------------------------------------------
 
 
-def test_network_learns_and_normalises(spark):
+def _network(leaves=8, buckets=1 << 14, seed=2):
+    from roadflow.llm import lm
+
+    rng = np.random.default_rng(seed)
+    network = lm.Network(*lm.tree_of(rng.integers(0, 50, buckets), leaves), leaves)
+    network.out[:], network.bias[:] = rng.normal(size=network.out.shape), rng.normal(size=leaves)
+    return network
+
+
+def test_network_learns(spark):
     from roadflow.llm import lm
 
     docs = frame(spark, documents(spark, 150)).repartition(2)
     trained = lm.fit(docs)
-    plain = lm.Network(trained.class_of, trained.share)
+    plain = lm.Network(trained.leaf, trained.share, trained.leaves)
+    found = {r["doc_id"]: r for r in lm.score(docs, trained, ["doc_id"]).collect()}
     total = lambda net: sum(r["log_likelihood"] for r in lm.score(docs, net, ["doc_id"]).collect())
-    assert total(trained) > total(plain)
-    p = np.exp(trained.log_softmax(trained.hidden(np.zeros((1, 2 * lm.REACH), int))[1]))[0]
-    assert np.isclose(sum(p[trained.class_of[b]] * trained.share[b] for b in range(lm.BUCKETS)), 1, atol=1e-4)
-    empty = {r["doc_id"]: r for r in lm.score(docs, trained, ["doc_id"]).collect()}
-    assert empty[10_000]["n_words"] == 0 and empty[10_000]["log_likelihood"] == 0
+    words = sum(r["n_words"] for r in found.values())
+    assert total(trained) > total(plain) + 0.1 * words
+    assert found[10_000]["n_words"] == 0 and found[10_000]["log_likelihood"] == 0
+    clash = spark.createDataFrame([("a b", 1)], "text string, n_words int")
+    assert lm.score(clash, trained, ["n_words"]).columns == ["kept_n_words", "n_words", "log_likelihood", "mean_log_likelihood"]
+
 
+def test_network_counts_every_word_once(spark):
+    from roadflow.llm import lm
 
-def test_network_trains_on_every_word(spark, monkeypatch):
+    rows = documents(spark, 120)
+    texts = frame(spark, rows).select("text").repartition(5)
+    counts = lm.gathered(texts, lm._counter("text", 1 << 14), "<i8", False, lm.Scratch(spark, "test"))
+    want = np.zeros(1 << 14, int)
+    for _, t in rows:
+        np.add.at(want, lm._words([(t or "").encode()])[0] >> 6, 1)
+    assert counts.tolist() == want.tolist() and counts.sum() > 1000
+    assert lm.gathered(texts.limit(0), lm._counter("text", 1 << 14), "<i8", False, lm.Scratch(spark, "test")) is None
+
+
+def test_network_scores_by_hand():
+    import math
+
+    from roadflow.llm import lm
+
+    network = _network()
+    word, count = lm._words([b"one two three one", b"", b"two"])
+    got = network.log_probability(word, count)
+    texts, at = [[0, 1, 2, 3], [4]], 0
+    for text in texts:
+        for i in text:
+            h = np.zeros(lm.WIDTH)
+            for k, step in enumerate((-2, -1, 1, 2)):
+                near = word[i + step] >> 6 if i + step in text else lm.INPUTS
+                h += network.embed[near].astype(float) * network.place[k]
+            h = np.tanh(h)
+            share = {}
+            for leaf in range(8):
+                p, node = 1.0, 1
+                for bit in (leaf >> 2, leaf >> 1 & 1, leaf & 1):
+                    right = 1 / (1 + math.exp(-(h @ network.out[node] + network.bias[node])))
+                    p, node = p * (right if bit else 1 - right), 2 * node + bit
+                share[leaf] = p
+            assert abs(sum(share.values()) - 1) < 1e-9
+            bucket = word[i] >> 6
+            assert abs(got[at] - math.log(share[int(network.leaf[bucket])]) - network.share[bucket]) < 1e-4
+            at += 1
+    assert np.allclose(np.bincount(network.leaf, np.exp(network.share.astype(float))), 1, atol=1e-4)
+
+
+def test_network_slopes_against_differences():
+    from roadflow.llm import lm
+
+    network = _network()
+    rng = np.random.default_rng(5)
+    word, count = rng.integers(0, 1 << 20, 40).astype(np.int32), np.array([25, 15])
+    for name in ("embed", "place", "out", "bias"):
+        setattr(network, name, getattr(network, name).astype(float))
+    nodes, cells, place = network.slopes(lm.contexts(word, count, np.arange(40)), word)
+    want = {"embed": np.zeros_like(network.embed), "place": place, "out": np.zeros_like(network.out), "bias": np.zeros_like(network.bias)}
+    want["embed"][cells[0]] = cells[1]
+    for at, out, bias, n in nodes:
+        want["out"][at], want["bias"][at] = out, bias
+        assert n.sum() == 40
+    assert cells[2].sum() == 40 * 4
+    for name, slope in want.items():
+        flat = getattr(network, name).reshape(-1)
+        places = np.flatnonzero(slope.reshape(-1))[:: max(1, np.count_nonzero(slope) // 25)]
+        for i in places:
+            old, d = flat[i], 1e-5
+            flat[i] = old + d
+            up = network.log_probability(word, count).sum()
+            flat[i] = old - d
+            down = network.log_probability(word, count).sum()
+            flat[i] = old
+            assert abs((up - down) / (2 * d) - slope.reshape(-1)[i]) < 1e-3
+
+
+def test_network_trains_on_every_word(monkeypatch):
     import pyarrow as pa
 
     from roadflow.llm import lm
 
-    texts = ["one two", "", None, "three", " ".join(f"w{i}" for i in range(1000)), "four five six"]
+    texts = ["one two", "", None, "three", " ".join(f"w{i}" for i in range(7000)), "four five six"]
     batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
-    network = lm.Network(*lm.classes_of(np.ones(lm.BUCKETS, np.int64)))
-    seen = []
-    monkeypatch.setattr(lm.Network, "step", lambda self, context, target: seen.append(np.c_[context, target]))
-    told = [r["seen"] for turn in range(lm.ROUNDS) for b in lm._train(batch, "text", network, turn) for r in b.to_pylist()[:1]]
-    bucket, count = next(lm._parts(batch, "text"))
-    want = np.c_[lm._contexts(bucket, count), bucket]
-    assert sum(told) == len(bucket) == 1006
+    network, seen = _network(), []
+    monkeypatch.setattr(lm.Network, "step", lambda self, context, word: seen.append(np.c_[context, word]))
+    told = [b["seen"][0].as_py() for turn in range(lm.ROUNDS) for b in lm._trainer("text", network, turn, lm.ROUNDS)(iter([batch, batch.slice(0, 0)]))]
+    word, count = next(lm._parts(batch, "text"))
+    want = np.c_[lm.contexts(word, count, np.arange(len(word))), word]
+    assert sum(told) == len(word) == 7006
     assert sorted(np.concatenate(seen).tolist()) == sorted(want.tolist())
 
 
@@ -353,6 +497,56 @@ def test_sniffing(spark):
     assert [bytes(c["content"]) for c in got[2]["carved"]] == [packed, sound]
 
 
+def _media():
+    """One small sound medium of each type."""
+    import struct
+    import zipfile
+
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+    gif = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + bytes(6) + b"\x21\xf9\x04" + bytes(4) + b"\0" + b"\x2c" + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\x02\x02\x44\x01\0" + b"\x3b"
+    jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 4) + b"JF" + b"\xff\xc0" + struct.pack(">H", 5) + b"abc" + b"\xff\xda" + struct.pack(">H", 3) + b"x" + b"data" + b"\xff\xd9"
+    bmp = b"BM" + struct.pack("<IIIIiiHHIIiiII", 58, 0, 54, 40, 1, 1, 1, 24, 0, 4, 0, 0, 0, 0) + bytes(4)
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("a.txt", "hello")
+    pdf = b"%PDF-1.4\n1 0 obj\nendobj\nstartxref\n9\n%%EOF"
+    flac = b"fLaC" + bytes([0x80, 0, 0, 34]) + bytes(34) + b"\xff\xf8" + b"frames"
+    return {"image/png": png, "image/gif": gif, "image/jpeg": jpeg, "image/bmp": bmp, "application/zip": packed.getvalue(), "application/pdf": pdf, "application/gzip": gzip.compress(b"x" * 99), "audio/flac": flac}
+
+
+def test_every_validator():
+    from roadflow.llm import media
+
+    sounds = {**_media(), "audio/wav": media.store(b"abcd")}
+    assert set(sounds) == set(media.VALIDATORS)
+    for kind, sound in sounds.items():
+        assert media.sniff(sound) == [(0, len(sound), kind)]
+        tail = b"" if kind == "audio/flac" else b" tail"  # its length is all that follows
+        assert media.sniff(b"lead " + sound + tail)[0] == (5, len(sound), kind)
+        for cut in range(len(sound)):
+            assert not any(k == kind and n > cut for _, n, k in media.sniff(sound[:cut]))
+        if kind not in ("audio/flac",):
+            assert (0, len(sound), kind) not in media.sniff(sound[:-1])
+    rest = [x for k, x in sounds.items() if k != "audio/flac"]
+    assert [n for _, n, _ in media.sniff(b"--".join(rest))] == [len(x) for x in rest]
+
+
+@pytest.mark.parametrize("magic", [b"%PDF-", b"PK\x03\x04", b"GIF89aaaaa\x00aa!a", b"\x1f\x8b\x08\x00", b"\xff\xd8\xff\xc0\x00\x02\xff\xda\x00\x02", b"BM", b"RIFF"])
+def test_many_magics_take_linear_time(magic):
+    import time
+
+    from roadflow.llm import media
+
+    took = []
+    for size in (500_000, 4_000_000):
+        value = magic * (size // len(magic))
+        began = time.process_time()
+        assert media.sniff(value) == []
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 2
+
+
 # --- decontamination -----------------------------------------------------------------------------
 
 
@@ -470,6 +664,21 @@ def test_added_spans_and_redaction(spark):
     assert text == {1: "mail me [EMAIL] ok", 2: rows[1][1], 3: "at [EMAIL] or [IP].", 4: None}
 
 
+def test_very_many_addresses(spark):
+    from roadflow.llm import pii
+
+    texts = ["".join(f"u{i}@host.org " for i in range(n)) + "call 020 555 1234 now " * (n // 4) for n in (40, 3000, 100_000)]
+    rows = pii.redact(frame(spark, list(enumerate(texts)))).collect()
+    for text, row in zip(texts, sorted(rows, key=lambda r: r["doc_id"])):
+        assert row["text"].count("[EMAIL]") == text.count("@") and "@" not in row["text"]
+        assert row["text"].count("now") == text.count("now")
+    few = pii.find(frame(spark, list(enumerate(texts[:2]))), ["doc_id"]).collect()
+    for row in few:
+        assert [tuple(x) for x in row["base"]] == _base(texts[row["doc_id"]])
+        spans = sorted((x["start"], x["end"]) for x in row["spans"])
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
 # --- all together --------------------------------------------------------------------------------------------
 
 
@@ -494,13 +703,48 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in docs.collect()} == set(before)
 
 
-@pytest.mark.parametrize("name", ["op1_packing", "op6_token_counts", "op7_media", "op8_decontamination", "op10_pii"])
+@pytest.mark.parametrize("name", ["op1_packing", "op2_repeats", "op3_jaccard", "op4_quality", "op5_lm_score", "op6_token_counts", "op7_media", "op8_decontamination", "op9_url_filter", "op10_pii", "pipeline"])
 def test_empty_tables(spark, tmp_path, name):
-    from roadflow.llm import registry
+    import __spark_entry__ as entry
 
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels", "pages"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
-    assert registry.queries()[name](spark, str(tmp_path)).count() == 0
+    assert entry.queries()[name](spark, str(tmp_path)).count() == 0
+
+
+def test_kept_columns_named_like_outputs(spark):
+    """Every operator returns a kept column that is named like one of its outputs as kept_<name>, with its values."""
+    from roadflow.llm import decontamination, jaccard, lm, media, pii, quality, repeats, urls
+
+    df = spark.createDataFrame([(1, "a b c d e f g", None), (2, None, "http://a.b/c")], "doc_id long, text string, url string")
+    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    network = lm.Network(*lm.tree_of(np.ones(1 << 14), 4), 4)
+    calls = {
+        "n_bytes": lambda d, k: repeats.remove_repeats(d, k),
+        "component_id": lambda d, k: jaccard.near_duplicates(d, k),
+        "score": lambda d, k: quality.score(d, quality.Field(np.zeros(quality.WIDTH), np.zeros((2, 2))), k),
+        "n_words": lambda d, k: lm.score(d, network, k),
+        "feature": lambda d, k: media.store_documents(d, k),
+        "n_hit": lambda d, k: decontamination.find_contamination(d, items, k),
+        "host": lambda d, k: urls.filter_urls(d, k),
+        "base": lambda d, k: pii.find(d, k),
+    }
+    for name, call in calls.items():
+        clash = df.selectExpr("doc_id", "text", "url", f"'own' || doc_id as `{name}`", "'q' as _0", "'r' as _text")
+        got = call(clash, ["doc_id", name, "_0"])
+        assert got.columns[:3] == ["doc_id", f"kept_{name}", "_0"] and got.columns.count(name) == 1
+        assert sorted((r["doc_id"], r[f"kept_{name}"], r["_0"]) for r in got.collect()) == [(1, "own1", "q"), (2, "own2", "q")]
+    clash = df.selectExpr("doc_id", "text", "'x' as base", "'y' as spans", "'z' as _text")
+    assert sorted(map(tuple, pii.redact(clash).collect()), key=str) == [(1, "a b c d e f g", "x", "y", "z"), (2, None, "x", "y", "z")]
+
+
+def test_text_ids(spark):
+    from roadflow.llm.packing import pack
+    from roadflow.llm.tokens import token_counts
+
+    df = spark.createDataFrame([("a", "one two"), ("a", "one two"), (None, None)], "doc_id string, text string")
+    assert sorted((r["doc_id"] or "", r["length"]) for r in pack(df).collect()) == [("", 1), ("a", 3), ("a", 3)]
+    assert sorted((r["doc_id"] or "", r["n_tokens"]) for r in token_counts(df).collect()) == [("", 0), ("a", 2), ("a", 2)]
 
 
 def test_clashing_columns(spark):
