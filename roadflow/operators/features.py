@@ -41,8 +41,34 @@ def unminmax(df: DataFrame, scaled: str, fitted: DataFrame, out: str) -> DataFra
 
 def fit_labels(df: DataFrame, value: str, code: str) -> DataFrame:
     """(value, code): sorted distinct values numbered from 0."""
+    from roadflow.operators.ordering import number_rows
+
     classes = df.select(value).where(F.col(value).isNotNull()).distinct()
-    return classes.withColumn(code, (F.dense_rank().over(W.orderBy(value)) - 1).cast("long"))
+    return number_rows(classes, [value], code).withColumn(code, (F.col(code) - 1).cast("long"))
+
+
+def class_counts(df: DataFrame, value: str) -> DataFrame:
+    """(value, n): rows of each class, null among them."""
+    return df.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
+
+
+def row_slice(df: DataFrame, order: list[str], first: int, size: int) -> DataFrame:
+    """The rows first, first + 1, ... (from 0) of a total order, ``size`` of them at most."""
+    from roadflow.operators.ordering import number_rows
+
+    return number_rows(df, order, "_rn").where(F.col("_rn").between(first + 1, first + size)).drop("_rn")
+
+
+def sample_rows(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
+    """n rows (all, if there are fewer) in the order of a hash of their keys; equal on every run."""
+    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+
+
+def in_order(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """All rows with their place from 1 in a total order, written in that order."""
+    from roadflow.operators.ordering import number_rows
+
+    return number_rows(df, order, out).orderBy(out)
 
 
 def encode(df: DataFrame, value: str, fitted: DataFrame, code: str) -> DataFrame:
@@ -69,12 +95,29 @@ def windows(df: DataFrame, key: str, order: list[str], features: list[str], targ
 
 
 def lag_windows(df: DataFrame, order: list[str], value: str, lags: int = 12, key: str | None = None) -> DataFrame:
-    """All columns, and lag_12 ... lag_1; rows with a full history only. Without a key the history crosses sites."""
-    w = (W.partitionBy(key) if key else W.partitionBy(F.lit(0))).orderBy(*order)
+    """All columns, and lag_12 ... lag_1; rows with a full history only. Without a key the history crosses sites.
+
+    Without a key the rows are ranged by the order, and each range gets the last rows before it, so no task sees them all.
+    """
+    if key is None:
+        return _lags_across(df, order, value, lags)
+    w = W.partitionBy(key).orderBy(*order)
     made = df.select("*", *[F.lag(value, k).over(w).alias(f"lag_{k}") for k in range(lags, 0, -1)], F.row_number().over(w).alias("_rn"))
     return made.where(F.col("_rn") > lags).drop("_rn")
 
 
+def _lags_across(df: DataFrame, order: list[str], value: str, lags: int) -> DataFrame:
+    from roadflow.operators.ordering import number_rows
+
+    block = max(1000, lags)
+    rows = number_rows(df, order, "_rn").withColumn("_block", F.floor((F.col("_rn") - 1) / block))
+    tail = rows.where((F.col("_rn") - 1) % block >= block - lags).withColumn("_block", F.col("_block") + 1)  # seen again by the next block
+    both = rows.withColumn("_own", F.lit(True)).unionByName(tail.withColumn("_own", F.lit(False)))
+    w = W.partitionBy("_block").orderBy("_rn")
+    made = both.select("*", *[F.lag(value, k).over(w).alias(f"lag_{k}") for k in range(lags, 0, -1)])
+    return made.where(F.col("_own") & (F.col("_rn") > lags)).drop("_rn", "_block", "_own")
+
+
 def last_before(df: DataFrame, key: str, ts: str, before: Column, order: list[str], n: int = 24) -> DataFrame:
     """The last n rows of each key strictly before a time, only for keys that have as many; ``age`` 1 is the latest."""
     w = W.partitionBy(key).orderBy(F.desc(ts), *[F.desc(c) for c in order])

@@ -33,6 +33,17 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("out_degree"), F.sum("weight").alias("total_weight"))
 
 
+def edge_data(edges: DataFrame, src: str, dst: str) -> DataFrame:
+    """All columns of the edges between two nodes, cheapest first."""
+    return edges.where((F.col("src") == src) & (F.col("dst") == dst)).orderBy("weight")
+
+
+def attribute_map(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """(id, attributes): the named columns of each node as a map of texts; nulls are left out."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("k"), F.col(n).cast("string").alias("v")) for n in names])
+    return nodes.select("id", F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull())).alias("attributes"))
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """(id, neighbours): neighbours (dst, weight) in text order."""
     return edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.struct("dst", "weight"))).alias("neighbours"))
@@ -51,7 +62,8 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         near = links.join(now.withColumnsRenamed({"id": "dst", "component": "c"}), "dst").groupBy(F.col("src").alias("id")).agg(F.min("c").alias("c"))
         took = now.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("c", "component")).alias("component"))
         jump = took.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        now = rounds.save(took.join(jump, "component").select("id", "old", F.least("component", "next").alias("component")))
+        before, now = now, rounds.save(took.join(jump, "component").select("id", "old", F.least("component", "next").alias("component")))
+        rounds.drop(before)
         if not now.where("component <> old").limit(1).count():
             return now.select("id", "component")
 

@@ -34,7 +34,8 @@ def _relax(edges: DataFrame, origin: str, rank: list[str], stop=None, cost: str
         both = best.withColumn("fresh", F.lit(False)).unionByName(reached)
         order = F.struct(*[F.col(c) for c in rank], F.col("fresh"), *[F.col(c) for c in ("cost", "hops", "path") if c not in rank])
         new = both.groupBy("id").agg(F.min(order).alias("m")).select("id", "m.cost", "m.hops", "m.path", "m.fresh")
-        best = rounds.save(new)
+        before, best = best, rounds.save(new)
+        rounds.drop(before)
         if not best.where("fresh").limit(1).count():
             return best.drop("fresh")
 
@@ -96,6 +97,7 @@ def all_pairs(nodes: DataFrame, edges: DataFrame, cost: str = "weight") -> DataF
         least = longer.groupBy("src", "dst").agg(F.min(F.struct("cost", F.size("path").alias("n"), "path")).alias("m")).select("src", "dst", "m.cost", "m.path")
         new = rounds.save(least)
         changed = new.join(now.select("src", "dst", F.col("cost").alias("old")), ["src", "dst"], "left").where("old is null or cost < old").limit(1).count()
+        rounds.drop(now)
         now = new
         if not changed:
             return now

@@ -1,30 +1,51 @@
 """Range, nearest-neighbour and counting joins on coordinates.
 
 A range join hashes both sides into grid cells as wide as the radius and joins cells with
-equal keys, so no side is broadcast and no pair outside neighbouring cells is made.
+equal keys, so no side is broadcast and no pair outside neighbouring cells is made.  Cells go round the globe;
+their width in degrees comes from the highest latitude of the data.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from roadflow.functions.geo import EARTH_M, haversine
+from roadflow.scratch import Rounds
 
 
 def _cell(c: str, width: float) -> Column:
     return F.floor(F.col(c) / F.lit(width))
 
 
+def cell_widths(metres: float, top: float) -> tuple[float, float]:
+    """Degrees of longitude and latitude that no pair within a distance exceeds, up to a latitude ``top``; 360 where a pole is near."""
+    reach = math.sin(min(metres / EARTH_M, math.pi) / 2)
+    lat = math.degrees(metres / EARTH_M) * 1.000001
+    share = reach / max(math.cos(math.radians(min(top, 90.0))), 1e-12)
+    return (360.0 if share >= 1 else math.degrees(2 * math.asin(share)) * 1.000001), lat
+
+
+def highest(nodes: DataFrame) -> float:
+    """The largest latitude, without its sign."""
+    return float(nodes.agg(F.max(F.abs("lat"))).first()[0] or 0.0)
+
+
 def range_join(left: DataFrame, right: DataFrame, width_lon: float, width_lat: float, how: str = "inner") -> DataFrame:
     """Pairs from the same or neighbouring cells; all columns of both sides, which must not clash.
 
-    ``left`` has lon and lat, ``right`` has lon2 and lat2.  Callers add the exact condition.
+    ``left`` has lon and lat, ``right`` has lon2 and lat2.  Callers add the exact condition.  The last cell of longitude is
+    the first one's neighbour; fewer than three cells are one.
     """
     near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-    a = left.withColumn("cx", _cell("lon", width_lon)).withColumn("cy", _cell("lat", width_lat))
-    b = right.withColumn("dx", near).withColumn("dy", near).withColumn("cx", _cell("lon2", width_lon) + F.col("dx")).withColumn("cy", _cell("lat2", width_lat) + F.col("dy")).drop("dx", "dy")
+    around = int(360 // width_lon)
+    lon = lambda c, d: F.pmod(F.floor((F.col(c) + 180) / F.lit(360 / around)) + d, F.lit(around)) if around >= 3 else F.lit(0).cast("long")
+    a = left.withColumn("cx", lon("lon", F.lit(0))).withColumn("cy", _cell("lat", width_lat))
+    b = right.withColumn("dx", near if around >= 3 else F.lit(0)).withColumn("dy", near)
+    b = b.withColumn("cx", lon("lon2", F.col("dx"))).withColumn("cy", _cell("lat2", width_lat) + F.col("dy")).drop("dx", "dy")
     return a.join(b, ["cx", "cy"], how).drop("cx", "cy")
 
 
@@ -39,7 +60,7 @@ def pairs_within_degrees(sites: DataFrame, radius: float, key: str = "site_no")
 
 def count_within_metres(sites: DataFrame, others: DataFrame, metres: float, key: str = "site_no") -> DataFrame:
     """(key, n): how many of ``others`` lie within a distance of each site (inclusive); sites without any count 0."""
-    lat_width, lon_width = metres / 110_000.0, metres / 80_000.0  # no narrower than the distance between 43 degrees south and north
+    lon_width, lat_width = cell_widths(metres, highest(sites))
     found = range_join(sites.select(key, "lon", "lat"), others.select(F.col("lon").alias("lon2"), F.col("lat").alias("lat2")).where("lon is not null and lat is not null"), lon_width, lat_width)
     n = found.where(haversine("lat", "lon", "lat2", "lon2") <= metres).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     return sites.select(key).join(n, key, "left").select(key, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
@@ -50,46 +71,62 @@ def cross_component_pairs(nodes: DataFrame, metres: float, radius: float = EARTH
 
     ``nodes``: id, lon, lat, component.
     """
-    lat_width, lon_width = metres / 110_000.0, metres / 80_000.0
     one = nodes.select(F.col("id").alias("a"), "lon", "lat", F.col("component").alias("component_a"))
+    return _pairs_between(one, nodes, metres, highest(nodes), radius).where("a < b")
+
+
+def _pairs_between(one: DataFrame, nodes: DataFrame, metres: float, top: float, radius: float = EARTH_M) -> DataFrame:
+    lon_width, lat_width = cell_widths(metres * EARTH_M / radius, top)
     two = nodes.select(F.col("id").alias("b"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), F.col("component").alias("component_b"))
-    both = range_join(one, two, lon_width, lat_width).where("component_a <> component_b and a < b")
+    both = range_join(one, two, lon_width, lat_width).where("component_a <> component_b")
     far = haversine("lat", "lon", "lat2", "lon2", radius)
     return both.select("a", "b", "component_a", "component_b", far.alias("dist")).where(F.col("dist") <= metres)
 
 
-def nearest_other(nodes: DataFrame, k: int, start_m: float = 2_000.0, most_m: float = 200_000.0) -> DataFrame:
-    """(a, b, dist, rank): the k nearest nodes of other components for each node, ties by id.
+#: No two places are further apart.
+HALF_ROUND_M = math.pi * EARTH_M * 1.01
+
 
-    The search radius doubles until every node has k neighbours inside it or the limit is reached.
+def nearest_other(nodes: DataFrame, k: int, start_m: float = 2_000.0) -> DataFrame:
+    """(a, b, dist, rank): the k nearest nodes of other components for each node, ties by id; all of them where there are fewer.
+
+    A node that finds as many within the search radius is done; the others go on with a wider one.
+    """
+    rounds, top, total = Rounds(nodes.sparkSession, "nearest"), highest(nodes), nodes.count()
+    sizes = nodes.groupBy("component").agg(F.least(F.lit(total) - F.count(F.lit(1)), F.lit(k)).alias("need"))
+    todo = rounds.save(nodes.join(sizes, "component").where("need > 0").select(F.col("id").alias("a"), "lon", "lat", F.col("component").alias("component_a"), "need"))
+    done, metres = None, start_m
+    while done is None or todo.limit(1).count():
+        pairs = _pairs_between(todo.drop("need"), nodes, metres, top).select("a", "b", "dist")
+        ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy("dist", "b"))).where(F.col("rank") <= k)
+        whole = ranked.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("a"))).join(todo.select("a", "need"), "a").where("n = need").select("a", "b", "dist", "rank")
+        found = rounds.save(whole)
+        done = found if done is None else done.unionByName(found)
+        todo = rounds.save(todo.join(found.select("a").distinct(), "a", "left_anti"))
+        if metres >= HALF_ROUND_M:
+            break
+        metres = min(metres * 4, HALF_ROUND_M)
+    return done
+
+
+def nearest_to_largest(nodes: DataFrame, start_m: float = 2_000.0) -> DataFrame:
+    """(component, a, b, dist): for each component but the largest its nearest pair with the largest; ties by ids.
+
+    A component that finds a pair within the search radius is done; the others go on with a wider one.
     """
-    metres = start_m
-    want = nodes.select("component").distinct().count()
-    if want < 2:
-        return nodes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("dist"), F.lit(0).alias("rank")).limit(0)
-    while True:
-        pairs = cross_component_pairs(nodes, metres)
-        both = pairs.select("a", "b", "dist").union(pairs.select("b", "a", "dist"))
-        ranked = both.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy("dist", "b"))).where(F.col("rank") <= k)
-        full = ranked.where(F.col("rank") == k).count()
-        if metres >= most_m or full == nodes.count():
-            return ranked
-        metres *= 2
-
-
-def nearest_to_largest(nodes: DataFrame, start_m: float = 2_000.0, most_m: float = 200_000.0) -> DataFrame:
-    """(component, a, b, dist): for each component but the largest its nearest pair with the largest; ties by ids."""
-    size = nodes.groupBy("component").count()
-    largest = size.orderBy(F.desc("count"), "component").limit(1).select(F.col("component").alias("main"))
+    rounds, top = Rounds(nodes.sparkSession, "nearest"), highest(nodes)
+    largest = nodes.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1).select(F.col("component").alias("main"))
     tagged = nodes.join(F.broadcast(largest), nodes["component"] == F.col("main"), "left")  # one row
-    rest = size.count() - 1
-    metres = start_m
-    while True:
-        lat_width, lon_width = metres / 110_000.0, metres / 80_000.0
-        one = tagged.where("main is null").select(F.col("id").alias("a"), "lon", "lat", "component")
-        two = tagged.where("main is not null").select(F.col("id").alias("b"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
-        near = range_join(one, two, lon_width, lat_width).withColumn("dist", haversine("lat", "lon", "lat2", "lon2")).where(F.col("dist") <= metres)
-        best = near.groupBy("component").agg(F.min(F.struct("dist", "a", "b")).alias("m")).select("component", "m.a", "m.b", "m.dist")
-        if metres >= most_m or best.count() >= rest:
-            return best
-        metres *= 2
+    todo = rounds.save(tagged.where("main is null").select(F.col("id").alias("a"), "lon", "lat", F.col("component").alias("component_a")))
+    main = rounds.save(tagged.where("main is not null").select("id", "lon", "lat", "component"))
+    done, metres = None, start_m
+    while done is None or todo.limit(1).count():
+        near = _pairs_between(todo, main, metres, top)
+        best = near.groupBy(F.col("component_a").alias("component")).agg(F.min(F.struct("dist", "a", "b")).alias("m"))
+        found = rounds.save(best.select("component", "m.a", "m.b", "m.dist"))
+        done = found if done is None else done.unionByName(found)
+        todo = rounds.save(todo.join(found.select(F.col("component").alias("component_a")), "component_a", "left_anti"))
+        if metres >= HALF_ROUND_M:
+            break
+        metres = min(metres * 4, HALF_ROUND_M)
+    return done

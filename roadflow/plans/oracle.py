@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from roadflow.functions import flow
 from roadflow.operators.enrich import HOLIDAYS
-from roadflow.plans.queries import BEFORE, HOUR_SLOTS, ORIGIN, RADIUS, TARGET
+from roadflow.plans.queries import BEFORE, ORIGIN, RADIUS, SLOTS, TARGET, TYPES as EVENT_TYPES
 
 
 def _place(k: str, a: int, b: int, c: int, d: int) -> str:
@@ -111,9 +111,9 @@ def oracle_sql() -> dict[str, str]:
     comp3 = f"WITH {NODES}, {E3}, {_labels('edges')}, placed AS MATERIALIZED (SELECT n.id, n.lon, n.lat, l.component FROM nodes n JOIN label l USING (id))"
     dist = _hav("a.lat", "a.lon", "b.lat", "b.lon")
     return {
-        "s10_column_pruning": "SELECT event_id, user_id FROM events WHERE user_id % 2 = 0",
+        "s10_column_pruning": "SELECT event_id, user_id FROM events",
         "s13_site_ids": f"WITH {NODES} SELECT id FROM nodes",
-        "s14_sheet_unpivot": f"WITH {DET}, d AS (SELECT DISTINCT NB_SCATS_SITE AS site, date FROM det), k AS (SELECT unnest({HOUR_SLOTS}) AS k) SELECT d.site, CAST(d.date AS VARCHAR) AS date, 'one_' || k AS time, CASE WHEN EXISTS (SELECT 1 FROM det WHERE det.NB_SCATS_SITE = d.site AND det.date = d.date AND {SLOT} = k) THEN 1.0::DOUBLE END AS flow FROM d, k",
+        "s14_sheet_unpivot": f"WITH {DET}, d AS (SELECT DISTINCT NB_SCATS_SITE AS site, date FROM det), k AS (SELECT unnest({SLOTS}) AS k) SELECT d.site, CAST(d.date AS VARCHAR) AS date, 'one_' || k AS time, CASE WHEN EXISTS (SELECT 1 FROM det WHERE det.NB_SCATS_SITE = d.site AND det.date = d.date AND {SLOT} = k) THEN 1.0::DOUBLE END AS flow FROM d, k",
         "s15_tail_split": "WITH r AS (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) <= 1000 AS is_test FROM events) SELECT is_test, count(*) AS n, min(event_id) AS low, max(event_id) AS high FROM r GROUP BY ALL",
         "p2_wkt_extract": f"WITH {SITES} SELECT site_no, CASE WHEN CAST(site_no AS INT) % 7 <> 0 THEN round(lon, 3) END AS lon, CASE WHEN CAST(site_no AS INT) % 7 <> 0 THEN round(lat, 3) END AS lat FROM sites",
         "f1_bbox_sites": f"WITH {NODES} SELECT s.site_no, s.site_type, round(s.lon, 6) AS lon, round(s.lat, 6) AS lat FROM sites s JOIN nodes n ON n.id = s.site_no",
@@ -133,12 +133,20 @@ def oracle_sql() -> dict[str, str]:
         "n31_positional_encoding": "SELECT CAST(p AS BIGINT) AS pos, CAST(i AS BIGINT) AS i, round(CASE WHEN i % 2 = 0 THEN sin(p * exp((i - i % 2) * -ln(10000.0) / 8)) ELSE cos(p * exp((i - i % 2) * -ln(10000.0) / 8)) END, 6) AS value FROM range(24) a(p), range(8) b(i)",
         "w6_future_slots": "WITH m AS (SELECT user_id AS site, max(ts) AS ts FROM events GROUP BY ALL) SELECT site, strftime(ts + INTERVAL (15 * k) MINUTE, '%Y-%m-%d %H:%M:%S') AS t FROM m, range(1, 5) r(k)",
         "a1_detector_sum": f"WITH {CLEAN} SELECT NB_SCATS_SITE, CAST(date AS VARCHAR) AS date, {', '.join(f'CAST(sum({v}) AS BIGINT) AS {v}' for v in VS)} FROM clean GROUP BY ALL",
-        "a2_pivot_slots": f"WITH {DET}, s AS (SELECT NB_SCATS_SITE, date, {SLOT} AS slot, count(*) AS n FROM det GROUP BY ALL) SELECT NB_SCATS_SITE, CAST(date AS VARCHAR) AS date, {', '.join(f'avg(CASE WHEN slot = {k} THEN n END) AS V00_{k}' for k in HOUR_SLOTS)} FROM s GROUP BY ALL",
+        "a2_pivot_slots": f"WITH {DET}, s AS (SELECT NB_SCATS_SITE, date, {SLOT} AS slot, count(*) AS n FROM det GROUP BY ALL) SELECT NB_SCATS_SITE, CAST(date AS VARCHAR) AS date, {', '.join(f'avg(CASE WHEN slot = {k} THEN n END) AS V00_{k}' for k in SLOTS)} FROM s GROUP BY ALL",
         "a3_flow_extents": f"WITH {CLEAN} SELECT min(least({', '.join(VS)})) AS min_flow, max(greatest({', '.join(VS)})) AS max_flow, CAST(sum({' + '.join(map(_zero, VS))}) AS BIGINT) AS zeros FROM clean",
         "a4_drop_counters": f"WITH {WIDE} SELECT count(*) AS rows_before, count(*) FILTER (NOT ({FULL})) AS dropped_null, count(*) FILTER (({FULL}) AND NOT ({NONNEG})) AS dropped_negative, count(*) FILTER (({FULL}) AND ({NONNEG})) AS rows_after FROM wide",
         "a5_series_profile": f"WITH {DET} SELECT round(min(value), 6) AS min_flow, round(max(value), 6) AS max_flow, round(avg(value), 4) AS mean_flow, round(stddev_pop(value), 4) AS std_flow, count(DISTINCT NB_SCATS_SITE) AS sites, count(DISTINCT date) AS dates, count(*) FILTER (value IS NULL) AS null_flows, count(*) FILTER (value < 0) AS negative_flows FROM det",
         "r2_unpivot_slots": f"WITH {WIDE} " + " UNION ALL ".join(f"SELECT NB_SCATS_SITE, CAST(date AS VARCHAR) AS date, NB_DETECTOR, '{v}' AS time_idx, CAST({v} AS DOUBLE) AS Flow FROM wide" for v in VS),
-        "r3_one_hot": "SELECT event_id, " + ", ".join(f"CAST(event_type = '{c}' AS INT) AS is_{c}" for c in ("click", "view", "purchase")) + " FROM events",
+        "r3_one_hot": "SELECT event_id, " + ", ".join(f"CAST(event_type = '{c}' AS INT) AS is_{c}" for c in EVENT_TYPES) + " FROM events",
+        "a14_class_counts": "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY ALL",
+        "w5_row_slice": "SELECT event_id FROM events ORDER BY ts, event_id LIMIT 24 OFFSET 300",
+        "w2_lag_across_sites": "SELECT * FROM (SELECT event_id, CAST(floor(value) AS BIGINT) AS v, lag(CAST(floor(value) AS BIGINT), 12) OVER w AS lag_12, lag(CAST(floor(value) AS BIGINT)) OVER w AS lag_1 FROM events WINDOW w AS (ORDER BY ts, event_id) QUALIFY row_number() OVER w > 12)",
+        "o1_in_order": "SELECT event_id, row_number() OVER (ORDER BY user_id, ts, event_id) AS place FROM events",
+        "l3_random_sample": "SELECT least(count(*), 50) AS n, least(count(*), 50) AS different FROM events",
+        "g20_edge_data": f"WITH {NODES}, {E3} SELECT src, dst, weight FROM edges WHERE src = '{ORIGIN}' AND dst = (SELECT min(dst) FROM edges WHERE src = '{ORIGIN}')",
+        "n4_degree_distances": f"WITH {NODES}, {E2} SELECT e.src, e.dst, round(sqrt((a.lat - b.lat) ** 2 + (a.lon - b.lon) ** 2), 2) AS apart, round(sqrt(CAST((trunc(a.lat) - trunc(b.lat)) ** 2 + (trunc(a.lon) - trunc(b.lon)) ** 2 AS DOUBLE)), 6) AS whole FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE e.src < e.dst",
+        "n28_desirability": f"WITH {NODES}, {E2} SELECT src, dst, round(0.5::DOUBLE * pow(1 / CAST(weight AS DOUBLE), 2) * 1e6::DOUBLE, 6) AS pull FROM edges",
         "l1_sample": f"WITH {DAILY} SELECT NB_SCATS_SITE, CAST(date AS VARCHAR) AS date, n FROM daily ORDER BY 1, daily.date LIMIT 100",
         "x1_union_years": f"WITH {DET} SELECT NB_SCATS_SITE, CAST(count(*) AS DOUBLE) AS first_half, CAST(NULL AS DOUBLE) AS second_half FROM det WHERE date < DATE '2024-01-15' GROUP BY 1 UNION ALL SELECT NB_SCATS_SITE, NULL, CAST(count(*) AS DOUBLE) FROM det WHERE date >= DATE '2024-01-15' GROUP BY 1",
         "x3_distinct_types": "SELECT DISTINCT event_type FROM events",
@@ -184,7 +192,7 @@ def oracle_sql() -> dict[str, str]:
         "g12_shortest_cost": f"WITH {TRIP}, {_dijkstra()} SELECT id, CAST(cost AS BIGINT) AS cost FROM best",
         "g13_multi_target": f"WITH {TRIP}, {_dijkstra()} SELECT id, CAST(cost AS BIGINT) AS cost FROM best WHERE id IN ('{TARGET}', '30', '1028') ORDER BY cost LIMIT 1",
         "g14_a_star": f"WITH {TRIP}, {_dijkstra()} SELECT id, CAST(cost AS BIGINT) AS cost FROM best WHERE id = '{TARGET}'",
-        "g9_all_pairs": f"""WITH {NODES}, {E2}, {_chunk('edges', '30', '30', 0.0)}, every(src, dst, cost) AS (SELECT * FROM (WITH RECURSIVE d(s, id, cost) USING KEY (s, id) AS (
+        "g9_all_pairs": f"""WITH {TRIP}, every(src, dst, cost) AS (SELECT * FROM (WITH RECURSIVE d(s, id, cost) USING KEY (s, id) AS (
     SELECT id, id, CAST(0 AS DOUBLE) FROM kept
     UNION
     SELECT d.s, e.dst, min(d.cost + e.weight) FROM d JOIN arcs e ON e.src = d.id LEFT JOIN recurring.d old ON old.s = d.s AND old.id = e.dst GROUP BY d.s, e.dst, old.cost HAVING old.cost IS NULL OR min(d.cost + e.weight) < old.cost

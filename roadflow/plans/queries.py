@@ -13,7 +13,8 @@ from roadflow.operators import clean, enrich, features, graph, paths, spatial, w
 
 RADIUS = 0.03
 ORIGIN, TARGET = "1", "4"
-HOUR_SLOTS = list(range(8, 12))
+SLOTS = list(range(96))
+TYPES = ["click", "error", "purchase", "signup", "view"]
 BEFORE = "2024-01-20 00:00:00"
 
 
@@ -61,7 +62,7 @@ def _pairs(s: SparkSession, d: str) -> DataFrame:
 
 
 def s10_column_pruning(s, d):
-    return table(s, d, "events").select("event_id", "user_id").where("user_id % 2 = 0")
+    return table(s, d, "events").select("event_id", "user_id")
 
 
 def s13_site_ids(s, d):
@@ -71,8 +72,8 @@ def s13_site_ids(s, d):
 def s14_sheet_unpivot(s, d):
     from roadflow.sources.files import scats_sheet
 
-    wide = clean.pivot_slots(detector_rows(s, d).withColumn("slot", calendar.slot(F.col("ts"))).withColumn("one", F.lit(1.0)), ["NB_SCATS_SITE", "date"], "slot", HOUR_SLOTS, ["one"])
-    sheet = wide.select("NB_SCATS_SITE", *[F.lit(None).alias(f"f{i}") for i in range(8)], F.col("date").cast("string").alias("day"), *[f"one_{k}" for k in HOUR_SLOTS], *[F.lit(None).alias(f"z{i}") for i in range(3)])
+    wide = clean.pivot_slots(detector_rows(s, d).withColumn("slot", calendar.slot(F.col("ts"))).withColumn("one", F.lit(1.0)), ["NB_SCATS_SITE", "date"], "slot", SLOTS, ["one"])
+    sheet = wide.select("NB_SCATS_SITE", *[F.lit(None).alias(f"f{i}") for i in range(8)], F.col("date").cast("string").alias("day"), *[f"one_{k}" for k in SLOTS], *[F.lit(None).alias(f"z{i}") for i in range(3)])
     return scats_sheet(sheet)
 
 
@@ -173,7 +174,7 @@ def a1_detector_sum(s, d):
 
 def a2_pivot_slots(s, d):
     e = detector_rows(s, d).withColumn("slot", calendar.slot(F.col("ts"))).groupBy("NB_SCATS_SITE", "date", "slot").agg(F.count(F.lit(1)).alias("V00"))
-    return clean.pivot_slots(e, ["NB_SCATS_SITE", "date"], "slot", HOUR_SLOTS, ["V00"]).withColumn("date", F.col("date").cast("string"))
+    return clean.pivot_slots(e, ["NB_SCATS_SITE", "date"], "slot", SLOTS, ["V00"]).withColumn("date", F.col("date").cast("string"))
 
 
 def a3_flow_extents(s, d):
@@ -194,7 +195,28 @@ def r2_unpivot_slots(s, d):
 
 
 def r3_one_hot(s, d):
-    return features.one_hot(table(s, d, "events").select("event_id", "event_type"), "event_type", ["click", "view", "purchase"], "is").drop("event_type")
+    return features.one_hot(table(s, d, "events").select("event_id", "event_type"), "event_type", TYPES, "is").drop("event_type")
+
+
+def a14_class_counts(s, d):
+    return features.class_counts(table(s, d, "customer"), "c_mktsegment")
+
+
+def w5_row_slice(s, d):
+    return features.row_slice(table(s, d, "events").select("event_id", "ts"), ["ts", "event_id"], 300, 24).select("event_id")
+
+
+def w2_lag_across_sites(s, d):
+    return features.lag_windows(table(s, d, "events").select("event_id", "ts", F.floor("value").alias("v")), ["ts", "event_id"], "v", 12).select("event_id", "v", "lag_12", "lag_1")
+
+
+def o1_in_order(s, d):
+    return features.in_order(table(s, d, "events").select(F.col("user_id").alias("site"), "ts", "event_id"), ["site", "ts", "event_id"], "place").select("event_id", F.col("place").cast("long").alias("place"))
+
+
+def l3_random_sample(s, d):
+    picked = features.sample_rows(table(s, d, "events").select("event_id"), ["event_id"], 50)
+    return picked.join(table(s, d, "events"), "event_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("different"))
 
 
 def l1_sample(s, d):
@@ -335,6 +357,23 @@ def g6_adjacency(s, d):
     return a.select("id", F.array_join(F.transform("neighbours", lambda x: F.concat_ws(":", x["dst"], x["weight"].cast("string"))), ",").alias("neighbours"))
 
 
+def g20_edge_data(s, d):
+    edges = _edges(s, d)
+    return graph.edge_data(edges, ORIGIN, edges.where(F.col("src") == ORIGIN).agg(F.min("dst")).first()[0] or "").select("src", "dst", "weight")
+
+
+def n4_degree_distances(s, d):
+    e = _edges(s, d, 0.02).where("src < dst")
+    a, b = (_nodes(s, d).select(F.col("id").alias(k), F.col("lon").alias(f"lon_{k}"), F.col("lat").alias(f"lat_{k}")) for k in ("src", "dst"))
+    both = e.join(a, "src").join(b, "dst")
+    return both.select("src", "dst", geo.degrees_apart("lat_src", "lon_src", "lat_dst", "lon_dst").alias("apart"), F.round(geo.whole_degrees_apart("lat_src", "lon_src", "lat_dst", "lon_dst"), 6).alias("whole"))
+
+
+def n28_desirability(s, d):
+    e = _edges(s, d, 0.02)
+    return e.select("src", "dst", F.round(flow.desirability(F.lit(0.5), F.col("weight").cast("double")) * 1e6, 6).alias("pull"))
+
+
 def g20_degree(s, d):
     return graph.degrees(_edges(s, d))
 
@@ -446,7 +485,7 @@ def g14_a_star(s, d):
 
 
 def g9_all_pairs(s, d):
-    nodes, edges = graph.chunk(_nodes(s, d), _edges(s, d, 0.02), "30", "30", 0.0)
+    nodes, edges = _trip(s, d)
     return paths.all_pairs(nodes, edges).select("src", "dst", F.col("cost").cast("long").alias("cost"))
 
 
@@ -474,15 +513,12 @@ def g15_greedy_path(s, d):
     return _told(walk.greedy(nodes, edges, ORIGIN, TARGET))
 
 
-def aco_best(s, d):
-    nodes, edges = graph.chunk(_nodes(s, d), _edges(s, d), ORIGIN, TARGET, 0.1)
-    return _told(walk.ant_colony(edges, ORIGIN, [TARGET]))
-
-
 def k2_top_k_paths(s, d):
-    nodes, edges = _trip(s, d)
-    visits = paths.shortest(edges, ORIGIN).where("hops > 0")
-    return _told(paths.top_paths(visits, 5))
+    """The best distinct paths of one trip that ants find on the completed chunk: ten kept, five returned."""
+    from roadflow.plans.route import route
+
+    found = route(_nodes(s, d), _edges(s, d), ORIGIN, TARGET, "ACO")
+    return found.select(F.col("rank").cast("long").alias("rank"), F.array_join("path", ">").alias("path"), F.floor("cost").cast("long").alias("cost"))
 
 
 def n22_route_text(s, d):

@@ -5,6 +5,7 @@ Loops cut their lineage with these, so a lost executor costs a reread and no mor
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; only where that is unset (local tests) a temporary folder is made and set."""
+    """``spark.checkpoint.dir``; only where that is unset in a local session (tests) a temporary folder is made and set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="roadflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -30,4 +33,11 @@ class Rounds:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._round_path = path
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Delete the state of a round that no later plan reads."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(df._round_path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
