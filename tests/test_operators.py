@@ -113,3 +113,64 @@ def test_attention():
     x = np.random.default_rng(0).normal(size=(1, 4, 3))
     y = attention(x, x, x, causal=True)
     assert y.shape == (1, 4, 3) and np.allclose(y[0, 0], x[0, 0])
+
+
+def _metres(a, b):
+    import math
+
+    p, q, x, y = map(math.radians, (a[1], b[1], a[0], b[0]))
+    return 2 * 6_371_000.0 * math.asin(math.sqrt(math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin((y - x) / 2) ** 2))
+
+
+@pytest.mark.parametrize("lat", [0.0, 60.0, 75.0, -89.95])
+def test_range_joins_at_any_latitude(spark, lat):
+    import math
+    import random
+
+    from roadflow.operators import spatial
+
+    rng = random.Random(int(lat))
+    wide = 40 / max(0.5, 111 * math.cos(math.radians(lat)))
+    place = lambda: ((rng.uniform(-wide, wide) + 180 + 180) % 360 - 180, min(90.0, max(-90.0, lat + rng.uniform(-0.2, 0.2))))  # noqa: E731  # on both sides of the date line
+    points = [(str(i), *place(), str(i % 3)) for i in range(90)]
+    nodes = spark.createDataFrame(points, "id string, lon double, lat double, component string")
+    want = {(a[0], b[0]) for a in points for b in points if a[0] < b[0] and a[3] != b[3] and _metres(a[1:3], b[1:3]) <= 5000}
+    assert {(r["a"], r["b"]) for r in spatial.cross_component_pairs(nodes, 5000.0).collect()} == want
+    counts = {r["id"]: r["n"] for r in spatial.count_within_metres(nodes, nodes.select("lon", "lat"), 5000.0, "id").collect()}
+    assert counts == {a[0]: sum(_metres(a[1:3], b[1:3]) <= 5000 for b in points) for a in points}
+
+
+def test_nearest_neighbours_at_any_distance(spark):
+    from roadflow.operators import spatial
+
+    points = [("a", 0.0, 0.0, "x"), ("b", 0.01, 0.0, "x"), ("c", 170.0, 60.0, "y"), ("d", -175.0, -40.0, "z")]
+    nodes = spark.createDataFrame(points, "id string, lon double, lat double, component string")
+    want = sorted((a[0], b[0]) for a in points for b in sorted((b for b in points if b[3] != a[3]), key=lambda b: (_metres(a[1:3], b[1:3]), b[0]))[:3])
+    assert sorted((r["a"], r["b"]) for r in spatial.nearest_other(nodes, 3).collect()) == want
+    found = {r["component"]: r["b"] for r in spatial.nearest_to_largest(nodes).collect()}
+    assert found == {c: min("ab", key=lambda i: _metres(next(p[1:3] for p in points if p[0] == i), q)) for c, q in (("y", points[2][1:3]), ("z", points[3][1:3]))}
+
+
+def test_lags_across_blocks(spark):
+    from roadflow.operators import features
+
+    rows = [(i, (i * 7919) % 1000) for i in range(2500)]
+    got = {r["t"]: (r["lag_2"], r["lag_1"]) for r in features.lag_windows(spark.createDataFrame(rows, "t long, v long"), ["t"], "v", 2).collect()}
+    assert got == {i: (rows[i - 2][1], rows[i - 1][1]) for i in range(2, 2500)}
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from roadflow.scratch import shared_dir
+
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    on = lambda master, **conf: SimpleNamespace(conf=Conf(conf), sparkContext=SimpleNamespace(master=master))
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError):
+            shared_dir(on(master))
+        assert shared_dir(on(master, **{"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y"
+    assert shared_dir(on("local[4]"))

@@ -11,7 +11,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["f1_bbox_sites", "a1_detector_sum", "a2_pivot_slots", "j3_site_type_fallback", "j6_schools_within_500m", "w1_windows_24_1_4", "n7_flow_to_speed", "g20_degree", "g2_components", "e2_regression_metrics", "pipeline_long_series"]
+NAMES = ["f1_bbox_sites", "a1_detector_sum", "a2_pivot_slots", "j3_site_type_fallback", "j6_schools_within_500m", "w1_windows_24_1_4", "n7_flow_to_speed", "g20_degree", "g2_components", "e2_regression_metrics", "pipeline_long_series", "r3_one_hot", "w5_row_slice", "w2_lag_across_sites", "o1_in_order", "n4_degree_distances", "n28_desirability", "j12_knn_3", "j13_nearest_pair"]
 
 
 def _rows(columns, rows):
