@@ -33,6 +33,12 @@ def date_time(date: Column, time: Column, pattern: str = "yyyy-MM-dd HH:mm") ->
     return F.try_to_timestamp(F.concat_ws(" ", date, time), F.lit(pattern))
 
 
+def date_time_of(columns: list[str], names: tuple[tuple[str, str], ...] = (("date", "time"), ("QT_DATE", "QT_TIME"))) -> Column:
+    """``date_time`` of the first pair of columns that is there and parses."""
+    there = [date_time(F.col(d), F.col(t)) for d, t in names if d in columns and t in columns]
+    return F.coalesce(*there) if there else F.lit(None).cast("timestamp")
+
+
 def date_in_name(name: Column) -> Column:
     """The date in a file name's first run of eight digits."""
     return F.try_to_timestamp(F.regexp_extract(name, r"(\d{8})", 1), F.lit("yyyyMMdd")).cast("date")
@@ -57,6 +63,19 @@ def clock_from_cycle(sin: Column, cos: Column, period: float) -> Column:
     return F.round(F.pmod(F.atan2(sin, cos) / F.lit(2 * math.pi), F.lit(1.0)) * period, 6)
 
 
+def next_cycle(names: dict[str, Column], minutes: int = 15) -> list[Column]:
+    """The eight ``cyclical`` columns a step later, from the columns themselves.
+
+    Minute and hour are read back from their sines and cosines and advanced; past midnight the weekday goes on by one; the month
+    stays.  The last values of hour and minute share their angle with 0 (23 and 59 are whole periods) and count as 0 then.
+    """
+    back = lambda n, p: F.round(clock_from_cycle(names[f"{n}_sin"], names[f"{n}_cos"], p)).cast("int") % p
+    minute = back("minute", 59) + minutes
+    hour = back("hour", 23) + F.floor(minute / 60).cast("int")
+    day = (back("dow", 7) + F.floor(hour / 24).cast("int")) % 7
+    return [*_cycle(day, 7, "dow"), names["month_sin"].alias("month_sin"), names["month_cos"].alias("month_cos"), *_cycle(hour % 24, 23, "hour"), *_cycle(minute % 60, 59, "minute")]
+
+
 def positional_encoding(length: int, width: int) -> Column:
     """array[length][width] of sinusoidal position codes."""
     def one(pos: Column) -> Column:

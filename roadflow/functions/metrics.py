@@ -27,3 +27,10 @@ def batched(df: DataFrame, actual: str, predicted: str, batch: Column) -> DataFr
     e = F.col(actual) - F.col(predicted)
     per = df.where(e.isNotNull()).groupBy(batch.alias("batch")).agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.sum(e * e).alias("se"), F.sum(F.abs(e)).alias("ae"), F.count(F.lit(1)).alias("n"))
     return per.agg(F.avg("mse").alias("batch_mse"), F.avg("mae").alias("batch_mae"), (F.sum("se") / F.sum("n")).alias("mse"), (F.sum("ae") / F.sum("n")).alias("mae"), F.sqrt(F.sum("se") / F.sum("n")).alias("rmse"))
+
+
+def sampled(df: DataFrame, actual: str, predicted: str, keys: list[str], n: int = 1000, seed: int = 42) -> DataFrame:
+    """``regression`` over n rows picked by a hash of their keys (all, if there are fewer)."""
+    from roadflow.operators.features import sample_rows
+
+    return regression(sample_rows(df, keys, n, seed), actual, predicted)

@@ -127,6 +127,9 @@ def oracle_sql() -> dict[str, str]:
         "n11_slot_label": f"SELECT printf('%02d:%02d', CAST({SLOT} // 4 AS INT), CAST({SLOT} % 4 * 15 AS INT)) AS time, count(*) AS n FROM events GROUP BY ALL",
         "n12_date_formats": "SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS date FROM events",
         "n13_date_time": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:00') AS t FROM events",
+        "n13_fallback_columns": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:00') ELSE strftime(ts, '%Y-%m-%d 00:15:00') END AS t FROM events",
+        "n18_next_step": f"WITH e AS (SELECT event_id, ts AS old, ts + INTERVAL 15 MINUTE AS ts FROM events WHERE hour(ts) < 23 AND minute(ts) < 59) SELECT event_id, {_cycle('isodow(ts) - 1', 7, 'dow')}, {_cycle('month(old) - 1', 12, 'month')}, {_cycle('hour(ts)', 23, 'hour')}, {_cycle('minute(ts)', 59, 'minute')} FROM e".replace(", 6)", ", 5)"),
+        "e5_sampled_metrics": f"WITH {PAIRS} SELECT least(count(*), 1000) AS n, true AS apart, true AS ordered FROM pairs WHERE predicted IS NOT NULL",
         "n14_date_in_name": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS n FROM events GROUP BY ALL",
         "n15_cyclical_features": f"SELECT event_id, {_cycle('isodow(ts) - 1', 7, 'dow')}, {_cycle('month(ts) - 1', 12, 'month')}, {_cycle('hour(ts)', 23, 'hour')}, {_cycle('minute(ts)', 59, 'minute')} FROM events",
         "n18_inverse_cycle": "SELECT event_id, CAST(hour(ts) AS BIGINT) AS hour FROM events WHERE hour(ts) < 23",

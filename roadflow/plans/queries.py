@@ -140,6 +140,19 @@ def n13_date_time(s, d):
     return e.select("event_id", F.date_format("t", "yyyy-MM-dd HH:mm:ss").alias("t"))
 
 
+def n13_fallback_columns(s, d):
+    half = F.col("event_id") % 2 == 0
+    e = table(s, d, "events").select("event_id", F.when(half, F.date_format("ts", "yyyy-MM-dd")).alias("date"), F.date_format("ts", "HH:mm").alias("time"), F.date_format("ts", "yyyy-MM-dd").alias("QT_DATE"), F.lit("00:15").alias("QT_TIME"))
+    return e.select("event_id", F.date_format(calendar.date_time_of(e.columns), "yyyy-MM-dd HH:mm:ss").alias("t"))
+
+
+def n18_next_step(s, d):
+    """The clock features of the next quarter of an hour, from those of this one; hours 23 and minute 59 fold to 0 and are left out."""
+    e = table(s, d, "events").select("event_id", "ts", *calendar.cyclical(F.col("ts"))).where("hour(ts) < 23 and minute(ts) < 59")
+    names = {c: F.col(c) for c in e.columns[2:]}
+    return e.select("event_id", *[(F.round(c, 5) + 0.0).alias(n) for n, c in zip(names, calendar.next_cycle(names))])
+
+
 def n14_date_in_name(s, d):
     name = F.concat(F.lit("VSDATA_"), F.date_format("ts", "yyyyMMdd"), F.lit(".csv"))
     return table(s, d, "events").select(calendar.date_in_name(name).cast("string").alias("date")).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
@@ -331,6 +344,10 @@ def e2_regression_metrics(s, d):
     return m.select("n", *[F.round(c, 4).alias(c) for c in m.columns[1:]])
 
 
+def e5_sampled_metrics(s, d):
+    return metrics.sampled(_pairs(s, d).where("predicted is not null"), "value", "predicted", ["event_id"]).select("n", (F.col("mae") > 0).alias("apart"), (F.col("rmse") >= F.col("mae")).alias("ordered"))
+
+
 def e3_batch_metrics(s, d):
     m = metrics.batched(_pairs(s, d), "value", "predicted", F.col("event_id") % 16)
     return m.select(*[F.round(c, 4).alias(c) for c in m.columns])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +31,10 @@ def encoding_of(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENC
     raise ValueError(f"none of {encodings} fits {path}")
 
 
-def read_csv(spark: SparkSession, path, schema: str | None = None, encoding: str | None = None) -> DataFrame:
-    """CSV with a header; without a schema all columns are texts. ``encoding`` None: found by ``encoding_of``."""
+def read_csv(spark: SparkSession, path, schema: str | None = None, encoding: str | None = None, infer: bool = False) -> DataFrame:
+    """CSV with a header; without a schema all columns are texts, or, with ``infer``, of types that a pass over the data finds. ``encoding`` None: found by ``encoding_of``."""
     encoding = encoding or encoding_of(spark, path if isinstance(path, str) else path[0])
-    reader = spark.read.option("header", True).option("encoding", _JAVA.get(encoding.lower(), encoding))
+    reader = spark.read.option("header", True).option("inferSchema", infer).option("encoding", _JAVA.get(encoding.lower(), encoding))
     return (reader.schema(schema) if schema else reader).csv(path)
 
 
@@ -46,12 +48,32 @@ def years(spark: SparkSession, root: str) -> list[str]:
     return [x for x in _children(spark, root) if x.isdigit()]
 
 
-def read_year(spark: SparkSession, root: str, year: str, limit: int | None = None) -> DataFrame:
-    """All ``VSDATA_*.csv`` of a year (the first ``limit`` by name), with the file's name; corrupt files are skipped."""
+def files_of_years(spark: SparkSession, pattern: str, first: int = 2014, last: int = 2025) -> list[str]:
+    """Paths of a glob pattern, by name, whose name holds a year from ``first`` to ``last`` (its first run of four digits)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = [x.getPath() for x in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or ()]
+    year = lambda p: re.search(r"\d{4}", p.getName())
+    return sorted(p.toString() for p in found if (m := year(p)) and first <= int(m[0]) <= last)
+
+
+def read_years(spark: SparkSession, pattern: str, first: int = 2014, last: int = 2025, schema: str | None = None) -> DataFrame:
+    """The CSV files of ``files_of_years`` in one scan, with the file's name."""
+    paths = files_of_years(spark, pattern, first, last)
+    if not paths:
+        raise FileNotFoundError(f"no file of {first} to {last} in {pattern}")
+    reader = spark.read.option("header", True)
+    return (reader.schema(schema) if schema else reader).csv(paths).withColumn("filename", F.element_at(F.split(F.input_file_name(), "/"), -1))
+
+
+def read_year(spark: SparkSession, root: str, year: str, limit: int | None = None, skip_corrupt: bool = False) -> DataFrame:
+    """All ``VSDATA_*.csv`` of a year (the first ``limit`` by name), with the file's name.
+
+    A corrupt file fails the query; ``skip_corrupt`` leaves its rows out, which the count by ``filename`` shows.
+    """
     names = [x for x in _children(spark, f"{root}/{year}") if x.startswith("VSDATA_") and x.endswith(".csv")][:limit]
     if not names:
         raise FileNotFoundError(f"no VSDATA_*.csv in {root}/{year}")
-    frame = spark.read.option("header", True).option("ignoreCorruptFiles", True).csv([f"{root}/{year}/{x}" for x in names])
+    frame = spark.read.option("header", True).option("ignoreCorruptFiles", skip_corrupt).csv([f"{root}/{year}/{x}" for x in names])
     return frame.withColumn("filename", F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
@@ -60,6 +82,13 @@ def write_years(df: DataFrame, path: str, date: str = "date") -> None:
     df.withColumn("year", F.year(date)).write.mode("overwrite").partitionBy("year").parquet(path)
 
 
+def write_csv(df: DataFrame, path: str, stage: str, year: str | None = None) -> str:
+    """A stage's rows as CSV files with a header, in a folder for the stage (and the year); returns the folder."""
+    folder = f"{path}/{stage}" + (f"/{year}" if year else "")
+    df.write.mode("overwrite").option("header", True).csv(folder)
+    return folder
+
+
 def scats_sheet(df: DataFrame, site: int = 0, date: int = 9, first_time: int = 10, skip_last: int = 3) -> DataFrame:
     """(site, date, time, flow): the long form of a sheet whose times are columns, by position."""
     names = df.columns

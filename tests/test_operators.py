@@ -78,6 +78,14 @@ def test_files(spark, tmp_path):
             (tmp_path / "r" / y / f"VSDATA_2014010{i + 1}.csv").write_text("NB_SCATS_SITE,V00\n1,2\n")
     assert files.years(spark, str(tmp_path / "r")) == ["2014"]
     assert files.read_year(spark, str(tmp_path / "r"), "2014", 1).count() == 1
+    for name in ("featured_2013.csv", "featured_2014.csv", "featured_2025.csv", "featured.csv"):
+        (tmp_path / "f").mkdir(exist_ok=True)
+        (tmp_path / "f" / name).write_text("a,b\n1,2.5\n")
+    got = files.read_years(spark, str(tmp_path / "f" / "featured*.csv"), schema="a int, b double")
+    assert sorted(r["filename"] for r in got.collect()) == ["featured_2014.csv", "featured_2025.csv"]
+    assert dict(files.read_csv(spark, str(tmp_path / "f" / "featured_2014.csv"), infer=True).dtypes) == {"a": "int", "b": "double"}
+    folder = files.write_csv(got.drop("filename"), str(tmp_path / "out"), "featured", "2014")
+    assert files.read_csv(spark, folder, "a int, b double").count() == 2
     with pytest.raises(FileNotFoundError):
         (tmp_path / "r" / "2015").mkdir()
         files.read_year(spark, str(tmp_path / "r"), "2015")
