@@ -182,3 +182,43 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
             shared_dir(on(master))
         assert shared_dir(on(master, **{"spark.checkpoint.dir": "hdfs://x/y/"})) == "hdfs://x/y"
     assert shared_dir(on("local[4]"))
+
+
+def test_forecast_steps(spark, tmp_path):
+    import datetime
+    import math
+
+    import numpy as np
+
+    from roadflow.plans import forecast
+
+    def clock(t):
+        values = ((t.weekday(), 7), (t.month - 1, 12), (t.hour, 23), (t.minute, 59))
+        return [f(2 * math.pi * v / p) for v, p in values for f in (math.sin, math.cos)]
+
+    times = [datetime.datetime(2024, 3, 31, h, m) for h in (0, 9, 22) for m in (0, 15, 45)] + [datetime.datetime(2024, 1, 7, 22, 50)]
+    later = np.array([clock(t + datetime.timedelta(minutes=15)) for t in times])
+    later[:, 2:4] = [clock(t)[2:4] for t in times]
+    assert np.allclose(forecast.advance_clock(np.array([clock(t) for t in times])), later)
+
+    rng = np.random.default_rng(1)
+    d = 8
+    square = ("wq", "wk", "wv", "wo", "cq", "ck", "cv", "co", "w1", "w2")
+    layer = {k: rng.normal(0, 0.2, (d, d)) for k in square} | {k: np.ones(d) for k in ("g1", "g2", "g3")} | {k: np.zeros(d) for k in ("s1", "s2", "s3", "b1", "b2")}
+    weights = {"categories": [(1, rng.normal(size=(3, 4)))], "embed": rng.normal(0, 0.3, (9 + 4, d)), "layers": [layer], "decoder": [layer], "head": rng.normal(size=d), "flow": 0, "clock": 2}
+    x = np.array([[k, k % 4, *clock(times[k % 3])] for k in range(5)])
+    rows = [("a", 0, x.tolist()), ("b", 3, x[::-1].tolist())]
+    got = {r["site"]: r["forecast"] for r in forecast.forecast_windows(spark.createDataFrame(rows, "site string, start long, x array<array<double>>"), weights, 2, 3).collect()}
+    now = x[None]
+    for step in range(3):
+        y = forecast.forward(now, weights, 2)
+        assert np.isclose(got["a"][step], y[0])
+        after = now[:, -1:].copy()
+        after[:, 0, 0], after[:, 0, 2:10] = y, forecast.advance_clock(after[:, 0, 2:10])
+        now = np.concatenate([now[:, 1:], after], axis=1)
+    changed = x.copy()
+    changed[-1, 0] += 5
+    first = [forecast.encoder_layer(forecast.embedded(v[None], weights), layer, 2)[0, :-1] for v in (x, changed)]
+    assert np.allclose(*first)  # no step sees a later one
+    forecast.save_weights(spark, str(tmp_path / "w"), **layer)
+    assert all(np.array_equal(v, layer[k]) for k, v in forecast.load_weights(spark, str(tmp_path / "w")).items())
