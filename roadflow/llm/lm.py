@@ -1,12 +1,12 @@
 """Masked pseudo-likelihood of texts with a bidirectional window network.
 
 Every token is predicted from the tokens around it, two on each side: their embeddings, weighted by
-place, go through a tanh layer to a binary tree over the words (hierarchical softmax).  The upper
-levels of the tree are logistic decisions of the network, each with a vector of its own; below a node of the last level a word has its
-share of the node's count.  The sum of the conditional log-probabilities scores a text.
+place, go through a tanh layer to a binary tree over the words (hierarchical softmax).  The eight upper
+levels of the tree are logistic decisions of the network, each with a vector of its own; below a node of the last one a word has its
+share of the node's count, which no context changes.  The sum of the conditional log-probabilities scores a text.
 
 What it takes from the corpus grows with it: counts of all words of all documents, hashed into the more buckets the
-more text there is (``sizes``), as many tree levels, and gradients from the windows of every token of every
+more text there is (``sizes``), and gradients from the windows of every token of every
 document, each a target once: round k of n takes each n-th token from the k-th on.  Training is data-parallel: in each round
 every task trains one copy of the network on its documents with plain numpy, and the copies are averaged, weighted by
 the windows they saw, in a tree of groups of ``GROUP`` copies.  Texts never leave their tasks.
@@ -39,7 +39,9 @@ REACH = 2
 ROUNDS = 3
 RATE = 0.1
 #: Examples in a step, and so many at most count for one vector.
-STEP, LIMIT = 2048, 8
+STEP, LIMIT = 8192, 16
+#: Upper levels of the tree that are worked out for all their nodes at once, as products of matrices.
+TOP = 4
 BATCH_BYTES = 1 << 20
 #: Copies averaged in one task, and values in a block of them.
 GROUP = 64
@@ -47,9 +49,9 @@ BLOCK = 1 << 13
 
 
 def sizes(n_bytes: int) -> tuple[int, int]:
-    """(buckets that are counted, leaves of the trained tree) for so much text: a bucket for each KB, and at first a leaf for 64 buckets."""
+    """(buckets that are counted, leaves of the trained tree) for so much text: a bucket for each KB, 256 leaves."""
     bits = min(20, max(14, math.ceil(math.log2(max(1, n_bytes) / 1024))))
-    return 1 << bits, 1 << min(10, bits - 6)
+    return 1 << bits, 1 << 8
 
 
 def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +113,14 @@ class Network:
             total += seen[k] * self.place[k]
         return seen, np.tanh(total)
 
+    def upper(self, h: np.ndarray) -> tuple[int, np.ndarray]:
+        """(number of upper levels, probability that the tree goes to the right, to the odd child, at each of their nodes)."""
+        levels = min(TOP, self.depth)
+        x = h @ self.out[: 1 << levels].T + self.bias[: 1 << levels]
+        return levels, 1 / (1 + np.exp(-np.clip(x, -20, 20)))
+
     def right(self, h: np.ndarray, node: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Probability that the tree goes to the right at a node (odd child)."""
+        """The same at one node for each row."""
         x = np.einsum("nk,nk->n", h, weight) + self.bias[node]
         return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
 
@@ -124,40 +132,49 @@ class Network:
             h = self.hidden(contexts(word, count, at))[1]
             bucket = word[at] >> self.shift
             node = self.leaves + self.leaf[bucket]
-            p = np.ones(len(at))
+            levels, all_right = self.upper(h)
+            row, p = np.arange(len(at)), np.ones(len(at))
             for k in range(self.depth, 0, -1):
                 up = node >> k
-                right = self.right(h, up, self.out[up])
+                right = all_right[row, up] if self.depth - k < levels else self.right(h, up, self.out[up])
                 p *= np.where((node >> (k - 1)) & 1, right, 1 - right)
             out[at] = np.log(p) + self.share[bucket]
         return out
 
     def slopes(self, context: np.ndarray, word: np.ndarray) -> tuple[list[tuple], tuple, np.ndarray]:
-        """Sums of the slopes of the log-probabilities: (node, out, bias, examples) level by level, (input, embed, examples), places."""
+        """Sums of the slopes of the log-probabilities: (nodes, out, bias, examples) of the upper levels and of each lower one; (embed, examples); places."""
         node = self.leaves + self.leaf[word >> self.shift]
-        by = np.argsort(node, kind="stable")
+        by = np.argsort(node.astype(np.int16), kind="stable")
         node, context = node[by], context[by]
         seen, h = self.hidden(context)
-        back, nodes = np.zeros((len(node), WIDTH), np.float32), []
-        for k in range(self.depth, 0, -1):
+        levels, all_right = self.upper(h)
+        miss, row = np.zeros((len(node), 1 << levels), h.dtype), np.arange(len(node))
+        many = np.zeros(1 << levels, np.int64)
+        for k in range(self.depth, self.depth - levels, -1):
+            up = node >> k
+            miss[row, up] = ((node >> (k - 1)) & 1).astype(h.dtype) - all_right[row, up]
+            many += np.bincount(up, minlength=1 << levels)
+        back = miss @ self.out[: 1 << levels]
+        some = np.flatnonzero(many)
+        nodes = [(some, (miss.T @ h)[some], miss.sum(axis=0)[some], many[some])]
+        for k in range(self.depth - levels, 0, -1):
             up = node >> k
             weight = self.out[up]
-            miss = (((node >> (k - 1)) & 1) - self.right(h, up, weight)).astype(np.float32)[:, None]
+            miss = (((node >> (k - 1)) & 1).astype(h.dtype) - self.right(h, up, weight))[:, None]
             back += miss * weight
             head = np.flatnonzero(np.r_[True, up[1:] != up[:-1]])
             nodes.append((up[head], np.add.reduceat(miss * h, head, axis=0), np.add.reduceat(miss[:, 0], head), np.diff(np.r_[head, len(up)])))
         back *= 1 - h * h
+        total = np.empty((WIDTH, INPUTS + 1))
         cell = context.T.ravel()
-        by = np.argsort(cell, kind="stable")
-        cell = cell[by]
-        head = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        inner = np.concatenate([back * p for p in self.place])[by]
-        return nodes, (cell[head], np.add.reduceat(inner, head, axis=0), np.diff(np.r_[head, len(cell)])), np.array([(s * back).sum(axis=0) for s in seen])
+        for d in range(WIDTH):
+            total[d] = np.bincount(cell, (back[:, d] * self.place[:, d : d + 1]).ravel(), INPUTS + 1)
+        return nodes, (total.T, np.bincount(cell, minlength=INPUTS + 1)), np.array([np.einsum("nk,nk->k", s, back) for s in seen])
 
     def step(self, context: np.ndarray, word: np.ndarray, rate: float = RATE) -> None:
         """One step up: each vector moves by its mean slope, times the examples it has, ``LIMIT`` at most."""
-        nodes, (cell, total, n), place = self.slopes(context, word)
-        self.embed[cell] += total * (rate * np.minimum(1, LIMIT / n))[:, None].astype(np.float32)
+        nodes, (total, n), place = self.slopes(context, word)
+        self.embed += total * (rate * np.minimum(1, LIMIT / np.maximum(n, 1)))[:, None]
         for at, total, bias, n in nodes:
             weight = (rate * np.minimum(1, LIMIT / n)).astype(np.float32)
             self.out[at] += total * weight[:, None]
