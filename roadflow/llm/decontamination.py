@@ -39,7 +39,7 @@ REACH = 20
 #: Benchmark text that one pass looks for.
 BLOCK_BYTES = 4 << 20
 #: Document text in one segment of the index.
-SEGMENT_BYTES = 1 << 20
+SEGMENT_BYTES = 1 << 18
 #: Occurrences that are followed at once.
 OCCURRENCES = 1 << 19
 
