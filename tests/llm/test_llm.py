@@ -704,6 +704,17 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in docs.collect()} == set(before)
 
 
+def test_near_duplicates_stage_with_odd_ids(spark):
+    import corpus_pipeline as cp
+
+    words = lambda seed: " ".join(f"w{random.Random(seed).randint(0, 10**6) + i}" for i in range(40))
+    a, b, c = words(1), words(2), words(3)
+    rows = [(1, a), (2, b), (2, a), (3, b), (None, b), (None, c), (4, None), (5, ""), (6, c + " x"), (6, c + " x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"] or 0), r["text"] or "") for r in cp.near_duplicates(spark, docs, SF).collect())
+    assert got == sorted([(1, a), (2, b), (4, ""), (5, ""), (6, c + " x"), (6, c + " x")])
+
+
 @pytest.mark.parametrize("name", ["op1_packing", "op2_repeats", "op3_jaccard", "op4_quality", "op5_lm_score", "op6_token_counts", "op7_media", "op8_decontamination", "op9_url_filter", "op10_pii", "pipeline"])
 def test_empty_tables(spark, tmp_path, name):
     import __spark_entry__ as entry
