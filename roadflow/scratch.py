@@ -23,6 +23,21 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_once(df: DataFrame, path: str) -> DataFrame:
+    """Write a table as Parquet and open it; Spark deletes the shuffle files behind it as soon as it stands."""
+    conf, schema = df.sparkSession.conf, df.schema
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before) if before is not None else conf.unset(_CLEANUP)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 class Rounds:
     """Keeps the state of an iterative operator as Parquet, one folder for each round."""
 
@@ -32,8 +47,7 @@ class Rounds:
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        out = write_once(df, path)
         out._round_path = path
         return out
 
