@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from roadflow.scratch import shared_dir
+from roadflow.scratch import shared_dir, write_once
 from roadflow.session import ship
 
 
@@ -32,20 +31,10 @@ class Scratch:
     def save(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n}"
-        schema = df.schema
-        df.write.parquet(path)
-        del df
-        self._clean()
-        out = self.spark.read.schema(schema).parquet(path)
+        out = write_once(df, path)
         out._scratch_path = path
         return out
 
-    def _clean(self) -> None:
-        """Have Spark's cleaner see what is no longer referenced: the shuffle files behind a table that is written now."""
-        for _ in range(2):  # the first pass lets go of the driver's handles, the second of what they held
-            gc.collect()
-            self.spark._jvm.System.gc()
-
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables that no later plan reads."""
         for df in frames:
