@@ -51,4 +51,4 @@ def in_box(lat, lon, box: dict[str, tuple[float, float]]) -> Column:
 def wkt_point(text) -> tuple[Column, Column]:
     """(lon, lat) of ``POINT (lon lat)``; anything else gives nulls."""
     parts = [F.regexp_extract(_c(text), r"POINT\s*\(\s*(\S+)\s+(\S+)\s*\)", i) for i in (1, 2)]
-    return tuple(F.expr("try_cast(null as double)") if p is None else p.try_cast("double") for p in parts)
+    return parts[0].try_cast("double"), parts[1].try_cast("double")

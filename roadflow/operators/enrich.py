@@ -56,5 +56,5 @@ def day_type(df: DataFrame, date: str, holidays: DataFrame | None = None, out: s
     if holidays is None:
         md = month_day(F.col(date))
         return df.withColumn(out, F.coalesce(*[F.when(md == k, F.lit(v)) for k, v in HOLIDAYS], F.lit(normal)))
-    named = holidays.select(F.col("md").alias("_md"), F.col("day_type").alias("_dt"))  # at most 366 rows
+    named = holidays.groupBy(F.col("md").alias("_md")).agg(F.max("day_type").alias("_dt")).where(F.length("_md") == 5)  # a row for each day of a year at most
     return df.join(F.broadcast(named), month_day(F.col(date)) == F.col("_md"), "left").withColumn(out, F.coalesce("_dt", F.lit(normal))).drop("_md", "_dt")
