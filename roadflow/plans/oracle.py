@@ -93,6 +93,20 @@ BFS = f"""bfs(id, hops, path, cost) AS (SELECT * FROM (WITH RECURSIVE b(id, hops
   ) SELECT * FROM b))"""
 
 
+def _steps(following: str, arcs: str = "arcs") -> str:
+    """A search that goes on to the first neighbour not seen yet, in a given order, and back from dead ends: one row for each step."""
+    return f"""adj AS MATERIALIZED (SELECT src, list(dst ORDER BY {following}) AS d FROM {arcs} GROUP BY src),
+steps(n, trail, seen) AS (SELECT * FROM (WITH RECURSIVE w(n, trail, seen) AS (
+    SELECT 0, ['{ORIGIN}'], ['{ORIGIN}']
+    UNION ALL
+    SELECT n + 1, CASE WHEN nxt IS NULL THEN trail[1:len(trail) - 1] ELSE list_append(trail, nxt) END, CASE WHEN nxt IS NULL THEN seen ELSE list_append(seen, nxt) END
+    FROM (SELECT w.*, list_filter(a.d, lambda x: NOT list_contains(w.seen, x))[1] AS nxt FROM w LEFT JOIN adj a ON a.src = w.trail[-1] WHERE len(w.trail) > 0 AND w.trail[-1] <> '{TARGET}')
+  ) SELECT * FROM w)),
+found AS (SELECT trail FROM steps WHERE trail[-1] = '{TARGET}'),
+legs AS (SELECT trail, trail[i] AS a, trail[i + 1] AS b FROM found, range(1, len(trail)) r(i))
+SELECT array_to_string(any_value(l.trail), '>') AS path, CAST(floor(sum(e.weight)) AS BIGINT) AS cost FROM legs l JOIN arcs e ON e.src = l.a AND e.dst = l.b HAVING count(*) > 0"""
+
+
 def _zero(c: str) -> str:
     return f"CASE WHEN {c} = 0 THEN 1 ELSE 0 END"
 
@@ -200,6 +214,29 @@ def oracle_sql() -> dict[str, str]:
     UNION
     SELECT d.s, e.dst, min(d.cost + e.weight) FROM d JOIN arcs e ON e.src = d.id LEFT JOIN recurring.d old ON old.s = d.s AND old.id = e.dst GROUP BY d.s, e.dst, old.cost HAVING old.cost IS NULL OR min(d.cost + e.weight) < old.cost
   ) SELECT * FROM d)) SELECT src, dst, CAST(cost AS BIGINT) AS cost FROM every""",
+        "g8_dfs_order": f"""WITH {TRIP}, adj AS MATERIALIZED (SELECT src, list(dst ORDER BY dst DESC) AS d FROM arcs GROUP BY src), walked AS (SELECT arg_max(seen, n) AS seen FROM (WITH RECURSIVE w(n, stack, seen) AS (
+    SELECT 0, ['{ORIGIN}'], CAST([] AS VARCHAR[])
+    UNION ALL
+    SELECT n + 1, CASE WHEN old THEN stack[1:len(stack) - 1] ELSE list_concat(stack[1:len(stack) - 1], coalesce(d, CAST([] AS VARCHAR[]))) END, CASE WHEN old THEN seen ELSE list_append(seen, stack[-1]) END
+    FROM (SELECT w.*, list_contains(w.seen, w.stack[-1]) AS old, a.d FROM w LEFT JOIN adj a ON a.src = w.stack[-1] WHERE len(w.stack) > 0)
+  ) SELECT * FROM w)) SELECT CAST(i AS INT) AS place, seen[i] AS id FROM walked, range(1, len(seen) + 1) r(i)""",
+        "g11_dfs_path": f"WITH {TRIP}, {_steps('dst')}",
+        "g15_greedy_path": f"WITH {TRIP}, goal AS (SELECT lon AS glon, lat AS glat FROM nodes WHERE id = '{TARGET}'), far AS (SELECT id, sqrt((lon - glon) ** 2 + (lat - glat) ** 2) AS far FROM nodes, goal), {_steps('far, dst', 'arcs JOIN far ON far.id = dst')}",
+        "g3_spanning_bridges": f"""{comp3}, near AS (SELECT a.id AS a, b.id AS b, least(a.component, b.component) AS ca, greatest(a.component, b.component) AS cb, {dist} AS d FROM placed a JOIN placed b ON a.id < b.id AND a.component <> b.component AND {dist} <= 10000),
+best AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY d, a, b) AS k FROM (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY ca, cb ORDER BY d, a, b) = 1)),
+tied(k, c) AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE r(k, c) AS (
+    SELECT k, ca FROM best
+    UNION
+    SELECT r.k, CASE WHEN b.ca = r.c THEN b.cb ELSE b.ca END FROM r JOIN best b ON b.k < r.k AND (b.ca = r.c OR b.cb = r.c)
+  ) SELECT * FROM r))
+SELECT a AS src, b AS dst, CAST(floor(d) AS BIGINT) AS weight FROM best WHERE NOT EXISTS (SELECT 1 FROM tied t WHERE t.k = best.k AND t.c = best.cb)""",
+        "route_by_traffic": f"""WITH {NODES}, {E3}, {_chunk('edges', ORIGIN, TARGET, 0.1)}, {_timed(15, 'arcs')}, {_dijkstra('timed', 'cost')},
+paths(path) AS (SELECT path FROM (WITH RECURSIVE p(id, path) AS (
+    SELECT '{TARGET}', '{TARGET}'
+    UNION ALL
+    SELECT e.src, e.src || '>' || p.path FROM p JOIN best now ON now.id = p.id JOIN timed e ON e.dst = p.id JOIN best b ON b.id = e.src WHERE p.id <> '{ORIGIN}' AND abs(b.cost + e.cost - now.cost) < 1e-6
+  ) SELECT * FROM p) WHERE id = '{ORIGIN}')
+SELECT (SELECT min(path) FROM paths) AS path, CAST(floor(cost) AS BIGINT) AS cost FROM best WHERE id = '{TARGET}'""",
         "j14_path_length": f"WITH {TRIP}, {BFS}, leg AS (SELECT path[i] AS a, path[i + 1] AS b FROM bfs, range(1, len(path)) r(i) WHERE id = '{TARGET}') SELECT CAST(1 AS BIGINT) AS rank, CAST(floor(sum({dist})) AS BIGINT) AS metres FROM leg JOIN nodes a ON a.id = leg.a JOIN nodes b ON b.id = leg.b",
         "j15_path_cost": f"WITH {NODES}, {E2} SELECT src || '>' || dst AS k, weight * 2 AS cost FROM edges",
         "n22_route_text": f"WITH {NODES}, {E2}, {_timed(15)} SELECT src, dst, CAST(floor(cost) AS BIGINT) // 60 || ' min ' || CAST(floor(cost) AS BIGINT) % 60 || ' sec' AS text FROM timed",
