@@ -253,11 +253,12 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, keep: list[str], tex
             for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect():  # the terms of one block at most
                 counts[r[0]] = r[1]
         phrases.rank_by(counts)
-        part = map_batches(index, _look, FOUND, phrases, reach)
+        # equal texts have equal results in a block: one of them is kept, and no list is gathered over repetitions
+        part = map_batches(index, _look, FOUND, phrases, reach).groupBy("one", "two").agg(*[F.first(c).alias(c) for c in ("n_words", "items", "near_items", "spans")])
         found = part if found is None else found.unionByName(part if blocks == 1 else scratch.save(part))
-    # equal texts are one row, and so are the results of several blocks
-    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    found = found.groupBy("one", "two").agg(F.max("n_words").alias("n_words"), flat("items"), flat("near_items"), flat("spans"))
+    if blocks > 1:  # a row for each block
+        flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+        found = found.groupBy("one", "two").agg(F.max("n_words").alias("n_words"), flat("items"), flat("near_items"), flat("spans"))
     n_hit = F.expr("aggregate(spans, struct(0L as upto, 0L as n), (acc, s) -> struct(greatest(acc.upto, s.to) as upto, acc.n + greatest(0L, s.to - greatest(s.from, acc.upto)) as n), acc -> acc.n)")
     found = scratch.save(found.withColumn("n_hit", n_hit))
     scratch.drop(index)

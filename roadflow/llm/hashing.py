@@ -1,4 +1,8 @@
-"""Hashes of strings in a byte array: sums of byte values times powers of an odd base, from running sums, modulo 2**64."""
+"""Hashes of strings in a byte array.
+
+``Ranks``: strings of a few bytes at every place, by running sums of byte values times powers of an odd base, modulo 2**64.
+``hashed_words``: words of any length, by mixes that are not linear.
+"""
 
 from __future__ import annotations
 
@@ -61,37 +65,65 @@ class Ranks:
         return spread(self.sums(start, start + size) + size.astype(_U))
 
 
-def hashed_words(data: np.ndarray, gap: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, where it starts): words are runs without the bytes that ``gap`` marks, of any length."""
-    hashes, starts = [], []
-    inside, begin, value, size = False, 0, 0, 0  # the word that a block's end has cut
+#: Bytes up to which words are hashed together in arrays; longer ones go to xxHash one by one.
+LANES = 4
+
+
+def word_spans(data: np.ndarray, gap: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the words: runs without the bytes that ``gap`` marks, of any length."""
+    edges, before = [], True
     for a in range(0, len(data), BLOCK):
-        part = data[a : a + BLOCK]
-        blank = gap[part]
-        ranks = Ranks(part)
-        turn = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-        if inside:
-            end = 0 if blank[0] else int(turn[0]) if len(turn) else len(part)
-            value = (value + ranks.sum(0, end) * pow(FIRST, size, 1 << 64)) & 0xFFFFFFFFFFFFFFFF
-            size += end
-            if end == len(part):
-                continue
-            hashes.append(np.array([value], _U) + _U(size))
-            starts.append(np.array([begin]))
-            if end:
-                turn = turn[1:]
-        elif not blank[0]:
-            turn = np.r_[0, turn]
-        start, end = turn[::2], turn[1::2]
-        inside = len(start) > len(end)
-        if inside:
-            begin, size = a + int(start[-1]), len(part) - int(start[-1])
-            value, start = ranks.sum(int(start[-1]), len(part)), start[:-1]
-        hashes.append(ranks.sums(start, end) + (end - start).astype(_U))
-        starts.append(a + start)
-    if inside:
-        hashes.append(np.array([value], _U) + _U(size))
-        starts.append(np.array([begin]))
-    if not hashes:
+        blank = gap[data[a : a + BLOCK]]
+        if blank[0] != before:
+            edges.append(np.array([a]))
+        edges.append(np.flatnonzero(blank[1:] != blank[:-1]) + (a + 1))
+        before = bool(blank[-1])
+    if not before:
+        edges.append(np.array([len(data)]))
+    turn = np.concatenate(edges) if edges else np.zeros(0, np.int64)
+    return turn[::2], turn[1::2]
+
+
+def _hash_spans(eight: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """One value for each word of at most 8 * LANES bytes: eight bytes at a time go through a mix that is not linear."""
+    value = size.astype(_U)
+    left = size
+    alive = np.arange(len(start))
+    for lane in range(LANES):
+        at, n = start[alive] + 8 * lane, left[alive]
+        part = eight[at]
+        short = n < 8
+        part[short] &= (_U(1) << (n[short].astype(_U) * _U(8))) - _U(1)
+        # a bijection of the eight bytes: words of one lane never collide with each other
+        value[alive] = spread((spread(value[alive] * _U(0x9E3779B97F4A7C15)) ^ part) * _U(0xA24BAED4963EE407))
+        left = left - 8
+        alive = np.flatnonzero(left > 0)
+        if not len(alive):
+            break
+    return value
+
+
+def hashed_words(data: np.ndarray, gap: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, where it starts).
+
+    Words of up to 32 bytes are folded eight bytes at a time, longer ones are hashed by XXH3; neither is a sum over bytes, so no
+    pattern of letters makes different words equal.
+    """
+    import xxhash
+
+    start, end = word_spans(data, gap)
+    if not len(start):
         return np.zeros(0, _U), np.zeros(0, np.int64)
-    return spread(spread(np.concatenate(hashes)) * _U(0x9E3779B97F4A7C15)), np.concatenate(starts)
+    size = end - start
+    out = np.empty(len(start), _U)
+    for a in range(0, len(start), BLOCK):
+        one = slice(a, a + BLOCK)
+        low, high = int(start[a]), int(end[one][-1])
+        part = np.zeros(high - low + 8, np.uint8)
+        part[: high - low] = data[low:high]
+        eight = np.ndarray((high - low + 1,), "<u8", part, 0, (1,))
+        few = np.flatnonzero(size[one] <= 8 * LANES)
+        out[a + few] = _hash_spans(eight, start[one][few] - low, size[one][few])
+        for i in np.flatnonzero(size[one] > 8 * LANES).tolist():
+            out[a + i] = xxhash.xxh3_64_intdigest(data[start[a + i] : end[a + i]].data, seed=8)
+    return spread(spread(out) * _U(0x9E3779B97F4A7C15)), start

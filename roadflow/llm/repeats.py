@@ -17,7 +17,7 @@ as a whole count once; later copies are removed whole.  What is repeated inside
 batch is settled there: a hot rank leaves a part once, and the settled rows travel under keys of their own.
 
 Defined results: null texts are empty; a text shorter than the threshold keeps all; rows without an
-id are kept whole and are no source; rows that repeat an id are not earlier than each other;
+id are kept whole and are no source; rows that repeat an id are not earlier than each other; ids that are no whole numbers count in their own order (texts by their bytes);
 an empty table gives an empty table; a kept column that is named like an output is returned as ``kept_<name>``.
 """
 
@@ -31,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roadflow.llm.common import Scratch, add_columns, by_bytes, kept_names, map_batches
 from roadflow.llm.hashing import BLOCK, FIRST, SECOND, Ranks, spread
+from roadflow.operators.ordering import number_rows
 
 THRESHOLD = 50
 GRAM = 24
@@ -284,7 +286,12 @@ def remove_repeats(df: DataFrame, keep: list[str], id_col: str = "doc_id", text_
     spark, scratch = df.sparkSession, Scratch(df.sparkSession, "repeats")
     fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
     mine = [f"_{i}" for i in range(len(keep))]
-    plain = df.select(*[F.col(c).alias(m) for c, m in zip(keep, mine)], F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    whole_ids = isinstance(df.schema[id_col].dataType, T.IntegralType)
+    plain = df.select(*[F.col(c).alias(m) for c, m in zip(keep, mine)], F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    if not whole_ids:  # numbers in the order of the ids take their place
+        ids = number_rows(plain.where("_id is not null").select("_id").distinct(), ["_id"], "_nth")
+        plain = scratch.save(plain.join(ids, "_id", "left").drop("_id").withColumnRenamed("_nth", "_id"))
+    plain = plain.withColumn("_id", F.col("_id").cast("long"))
     plain = plain.withColumn("_version", F.xxhash64("_text"))
     long_ones = plain.where(F.col("_id").isNotNull() & (F.octet_length("_text") >= threshold))
 

@@ -188,9 +188,54 @@ def test_near_duplicates_near_the_threshold(spark, monkeypatch):
     assert got == _components(rows) and len({c for _, c in got.values()}) > 5
 
 
+def _alternating(size):
+    """Two different words of letters a and b (Thue and Morse) whose sums of letters times powers are equal modulo 2**64 for every odd base."""
+    x = "a"
+    while len(x) < size:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("size", [32, 64, 512, 1024, 2048, 4096])
+def test_different_words_have_different_hashes(spark, size):
+    from roadflow.llm.decontamination import find_contamination
+    from roadflow.llm.jaccard import near_duplicates
+
+    x, y = _alternating(size)
+    got = near_duplicates(frame(spark, [(1, f"one two {x} four five six"), (2, f"one two {y} four five six")]), ["doc_id"]).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["class_id"]) for r in got) == [(1, 1, 1), (2, 2, 2)]
+    items = spark.createDataFrame([("i", x)], "item_id string, text string")
+    found = find_contamination(frame(spark, [(1, f"one {x}"), (2, f"one {y}")]), items, ["doc_id"]).collect()
+    assert sorted((r["doc_id"], r["n_hit"]) for r in found) == [(1, 1), (2, 0)]
+
+
+@pytest.mark.parametrize("block", [7, 64, 1 << 16])
+def test_word_hashes(monkeypatch, block):
+    from roadflow.llm import hashing
+
+    monkeypatch.setattr(hashing, "BLOCK", block)
+    rng, known = random.Random(block), {}
+    for _ in range(60):
+        text = bytes(rng.choice(b"abc  \n") for _ in range(rng.choice([0, 1, 5, 300]))) + rng.choice([b"", b" ", b"q" * rng.randint(1, 200)])
+        value, start = hashing.hashed_words(np.frombuffer(text, np.uint8))
+        words = [(m.start(), m.group()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+        assert start.tolist() == [a for a, _ in words]
+        assert all(known.setdefault(w, v) == v for v, (_, w) in zip(value.tolist(), words))
+    assert len(set(known.values())) == len(known)
+
+
 # --- repeats ---------------------------------------------------------------------
 
 
+def test_repeats_with_text_ids(spark):
+    from roadflow.llm.repeats import remove_repeats
+
+    words = "".join(random.Random(2).choice("abcdef ") for _ in range(90))
+    rows = [("b2", words), ("a1", "x" + words), ("c3", words[:49]), (None, words), ("b2", "0" + words + "1")]
+    got = sorted((r["doc_id"] or "", r["n_bytes"], r["n_removed"]) for r in remove_repeats(spark.createDataFrame(rows, "doc_id string, text string"), ["doc_id"]).collect())
+    assert got == [("", 90, 0), ("a1", 91, 0), ("b2", 90, 90), ("b2", 92, 90), ("c3", 49, 0)]
+
+
 def test_repeats(spark):
     from roadflow.llm.repeats import remove_repeats
 
