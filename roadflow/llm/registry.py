@@ -91,11 +91,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document rearranged for infilling, and rebuilt from what came out."""
+    from roadflow.llm.middle import rearrange, restore
+
+    made = restore(rearrange(table(spark, sf_dir, "documents"), ["doc_id"]))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
+    from roadflow.llm.middle import middle_sql
     from roadflow.llm.urls import filter_sql
 
-    return {"op9_url_filter": filter_sql()}
+    return {"op9_url_filter": filter_sql(), "op13_middle": middle_sql()}
