@@ -91,6 +91,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language by their weakest cut."""
+    from roadflow.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, and components of those within two bits."""
+    from roadflow.llm.simhash import near_copies
+
+    return near_copies(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op13_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document rearranged for infilling, and rebuilt from what came out."""
     from roadflow.llm.middle import rearrange, restore
@@ -104,7 +118,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from roadflow.llm.collocations import collocations_sql
     from roadflow.llm.middle import middle_sql
     from roadflow.llm.urls import filter_sql
 
-    return {"op9_url_filter": filter_sql(), "op13_middle": middle_sql()}
+    return {"op9_url_filter": filter_sql(), "op11_collocations": collocations_sql(), "op13_middle": middle_sql()}
