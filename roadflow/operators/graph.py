@@ -145,15 +145,17 @@ def with_length(edges: DataFrame, nodes: DataFrame, radius: float = EARTH_M) ->
     return edges.select("src", "dst").join(a, "src").join(b, "dst").select("src", "dst", F.floor(haversine("lat1", "lon1", "lat2", "lon2", radius)).cast("bigint").alias("weight"))
 
 
-def chunk(nodes: DataFrame, edges: DataFrame, origin: str, destination: str, margin: float = 0.2) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) around a trip: the nodes in the widened box of both ends, every edge
+def chunk(nodes: DataFrame, edges: DataFrame, origin: str, destination: str | list[str], margin: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) around a trip: the nodes in the widened box of all ends, every edge
     that touches one, and the other ends of these edges.  Raises if an end does not exist."""
-    ends = {r["id"]: r for r in nodes.where(F.col("id").isin(origin, destination)).collect()}
-    for x in (origin, destination):
+    wanted = [origin, *([destination] if isinstance(destination, str) else destination)]
+    ends = {r["id"]: r for r in nodes.where(F.col("id").isin(*wanted)).collect()}  # one row for each end
+    for x in wanted:
         if x not in ends:
             raise ValueError(f"no node {x!r}")
-    box = box_around(ends[origin]["lat"], ends[origin]["lon"], ends[destination]["lat"], ends[destination]["lon"], margin)
-    inside = nodes.where(in_box("lat", "lon", box) | F.col("id").isin(origin, destination)).select("id").distinct()
+    lat, lon = ([r[c] for r in ends.values()] for c in ("lat", "lon"))
+    box = box_around(min(lat), min(lon), max(lat), max(lon), margin)
+    inside = nodes.where(in_box("lat", "lon", box) | F.col("id").isin(*wanted)).select("id").distinct()
     touched = edges.join(inside, edges["src"] == inside["id"], "left_semi").union(edges.join(inside, edges["dst"] == inside["id"], "left_semi")).distinct()
     reached = inside.union(touched.select("src")).union(touched.select("dst")).distinct()
     return nodes.join(reached, "id", "left_semi"), touched

@@ -40,10 +40,11 @@ def _relax(edges: DataFrame, origin: str, rank: list[str], stop=None, cost: str
             return best.drop("fresh")
 
 
-def breadth_first(edges: DataFrame, origin: str, target: str | None = None) -> DataFrame:
-    """Fewest hops, ties by path; cost is the path's weight. With a target the loop ends once it is reached."""
-    stop = (lambda f, best: f.join(best.where(F.col("id") == target).select(F.lit(1).alias("_t")), F.lit(True), "left_anti")) if target else None
-    return _relax(edges, origin, ["hops", "path"], stop)
+def breadth_first(edges: DataFrame, origin: str, target: str | list[str] | None = None, cost: str = "weight") -> DataFrame:
+    """Fewest hops, ties by path; cost is the sum along the path. With targets the loop ends once one of them is reached."""
+    targets = [target] if isinstance(target, str) else target
+    stop = (lambda f, best: f.join(best.where(F.col("id").isin(*targets)).limit(1).select(F.lit(1).alias("_t")), F.lit(True), "left_anti")) if targets else None
+    return _relax(edges, origin, ["hops", "path"], stop, cost)
 
 
 def visit_order(edges: DataFrame, origin: str) -> DataFrame:
@@ -68,21 +69,23 @@ def shortest_to_any(edges: DataFrame, origin: str, targets: list[str], cost: str
     return shortest(edges, origin, targets, cost).where(F.col("id").isin(*targets)).orderBy("cost", place).limit(1)
 
 
-def a_star(nodes: DataFrame, edges: DataFrame, origin: str, target: str, cost: str = "weight", per_metre: float = 0.99) -> DataFrame:
-    """The same path as ``shortest``; rows whose cost plus a lower bound to the target exceeds the best known cost are dropped.
+def a_star(nodes: DataFrame, edges: DataFrame, origin: str, target: str | list[str], cost: str = "weight", per_metre: float = 0.99) -> DataFrame:
+    """The same paths as ``shortest``; rows whose cost plus a lower bound to the nearest target exceeds the best known cost are dropped.
 
     The bound is the great-circle distance times ``per_metre``, the least cost of a metre.
     """
-    goal = nodes.where(F.col("id") == target).select("lat", "lon").first()
-    if goal is None:
+    targets = [target] if isinstance(target, str) else target
+    goals = nodes.where(F.col("id").isin(*targets)).select("lat", "lon").collect()  # one row for each target
+    if not goals:
         raise ValueError(f"no node {target!r}")
-    left = nodes.select("id", (haversine("lat", "lon", goal["lat"], goal["lon"]) * per_metre).alias("_h"))
+    away = [haversine("lat", "lon", g["lat"], g["lon"]) * per_metre for g in goals]
+    left = nodes.select("id", (F.least(*away) if len(away) > 1 else away[0]).alias("_h"))
 
     def bound(reached: DataFrame, best: DataFrame) -> DataFrame:
-        limit = best.where(F.col("id") == target).agg(F.coalesce(F.min("cost"), F.lit(float("inf"))).alias("_limit"))
+        limit = best.where(F.col("id").isin(*targets)).agg(F.coalesce(F.min("cost"), F.lit(float("inf"))).alias("_limit"))
         return reached.join(left, "id", "left").crossJoin(F.broadcast(limit)).where(F.col("cost") + F.greatest(F.coalesce("_h", F.lit(0.0)) - 1 - F.col("hops"), F.lit(0.0)) <= F.col("_limit")).drop("_h", "_limit")  # one row
 
-    return _relax(edges, origin, ["cost", "hops", "path"], None, cost, bound).where(F.col("id") == target)
+    return _relax(edges, origin, ["cost", "hops", "path"], None, cost, bound).where(F.col("id").isin(*targets))
 
 
 def all_pairs(nodes: DataFrame, edges: DataFrame, cost: str = "weight") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from roadflow.functions import flow
 from roadflow.operators.enrich import HOLIDAYS
-from roadflow.plans.queries import BEFORE, ORIGIN, RADIUS, SLOTS, TARGET, TYPES as EVENT_TYPES
+from roadflow.plans.queries import ANY, BEFORE, ORIGIN, RADIUS, SLOTS, TARGET, TYPES as EVENT_TYPES
 
 
 def _place(k: str, a: int, b: int, c: int, d: int) -> str:
@@ -84,16 +84,22 @@ def _dijkstra(arcs: str = "arcs", cost: str = "weight") -> str:
   ) SELECT * FROM d))"""
 
 
-BFS = f"""bfs(id, hops, path, cost) AS (SELECT * FROM (WITH RECURSIVE b(id, hops, path, cost) USING KEY (id) AS (
-    SELECT '{ORIGIN}', CAST(0 AS BIGINT), ['{ORIGIN}'], CAST(0 AS BIGINT)
+def _bfs(arcs: str = "arcs", cost: str = "weight") -> str:
+    return f"""bfs(id, hops, path, cost) AS (SELECT * FROM (WITH RECURSIVE b(id, hops, path, cost) USING KEY (id) AS (
+    SELECT '{ORIGIN}', CAST(0 AS BIGINT), ['{ORIGIN}'], CAST(0 AS DOUBLE)
     UNION
     SELECT x.id, x.hops, x.path, x.cost FROM (
-      SELECT e.dst AS id, min(b.hops) + 1 AS hops, arg_min(list_append(b.path, e.dst), b.path) AS path, arg_min(b.cost + e.weight, b.path) AS cost
-      FROM b JOIN arcs e ON e.src = b.id LEFT JOIN recurring.b old ON old.id = e.dst WHERE old.id IS NULL GROUP BY e.dst) x
+      SELECT e.dst AS id, min(b.hops) + 1 AS hops, arg_min(list_append(b.path, e.dst), b.path) AS path, arg_min(b.cost + e.{cost}, b.path) AS cost
+      FROM b JOIN {arcs} e ON e.src = b.id LEFT JOIN recurring.b old ON old.id = e.dst WHERE old.id IS NULL GROUP BY e.dst) x
   ) SELECT * FROM b))"""
 
 
-def _steps(following: str, arcs: str = "arcs") -> str:
+BFS = _bfs()
+TOLD_BFS = f"SELECT array_to_string(path, '>') AS path, CAST(floor(cost) AS BIGINT) AS cost FROM bfs WHERE id = '{TARGET}'"
+FAR = f"goal AS (SELECT lon AS glon, lat AS glat FROM nodes WHERE id = '{TARGET}'), far AS (SELECT id, sqrt((lon - glon) ** 2 + (lat - glat) ** 2) AS far FROM nodes, goal)"
+
+
+def _steps(following: str, arcs: str = "arcs", summed: str = "arcs", cost: str = "weight") -> str:
     """A search that goes on to the first neighbour not seen yet, in a given order, and back from dead ends: one row for each step."""
     return f"""adj AS MATERIALIZED (SELECT src, list(dst ORDER BY {following}) AS d FROM {arcs} GROUP BY src),
 steps(n, trail, seen) AS (SELECT * FROM (WITH RECURSIVE w(n, trail, seen) AS (
@@ -104,7 +110,49 @@ steps(n, trail, seen) AS (SELECT * FROM (WITH RECURSIVE w(n, trail, seen) AS (
   ) SELECT * FROM w)),
 found AS (SELECT trail FROM steps WHERE trail[-1] = '{TARGET}'),
 legs AS (SELECT trail, trail[i] AS a, trail[i + 1] AS b FROM found, range(1, len(trail)) r(i))
-SELECT array_to_string(any_value(l.trail), '>') AS path, CAST(floor(sum(e.weight)) AS BIGINT) AS cost FROM legs l JOIN arcs e ON e.src = l.a AND e.dst = l.b HAVING count(*) > 0"""
+SELECT array_to_string(any_value(l.trail), '>') AS path, CAST(floor(sum(e.{cost})) AS BIGINT) AS cost FROM legs l JOIN {summed} e ON e.src = l.a AND e.dst = l.b HAVING count(*) > 0"""
+
+
+def _cheapest(arcs: str, cost: str) -> str:
+    """path and cost of the cheapest path, the first of equal ones as a text."""
+    return f"""WITH {_dijkstra(arcs, cost)}, paths(path) AS (SELECT path FROM (WITH RECURSIVE p(id, path) AS (
+    SELECT '{TARGET}', '{TARGET}'
+    UNION ALL
+    SELECT e.src, e.src || '>' || p.path FROM p JOIN best now ON now.id = p.id JOIN {arcs} e ON e.dst = p.id JOIN best b ON b.id = e.src WHERE p.id <> '{ORIGIN}' AND abs(b.cost + e.{cost} - now.cost) < 1e-6
+  ) SELECT * FROM p) WHERE id = '{ORIGIN}')
+SELECT (SELECT min(path) FROM paths) AS path, CAST(floor(cost) AS BIGINT) AS cost FROM best WHERE id = '{TARGET}'"""
+
+
+def _routes(arcs: str, cost: str) -> str:
+    """A row for each algorithm of the dispatcher."""
+    return f"""SELECT 'BFS' AS algorithm, * FROM (WITH {_bfs(arcs, cost)} {TOLD_BFS})
+UNION ALL SELECT 'DFS', * FROM (WITH {_steps('dst', arcs, arcs, cost)})
+UNION ALL SELECT 'GBFS', * FROM (WITH {FAR}, {_steps('far, dst', f'{arcs} a JOIN far ON far.id = a.dst', arcs, cost)})
+UNION ALL SELECT a.algorithm, c.path, c.cost FROM (VALUES ('DIJK'), ('AS')) a(algorithm), ({_cheapest(arcs, cost)}) c"""
+
+
+#: By how much the cheapest paths that are enumerated may be longer than the shortest: room for well over ten of them.
+ROOM = 1.02
+
+
+def _simple_paths(arcs: str, cost: str, targets: tuple[str, ...] = (TARGET,)) -> str:
+    """All simple paths (path, cost) up to ``ROOM`` times the cheapest, by enumeration from the origin within the exact rest."""
+    ends = ", ".join(f"'{t}'" for t in targets)
+    return f"""rest(id, rest) AS MATERIALIZED (SELECT id, rest FROM (WITH RECURSIVE d(id, rest) USING KEY (id) AS (
+    SELECT unnest([{ends}]), CAST(0 AS DOUBLE)
+    UNION
+    SELECT e.src, min(d.rest + e.{cost}) FROM d JOIN {arcs} e ON e.dst = d.id LEFT JOIN recurring.d old ON old.id = e.src GROUP BY e.src, old.rest HAVING old.rest IS NULL OR min(d.rest + e.{cost}) < old.rest
+  ) SELECT * FROM d)),
+simple AS (SELECT path, cost FROM (WITH RECURSIVE p(id, cost, path) AS (
+    SELECT '{ORIGIN}', CAST(0 AS DOUBLE), ['{ORIGIN}']
+    UNION ALL
+    SELECT e.dst, p.cost + e.{cost}, list_append(p.path, e.dst) FROM p JOIN {arcs} e ON e.src = p.id JOIN rest r ON r.id = e.dst
+    WHERE p.id NOT IN ({ends}) AND NOT list_contains(p.path, e.dst) AND p.cost + e.{cost} + r.rest <= {ROOM} * (SELECT rest FROM rest WHERE id = '{ORIGIN}')
+  ) SELECT * FROM p) WHERE id IN ({ends}))"""
+
+
+def _first_paths(arcs: str, cost: str) -> str:
+    return f"{_simple_paths(arcs, cost)} SELECT row_number() OVER (ORDER BY cost, len(path), path)::BIGINT AS rank, array_to_string(path, '>') AS path, CAST(floor(cost) AS BIGINT) AS cost FROM simple QUALIFY rank <= 5"
 
 
 def _zero(c: str) -> str:
@@ -205,7 +253,13 @@ def oracle_sql() -> dict[str, str]:
         "s12_edge_costs_rewritten": f"WITH {NODES}, {E2}, {_timed(15)} SELECT src, dst, CAST(floor(CASE WHEN CAST(src AS BIGINT) % 2 = 0 THEN cost ELSE weight END) AS BIGINT) AS cost FROM timed",
         "j9_cost_override": f"WITH {NODES}, {E2} SELECT src, CAST(sum(CASE WHEN weight < 1000 THEN weight * 2 ELSE weight END) AS BIGINT) AS cost FROM edges GROUP BY ALL",
         "g7_bfs_levels": f"WITH {TRIP}, {BFS} SELECT id, hops FROM bfs",
-        "g10_bfs_path": f"WITH {TRIP}, {BFS} SELECT array_to_string(path, '>') AS path, cost FROM bfs WHERE id = '{TARGET}'",
+        "g10_bfs_path": f"WITH {TRIP}, {BFS} {TOLD_BFS}",
+        "g17_routes_by_metres": f"WITH {NODES}, {E3}, {_chunk('edges', ORIGIN, TARGET, 0.1)} {_routes('arcs', 'weight')}",
+        "g17_routes_by_seconds": f"WITH {NODES}, {E3}, {_chunk('edges', ORIGIN, TARGET, 0.1)}, {_timed(15, 'arcs')} {_routes('timed', 'cost')}",
+        "k2_top_k_paths": f"WITH {NODES}, {E3}, {_chunk('edges', ORIGIN, TARGET, 0.1)}, {_first_paths('arcs', 'weight')}",
+        "k2_paths_by_seconds": f"WITH {NODES}, {E3}, {_chunk('edges', ORIGIN, TARGET, 0.1)}, {_timed(15, 'arcs')}, {_first_paths('timed', 'cost')}",
+        "g17_routes_to_any": f"""WITH {TRIP}, {_simple_paths('arcs', 'weight', ANY)}, r AS (SELECT row_number() OVER (ORDER BY cost, len(path), path)::BIGINT AS rank, path[-1] AS reached, CAST(floor(cost) AS BIGINT) AS cost FROM simple)
+SELECT algorithm, rank, reached, cost FROM r, (VALUES ('DIJK', 1), ('AS', 1), ('KSP', 5)) a(algorithm, n) WHERE rank <= n""",
         "g12_shortest_cost": f"WITH {TRIP}, {_dijkstra()} SELECT id, CAST(cost AS BIGINT) AS cost FROM best",
         "g13_multi_target": f"WITH {TRIP}, {_dijkstra()} SELECT id, CAST(cost AS BIGINT) AS cost FROM best WHERE id IN ('{TARGET}', '30', '1028') ORDER BY cost LIMIT 1",
         "g14_a_star": f"WITH {TRIP}, {_dijkstra()} SELECT id, CAST(cost AS BIGINT) AS cost FROM best WHERE id = '{TARGET}'",
@@ -241,5 +295,7 @@ SELECT (SELECT min(path) FROM paths) AS path, CAST(floor(cost) AS BIGINT) AS cos
         "j15_path_cost": f"WITH {NODES}, {E2} SELECT src || '>' || dst AS k, weight * 2 AS cost FROM edges",
         "n22_route_text": f"WITH {NODES}, {E2}, {_timed(15)} SELECT src, dst, CAST(floor(cost) AS BIGINT) // 60 || ' min ' || CAST(floor(cost) AS BIGINT) % 60 || ' sec' AS text FROM timed",
         "pipeline_long_series": f"WITH {CLEAN}, {TYPES}, {SITES}, {SCHOOLS}, c AS (SELECT CAST(a.site_no AS BIGINT) AS site, count(*) AS n FROM sites a JOIN schools b ON {dist} <= 5000 GROUP BY ALL), s AS (" + " UNION ALL ".join(f"SELECT NB_SCATS_SITE, date, '{8 + k // 4:02d}:{k % 4 * 15:02d}' AS time, CAST(sum({v}) AS BIGINT) AS Flow FROM clean GROUP BY 1, 2" for k, v in enumerate(VS)) + f") SELECT CAST(s.date AS VARCHAR) AS date, s.time, s.NB_SCATS_SITE, coalesce(t.scat_type, 'Unknown') AS scat_type, CASE strftime(s.date, '%m-%d') {hod} ELSE 'normal' END AS day_type, coalesce(c.n, 0) AS school_count, s.Flow FROM s LEFT JOIN types t ON t.site = s.NB_SCATS_SITE LEFT JOIN c ON c.site = s.NB_SCATS_SITE",
+        "t1_stream_slot_counts": "SELECT user_id, strftime(time_bucket(INTERVAL 15 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS slot_start, count(*) AS n, CAST(sum(floor(value)) AS BIGINT) AS total FROM events GROUP BY ALL",
+        "t2_stream_last_values": "SELECT user_id AS site, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age, event_id, value FROM events QUALIFY age <= 24",
         "t1_slot_counts": "SELECT user_id, strftime(time_bucket(INTERVAL 15 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS slot_start, count(*) AS n FROM events GROUP BY ALL",
     }

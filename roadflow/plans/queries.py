@@ -13,6 +13,8 @@ from roadflow.operators import clean, enrich, features, graph, paths, spatial, w
 
 RADIUS = 0.03
 ORIGIN, TARGET = "1", "4"
+ANY = (TARGET, "30", "1028")
+ALGORITHMS = ("BFS", "DFS", "DIJK", "AS", "GBFS")
 SLOTS = list(range(96))
 TYPES = ["click", "error", "purchase", "signup", "view"]
 BEFORE = "2024-01-20 00:00:00"
@@ -531,13 +533,56 @@ def g15_greedy_path(s, d):
 
 
 def k2_top_k_paths(s, d):
+    """The cheapest simple paths of one trip: ten kept, five returned."""
+    from roadflow.plans.route import route
+
+    return _ranked(route(_nodes(s, d), _edges(s, d), ORIGIN, TARGET, "KSP"))
+
+
+def k2_paths_by_seconds(s, d):
+    """As ``k2_top_k_paths``, by seconds at measured flows."""
+    from roadflow.plans.route import route
+
+    return _ranked(route(_nodes(s, d), _edges(s, d), ORIGIN, TARGET, "KSP", _flows(s, d)))
+
+
+def c4_ant_paths(s, d):
     """The best distinct paths of one trip that ants find on the completed chunk: ten kept, five returned."""
     from roadflow.plans.route import route
 
-    found = route(_nodes(s, d), _edges(s, d), ORIGIN, TARGET, "ACO")
+    return _ranked(route(_nodes(s, d), _edges(s, d), ORIGIN, TARGET, "ACO"))
+
+
+def _ranked(found: DataFrame) -> DataFrame:
     return found.select(F.col("rank").cast("long").alias("rank"), F.array_join("path", ">").alias("path"), F.floor("cost").cast("long").alias("cost"))
 
 
+def _by_all_algorithms(s, d, flows) -> DataFrame:
+    from functools import reduce
+
+    from roadflow.plans.route import route
+
+    found = [_told(route(_nodes(s, d), _edges(s, d), ORIGIN, TARGET, name, flows)).withColumn("algorithm", F.lit(name)) for name in ALGORITHMS]
+    return reduce(DataFrame.unionByName, found)
+
+
+def g17_routes_by_metres(s, d):
+    return _by_all_algorithms(s, d, None)
+
+
+def g17_routes_by_seconds(s, d):
+    return _by_all_algorithms(s, d, _flows(s, d))
+
+
+def g17_routes_to_any(s, d):
+    """The cheapest of several destinations, and the five cheapest paths to any of them."""
+    from roadflow.plans.route import find_paths
+
+    nodes, edges = _trip(s, d)
+    one = [find_paths(nodes, edges, ORIGIN, [*ANY], name).withColumn("algorithm", F.lit(name)) for name in ("DIJK", "AS", "KSP")]
+    return one[0].unionByName(one[1]).unionByName(one[2]).select("algorithm", F.col("rank").cast("long").alias("rank"), F.element_at("path", -1).alias("reached"), F.floor("cost").cast("long").alias("cost"))
+
+
 def n22_route_text(s, d):
     e = graph.timed(_edges(s, d, 0.02), _flows(s, d))
     return e.select("src", "dst", flow.minutes_text(F.col("cost")).alias("text"))
@@ -575,6 +620,33 @@ def t1_slot_counts(s, d):
     return c.select("user_id", F.date_format("slot_start", "yyyy-MM-dd HH:mm:ss").alias("slot_start"), "n")
 
 
+def _streamed(s, d, changes, keys: list[str]) -> DataFrame:
+    """The result of a stream over the events file, run until all of it is processed."""
+    import uuid
+
+    from roadflow.scratch import shared_dir
+    from roadflow.streaming import files
+
+    folder = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    files.run_available(changes(files.file_stream(s, d, table(s, d, "events"), "events.parquet")), f"{folder}/changes", f"{folder}/checkpoint")
+    return files.result(s, f"{folder}/changes", keys)
+
+
+def t1_stream_slot_counts(s, d):
+    """``t1_slot_counts`` and sums as a running stream: file source, watermark, windows, file sink."""
+    from roadflow.streaming.flows import slot_counts
+
+    c = _streamed(s, d, lambda e: slot_counts(e.withColumn("value", F.floor("value")), "ts", "user_id", "value"), ["user_id", "slot_start"])
+    return c.select("user_id", F.date_format("slot_start", "yyyy-MM-dd HH:mm:ss").alias("slot_start"), "n", F.col("total").cast("long").alias("total"))
+
+
+def t2_stream_last_values(s, d):
+    """The latest 24 values of each site, kept by a stateful stream."""
+    from roadflow.streaming.flows import last_values
+
+    return _streamed(s, d, lambda e: last_values(e, "ts", "user_id", "value", "event_id"), ["site"]).select("site", F.col("age").cast("long").alias("age"), F.col("o").alias("event_id"), F.col("v").alias("value"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     skip = {"queries", "detector_rows", "schools", "sites", "table"}
     return {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k not in skip}

@@ -91,22 +91,6 @@ def test_files(spark, tmp_path):
         files.read_year(spark, str(tmp_path / "r"), "2015")
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from roadflow.streaming.flows import last_values, slot_counts
-
-    rows = spark.createDataFrame([(1, f"2024-01-01 00:{m:02d}:00", float(m)) for m in range(0, 60, 5)], "site long, t string, v double").withColumn("t", F.to_timestamp("t"))
-    rows.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    q = slot_counts(stream, "t", "site", "v").writeStream.outputMode("complete").format("memory").queryName("slots").start()
-    q.processAllAvailable()
-    q.stop()
-    assert sorted(map(tuple, spark.table("slots").collect())) == sorted(map(tuple, slot_counts(rows, "t", "site", "v").collect()))
-    q = last_values(stream, "t", "site", "v", 3).writeStream.outputMode("update").format("memory").queryName("latest").start()
-    q.processAllAvailable()
-    q.stop()
-    assert spark.table("latest").collect()[-1]["last_values"] == [45.0, 50.0, 55.0]
-
-
 def test_geometry(spark):
     r = spark.range(1).select(geo.haversine(-37.8, 144.9, -37.8, 145.0).alias("m"), *[c.alias(n) for c, n in zip(geo.wkt_point(F.lit("POINT (144.5 -37.5)")), ("x", "y"))], geo.wkt_point(F.lit("none"))[0].alias("z")).first()
     assert abs(r["m"] - 8786) < 5 and (r["x"], r["y"], r["z"]) == (144.5, -37.5, None)

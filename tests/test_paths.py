@@ -6,6 +6,7 @@ import heapq
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from roadflow.operators import graph, paths, walk
 from roadflow.plans.route import find_paths, present
@@ -58,19 +59,36 @@ def test_random_graphs(spark):
 
 def test_dispatcher(spark):
     nodes, edges = _frames(spark, SIX)
-    for name in ("BFS", "DFS", "DIJK", "AS", "GBFS", "ACO"):
+    for name in ("BFS", "DFS", "DIJK", "AS", "GBFS", "KSP", "ACO"):
         options = {"per_metre": 0.0} if name == "AS" else {}
         rows = find_paths(nodes, edges, "1", "4", name, **options).orderBy("rank").collect()
         assert rows[0]["path"][0] == "1" and rows[0]["path"][-1] == "4"
-        if name in ("DIJK", "AS", "ACO"):
+        if name in ("DIJK", "AS", "KSP", "ACO"):
             assert rows[0]["cost"] == 8.0
     assert find_paths(nodes, edges, "1", "1", "BFS").first()["path"] == ["1"]
     assert not find_paths(nodes, edges, "4", "1", "DIJK").collect()
     assert "→" in present(find_paths(nodes, edges, "1", "4", "BFS"), nodes).first()["route"]
+    assert present(find_paths(nodes, edges, "1", "4", "BFS"), nodes, seconds=False).first()["time"] is None
     with pytest.raises(ValueError):
         find_paths(nodes, edges, "1", "4", "NONE")
 
 
+def test_costs_and_several_destinations(spark):
+    """Every algorithm sums the column it is told to, and stops at the first or cheapest of its destinations."""
+    nodes, edges = _frames(spark, SIX)
+    doubled = edges.withColumn("seconds", F.col("weight") * 10.0)
+    for name in ("BFS", "DFS", "DIJK", "AS", "GBFS", "KSP"):
+        options = {"per_metre": 0.0} if name == "AS" else {}
+        for destination in ("4", ["4", "20"], ["20", "4", "4"]):
+            one = find_paths(nodes, edges, "1", destination, name, **options).where("rank = 1").first()
+            two = find_paths(nodes, doubled, "1", destination, name, cost="seconds", **options).where("rank = 1").first()
+            assert (two["path"], two["cost"]) == (one["path"], one["cost"] * 10)
+            assert one["path"][-1] in destination and not set(one["path"][:-1]) & set(destination)
+    assert find_paths(nodes, edges, "1", ["4", "1"], "DIJK").first()["path"] == ["1"]
+    least = {t: find_paths(nodes, edges, "1", t, "DIJK").first()["cost"] for t in ("4", "20")}
+    assert find_paths(nodes, edges, "1", ["4", "20"], "DIJK").first()["cost"] == min(least.values())
+
+
 def test_dead_end_and_ants(spark):
     edges = [("1", "2", 1), ("1", "3", 1), ("3", "4", 1)]
     nodes, frame = _frames(spark, edges, {"1": (144.9, -37.8), "2": (144.95, -37.8), "3": (144.8, -37.8), "4": (145.0, -37.8)})
