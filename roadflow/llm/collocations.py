@@ -36,7 +36,7 @@ LEAST, LONGEST, TOP = 30, 4, 2000
 #: Percent of a phrase's count from which a longer candidate stands for it.
 INSIDE = 80
 #: Text bytes that are counted together.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 #: Bits of the broadcast table: for each entry, and in all (32 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 SALTS = 256
@@ -77,13 +77,13 @@ class Part:
         bare = np.ascontiguousarray(data[~_GAP[data]])
         offsets = np.r_[0, np.cumsum(end - start)].astype(np.int32)
         words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(bare)]).dictionary_encode()
-        self.words, self.word = words.dictionary, words.indices.to_numpy().astype(np.int64)
-        breaks = np.r_[0, np.cumsum(_BREAK[data], dtype=np.int32)]
-        self.together = breaks[start[1:]] == breaks[end[:-1]]
+        self.words, self.word = words.dictionary, words.indices.to_numpy()
+        breaks = np.flatnonzero(_BREAK[data])
+        self.together = np.searchsorted(breaks, start[1:]) == np.searchsorted(breaks, end[:-1])
         begin = np.cumsum([0] + [len(p) + 1 for p, _, _ in parts])
         of = np.searchsorted(begin, start, side="right") - 1
         self.own = start < (begin[:-1] + np.array([n for _, n, _ in parts], np.int64))[of]
-        self.lang = np.array([g for _, _, g in parts], np.int64)[of]
+        self.lang = np.array([g for _, _, g in parts], np.int32)[of]
 
     def runs(self, k: int) -> np.ndarray:
         """Whether k words from each place on are in one piece."""
@@ -106,7 +106,7 @@ class Part:
         """(first place, count) of the different sequences of k words at some places, told apart by language and words."""
         number = self.lang[place]
         for j in range(k):
-            number = pa.array((number << 32) | self.word[place + j]).dictionary_encode().indices.to_numpy().astype(np.int64)
+            number = pa.array((number.astype(np.int64) << 32) | self.word[place + j]).dictionary_encode().indices.to_numpy()
         count = np.bincount(number)
         first = np.empty(len(count), np.int64)
         first[number[::-1]] = place[::-1]
