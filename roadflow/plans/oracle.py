@@ -295,6 +295,19 @@ SELECT (SELECT min(path) FROM paths) AS path, CAST(floor(cost) AS BIGINT) AS cos
         "j15_path_cost": f"WITH {NODES}, {E2} SELECT src || '>' || dst AS k, weight * 2 AS cost FROM edges",
         "n22_route_text": f"WITH {NODES}, {E2}, {_timed(15)} SELECT src, dst, CAST(floor(cost) AS BIGINT) // 60 || ' min ' || CAST(floor(cost) AS BIGINT) % 60 || ' sec' AS text FROM timed",
         "pipeline_long_series": f"WITH {CLEAN}, {TYPES}, {SITES}, {SCHOOLS}, c AS (SELECT CAST(a.site_no AS BIGINT) AS site, count(*) AS n FROM sites a JOIN schools b ON {dist} <= 5000 GROUP BY ALL), s AS (" + " UNION ALL ".join(f"SELECT NB_SCATS_SITE, date, '{8 + k // 4:02d}:{k % 4 * 15:02d}' AS time, CAST(sum({v}) AS BIGINT) AS Flow FROM clean GROUP BY 1, 2" for k, v in enumerate(VS)) + f") SELECT CAST(s.date AS VARCHAR) AS date, s.time, s.NB_SCATS_SITE, coalesce(t.scat_type, 'Unknown') AS scat_type, CASE strftime(s.date, '%m-%d') {hod} ELSE 'normal' END AS day_type, coalesce(c.n, 0) AS school_count, s.Flow FROM s LEFT JOIN types t ON t.site = s.NB_SCATS_SITE LEFT JOIN c ON c.site = s.NB_SCATS_SITE",
+        "w7_weighted_draws": """WITH w AS (SELECT c_custkey, CAST(floor(c_acctbal) AS BIGINT) AS weight FROM customer WHERE floor(c_acctbal) > 0), s AS (SELECT c_custkey, weight, CAST(sum(weight) OVER (ORDER BY c_custkey) AS BIGINT) AS upto FROM w),
+e AS (SELECT event_id, CAST((SELECT sum(weight) FROM w) AS HUGEINT) * ((event_id * 7919 + 104729) % 1000003) // 1000003 AS point FROM events)
+SELECT event_id, c_custkey FROM e JOIN s ON point < upto AND point >= upto - weight""",
+        "m7_four_steps": f"""WITH b AS (SELECT user_id AS site, ts, event_id, value FROM events WHERE ts < TIMESTAMP '{BEFORE}'), u AS (SELECT hour(ts) AS h, avg(value) AS m FROM b GROUP BY 1),
+r AS (SELECT site, ts, event_id, value - m AS r FROM b JOIN u ON h = hour(ts)),
+l AS (SELECT r, lag(r, 1) OVER w AS a, lag(r, 2) OVER w AS b FROM r WINDOW w AS (PARTITION BY site ORDER BY ts, event_id)),
+q AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(r * a) AS ra, sum(r * b) AS rb FROM l WHERE b IS NOT NULL),
+f AS (SELECT (ra * bb - rb * ab) / (aa * bb - ab * ab) AS wa, (rb * aa - ra * ab) / (aa * bb - ab * ab) AS wb FROM q),
+n AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY ts DESC, event_id DESC) AS age FROM r),
+t AS (SELECT site, max(CASE WHEN age = 1 THEN r END) AS r1, max(CASE WHEN age = 2 THEN r END) AS r2, max(ts) AS ts FROM n WHERE age <= 2 GROUP BY site HAVING count(*) = 2),
+y1 AS (SELECT site, ts, wa, wb, r1, wa * r1 + wb * r2 AS p1 FROM t, f), y2 AS (SELECT *, wa * p1 + wb * r1 AS p2 FROM y1), y3 AS (SELECT *, wa * p2 + wb * p1 AS p3 FROM y2), y4 AS (SELECT *, wa * p3 + wb * p2 AS p4 FROM y3),
+k AS (SELECT c_custkey AS site, step, y4.ts + step * INTERVAL 15 MINUTE AS due, [p1, p2, p3, p4][step] AS p FROM customer CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS step) LEFT JOIN y4 ON y4.site = c_custkey)
+SELECT site, CAST(step AS BIGINT) AS step, strftime(due, '%Y-%m-%d %H:%M:%S') AS ts, round(coalesce(p + coalesce(m, (SELECT avg(value) FROM b)), 500.0), 4) AS flow FROM k LEFT JOIN u ON u.h = hour(k.due)""",
         "t1_stream_slot_counts": "SELECT user_id, strftime(time_bucket(INTERVAL 15 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS slot_start, count(*) AS n, CAST(sum(floor(value)) AS BIGINT) AS total FROM events GROUP BY ALL",
         "t2_stream_last_values": "SELECT user_id AS site, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS age, event_id, value FROM events QUALIFY age <= 24",
         "t1_slot_counts": "SELECT user_id, strftime(time_bucket(INTERVAL 15 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS slot_start, count(*) AS n FROM events GROUP BY ALL",

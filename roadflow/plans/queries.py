@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from roadflow.fixtures import detector_rows, schools, sites, table
 from roadflow.functions import calendar, flow, geo, metrics
 from roadflow.operators import clean, enrich, features, graph, paths, spatial, walk
+from roadflow.operators.draws import weighted_draws
 
 RADIUS = 0.03
 ORIGIN, TARGET = "1", "4"
@@ -620,6 +621,47 @@ def t1_slot_counts(s, d):
     return c.select("user_id", F.date_format("slot_start", "yyyy-MM-dd HH:mm:ss").alias("slot_start"), "n")
 
 
+def w7_weighted_draws(s, d):
+    """A customer for each event, drawn by account balance; the draws follow from the events' ids."""
+    items = table(s, d, "customer").select("c_custkey", F.floor("c_acctbal").alias("weight"))
+    drawn = table(s, d, "events").select("event_id", ((F.col("event_id") * 7919 + 104729) % 1000003).alias("num"))
+    return weighted_draws(items, "weight", ["c_custkey"], drawn, "num", 1000003).select("event_id", "c_custkey")
+
+
+def m7_four_steps(s, d):
+    """The next four quarters of an hour of every site, from what it did before a time."""
+    from roadflow.plans.steps import fit_clock_model, forecast_steps
+
+    before = _series(s, d).where(F.col("ts") < F.lit(BEFORE).cast("timestamp_ntz"))
+    model = fit_clock_model(before, "site", "ts", ["ts", "event_id"], "value")
+    history = features.last_before(before, "site", "ts", F.lit(BEFORE).cast("timestamp_ntz"), ["event_id"], 2)
+    every = table(s, d, "customer").select(F.col("c_custkey").alias("site"))
+    made = forecast_steps(model, history, every, "site", "ts", "value", 4)
+    return made.select("site", "step", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.round("flow", 4).alias("flow"))
+
+
+def _scaled_windows(s, d) -> DataFrame:
+    """Windows of the scaled value and the clock."""
+    e = _series(s, d)
+    z = features.zscore(e, "value", features.fit_zscore(e, "value"), "z").select("site", "ts", "event_id", "z", *calendar.cyclical(F.col("ts")))
+    return features.windows(z, "site", ["ts", "event_id"], ["z", *z.columns[4:]], "z")
+
+
+def m4_training(s, d):
+    """Losses of the attention forecaster over some epochs on all windows."""
+    from roadflow.plans.training import Trial, train_network
+
+    return train_network(_scaled_windows(s, d), Trial(width=16, heads=2, inner=32, rate=0.003), epochs=4, slices=2)[1]
+
+
+def m9_search(s, d):
+    """Eight settings trained in step; the worse ones end early, and five are kept."""
+    from roadflow.plans.training import Trial, search_settings
+
+    grid = [Trial(width, heads, 16, 1, rate) for width, heads in ((8, 1), (16, 2), (16, 4)) for rate in (0.01, 0.001, 0.0001)][:8]
+    return search_settings(_scaled_windows(s, d), grid, epochs=4, warm_up=2)[0]
+
+
 def _streamed(s, d, changes, keys: list[str]) -> DataFrame:
     """The result of a stream over the events file, run until all of it is processed."""
     import uuid
@@ -648,5 +690,5 @@ def t2_stream_last_values(s, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    skip = {"queries", "detector_rows", "schools", "sites", "table"}
+    skip = {"queries", "detector_rows", "schools", "sites", "table", "weighted_draws"}
     return {k: f for k, f in globals().items() if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_") and k not in skip}
