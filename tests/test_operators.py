@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from roadflow.functions import calendar, flow, geo
 from roadflow.operators import clean, enrich, features
-from roadflow.sources import files, graph_text
+from roadflow.sources import files
 
 
 def test_flow_curve(spark):
@@ -52,20 +52,6 @@ def test_encoders_and_splits(spark):
     assert [r["start"] for r in w] == [0, 2, 4] and w[0]["y"] == [4.0]
 
 
-def test_graph_text_round_trip(spark, tmp_path):
-    text = "Nodes:\n\n1: (144.9,-37.8)\n2: (144.91,-37.81)\nbad line\n2: (144.92,-37.81)\nEdges:\n(1,2): 12.7\n(1,2): 9\n(2,1): 3\nOrigin:\n2\n1\nDestinations:\n1;2\n2\n"
-    (tmp_path / "g.txt").write_text(text)
-    g = graph_text.read(spark, str(tmp_path / "g.txt"))
-    assert (g.origin, g.destinations) == ("1", ["2"])
-    assert sorted(map(tuple, g.nodes.collect())) == [("1", 144.9, -37.8), ("2", 144.92, -37.81)]
-    assert sorted(map(tuple, g.edges.collect())) == [("1", "2", 9), ("2", "1", 3)]
-    graph_text.write(str(tmp_path / "out"), g.nodes, g.edges, g.origin, g.destinations)
-    whole = "\n".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
-    (tmp_path / "again.txt").write_text(whole)
-    h = graph_text.read(spark, str(tmp_path / "again.txt"))
-    assert (h.origin, h.destinations, sorted(map(tuple, h.edges.collect()))) == ("1", ["2"], [("1", "2", 9), ("2", "1", 3)])
-
-
 def test_files(spark, tmp_path):
     feature = {"type": "Feature", "properties": {"SITE_NO": "7", "SITE_NAME": "n", "SITE_TYPE": "t", "COMMENTS": None}, "geometry": {"type": "Point", "coordinates": [144.9, -37.8]}}
     (tmp_path / "s.json").write_text(json.dumps({"type": "FeatureCollection", "features": [feature]}))
