@@ -3,6 +3,9 @@
 A range join hashes both sides into grid cells as wide as the radius and joins cells with
 equal keys, so no side is broadcast and no pair outside neighbouring cells is made.  Cells go round the globe;
 their width in degrees comes from the highest latitude of the data.
+
+A dense place doesn't make a large task: a cell whose pairs exceed ``MOST_PAIRS`` is dealt into blocks of both sides, and a
+count takes groups of places that lie wholly within the distance by their numbers, so only groups at its edge are compared one by one.
 """
 
 from __future__ import annotations
@@ -34,51 +37,119 @@ def highest(nodes: DataFrame) -> float:
     return float(nodes.agg(F.max(F.abs("lat"))).first()[0] or 0.0)
 
 
+#: Pairs of one cell that a task compares, and places of a group from which on groups are counted as a whole.
+MOST_PAIRS = 100_000_000
+GROUP = 8
+
+
 def range_join(left: DataFrame, right: DataFrame, width_lon: float, width_lat: float, how: str = "inner") -> DataFrame:
     """Pairs from the same or neighbouring cells; all columns of both sides, which must not clash.
 
     ``left`` has lon and lat, ``right`` has lon2 and lat2.  Callers add the exact condition.  The last cell of longitude is
     the first one's neighbour; fewer than three cells are one.
     """
+    a, b = _celled(left, right, width_lon, width_lat)
+    return a.join(b, ["cx", "cy"], how).drop("cx", "cy")
+
+
+def _celled(left: DataFrame, right: DataFrame, width_lon: float, width_lat: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides with their cells (cx, cy); the right one in its own and all neighbouring ones."""
     near = F.explode(F.sequence(F.lit(-1), F.lit(1)))
     around = int(360 // width_lon)
     lon = lambda c, d: F.pmod(F.floor((F.col(c) + 180) / F.lit(360 / around)) + d, F.lit(around)) if around >= 3 else F.lit(0).cast("long")
     a = left.withColumn("cx", lon("lon", F.lit(0))).withColumn("cy", _cell("lat", width_lat))
     b = right.withColumn("dx", near if around >= 3 else F.lit(0)).withColumn("dy", near)
-    b = b.withColumn("cx", lon("lon2", F.col("dx"))).withColumn("cy", _cell("lat2", width_lat) + F.col("dy")).drop("dx", "dy")
-    return a.join(b, ["cx", "cy"], how).drop("cx", "cy")
+    return a, b.withColumn("cx", lon("lon2", F.col("dx"))).withColumn("cy", _cell("lat2", width_lat) + F.col("dy")).drop("dx", "dy")
+
+
+def split_range_join(left: DataFrame, right: DataFrame, width_lon: float, width_lat: float) -> DataFrame:
+    """As ``range_join``, with cells of more than ``MOST_PAIRS`` pairs dealt into blocks.
+
+    Such a cell is cut into p parts of its left and p of its right rows; each row goes to the p blocks that it is part of, so a block
+    has a p-th of either side.  One job counts the cells first; without a dense one the join is the plain one.
+    """
+    a, b = _celled(left, right, width_lon, width_lat)
+    cells = lambda df, n: df.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias(n))
+    pairs = F.col("na").cast("double") * F.col("nb")
+    dense = cells(a, "na").join(cells(b, "nb"), ["cx", "cy"]).where(pairs > MOST_PAIRS).select("cx", "cy", F.ceil(F.sqrt(pairs / MOST_PAIRS)).cast("int").alias("p"))
+    if not dense.limit(1).count():
+        return a.join(b, ["cx", "cy"]).drop("cx", "cy")
+    dense = Rounds(left.sparkSession, "dense").save(dense)
+
+    def dealt(df: DataFrame, mine: str, other: str) -> DataFrame:
+        parts = F.coalesce("p", F.lit(1))
+        known = df.join(dense, ["cx", "cy"], "left").withColumn(mine, F.pmod(F.xxhash64(*df.columns), parts).cast("int"))
+        return known.withColumn(other, F.explode(F.sequence(F.lit(0), parts - 1))).drop("p")
+
+    return dealt(a, "_i", "_j").join(dealt(b, "_j", "_i"), ["cx", "cy", "_i", "_j"]).drop("cx", "cy", "_i", "_j")
 
 
 def pairs_within_degrees(sites: DataFrame, radius: float, key: str = "site_no") -> DataFrame:
     """Unordered pairs (a, b, a's and b's coordinates) at most ``radius`` degrees apart (inclusive), a < b as text."""
     one = sites.select(F.col(key).alias("a"), "lon", "lat").where("lon is not null and lat is not null")
     two = sites.select(F.col(key).alias("b"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
-    both = range_join(one, two, radius, radius)
+    both = split_range_join(one, two, radius, radius)
     d2 = (F.col("lon") - F.col("lon2")) * (F.col("lon") - F.col("lon2")) + (F.col("lat") - F.col("lat2")) * (F.col("lat") - F.col("lat2"))
     return both.where((F.col("a") < F.col("b")) & (d2 <= F.lit(radius) * F.lit(radius)))
 
 
 def count_within_metres(sites: DataFrame, others: DataFrame, metres: float, key: str = "site_no") -> DataFrame:
-    """(key, n): how many of ``others`` lie within a distance of each site (inclusive); sites without any count 0."""
+    """(key, n): how many of ``others`` lie within a distance of each site (inclusive); sites without any count 0.
+
+    Where ``others`` are dense, they are grouped first; see ``_count_by_groups``.
+    """
     lon_width, lat_width = cell_widths(metres, highest(sites))
-    found = range_join(sites.select(key, "lon", "lat"), others.select(F.col("lon").alias("lon2"), F.col("lat").alias("lat2")).where("lon is not null and lat is not null"), lon_width, lat_width)
-    n = found.where(haversine("lat", "lon", "lat2", "lon2") <= metres).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    places = others.where("lon is not null and lat is not null").groupBy(F.col("lon").alias("lon2"), F.col("lat").alias("lat2")).agg(F.count(F.lit(1)).alias("m"))
+    one = sites.select(key, "lon", "lat")
+    if _dense(places, lat_width / GROUP):
+        found = _count_by_groups(one, places, metres, lon_width, lat_width, key)
+    else:
+        found = split_range_join(one, places, lon_width, lat_width).where(haversine("lat", "lon", "lat2", "lon2") <= metres).select(key, "m")
+    n = found.groupBy(key).agg(F.sum("m").alias("n"))
     return sites.select(key).join(n, key, "left").select(key, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def _dense(places: DataFrame, width: float) -> bool:
+    """Whether some group of places has more than ``GROUP`` squared of them."""
+    groups = places.groupBy(_cell("lon2", width), _cell("lat2", width)).count()
+    return bool(groups.where(F.col("count") > GROUP * GROUP).limit(1).count())
+
+
+def _count_by_groups(sites: DataFrame, places: DataFrame, metres: float, lon_width: float, lat_width: float, key: str) -> DataFrame:
+    """Rows (key, m) whose sums are the counts.
+
+    Places are grouped into squares of an eighth of the distance; a group knows its middle, how many places it has, and how far from the
+    middle its farthest one is.  By the triangle inequality a site either has a whole group within the distance, or none of it, or has to compare
+    its places; these are the groups at the edge of the circle.
+    """
+    rounds, small = Rounds(places.sparkSession, "groups"), lat_width / GROUP
+    held = rounds.save(places.withColumn("gx", _cell("lon2", small)).withColumn("gy", _cell("lat2", small)))
+    middle = held.groupBy("gx", "gy").agg(((F.min("lon2") + F.max("lon2")) / 2).alias("glon"), ((F.min("lat2") + F.max("lat2")) / 2).alias("glat"), F.sum("m").alias("m"))
+    reach = held.join(middle.drop("m"), ["gx", "gy"]).groupBy("gx", "gy").agg(F.max(haversine("lat2", "lon2", "glat", "glon")).alias("reach"))
+    groups = rounds.save(middle.join(reach, ["gx", "gy"]).select("gx", "gy", F.col("glon").alias("lon2"), F.col("glat").alias("lat2"), "m", "reach"))
+    # a middle may lie a group's width beyond the places that are in reach
+    wide = 1 + 2 / GROUP
+    near = split_range_join(sites, groups, min(lon_width * wide, 360.0), lat_width * wide).withColumn("far", haversine("lat", "lon", "lat2", "lon2"))
+    slack = 1e-6 * metres + 1e-3
+    whole = F.col("far") + F.col("reach") + slack <= metres
+    near = rounds.save(near.where(F.col("far") - F.col("reach") - slack <= metres).select(key, "lon", "lat", "gx", "gy", "m", whole.alias("whole")))
+    edge = near.where("not whole").drop("m").join(held, ["gx", "gy"]).where(haversine("lat", "lon", "lat2", "lon2") <= metres)
+    return near.where("whole").select(key, "m").unionByName(edge.select(key, "m"))
+
+
 def cross_component_pairs(nodes: DataFrame, metres: float, radius: float = EARTH_M) -> DataFrame:
     """(a, b, component_a, component_b, dist) for nodes of different components within a distance; a < b as text.
 
     ``nodes``: id, lon, lat, component.
     """
     one = nodes.select(F.col("id").alias("a"), "lon", "lat", F.col("component").alias("component_a"))
-    return _pairs_between(one, nodes, metres, highest(nodes), radius).where("a < b")
+    return _pairs_between(one, nodes, metres, highest(nodes), radius, split_range_join).where("a < b")
 
 
-def _pairs_between(one: DataFrame, nodes: DataFrame, metres: float, top: float, radius: float = EARTH_M) -> DataFrame:
+def _pairs_between(one: DataFrame, nodes: DataFrame, metres: float, top: float, radius: float = EARTH_M, join=range_join) -> DataFrame:
     lon_width, lat_width = cell_widths(metres * EARTH_M / radius, top)
     two = nodes.select(F.col("id").alias("b"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), F.col("component").alias("component_b"))
-    both = range_join(one, two, lon_width, lat_width).where("component_a <> component_b")
+    both = join(one, two, lon_width, lat_width).where("component_a <> component_b")
     far = haversine("lat", "lon", "lat2", "lon2", radius)
     return both.select("a", "b", "component_a", "component_b", far.alias("dist")).where(F.col("dist") <= metres)
 
