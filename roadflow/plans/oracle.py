@@ -295,6 +295,29 @@ SELECT (SELECT min(path) FROM paths) AS path, CAST(floor(cost) AS BIGINT) AS cos
         "j15_path_cost": f"WITH {NODES}, {E2} SELECT src || '>' || dst AS k, weight * 2 AS cost FROM edges",
         "n22_route_text": f"WITH {NODES}, {E2}, {_timed(15)} SELECT src, dst, CAST(floor(cost) AS BIGINT) // 60 || ' min ' || CAST(floor(cost) AS BIGINT) % 60 || ' sec' AS text FROM timed",
         "pipeline_long_series": f"WITH {CLEAN}, {TYPES}, {SITES}, {SCHOOLS}, c AS (SELECT CAST(a.site_no AS BIGINT) AS site, count(*) AS n FROM sites a JOIN schools b ON {dist} <= 5000 GROUP BY ALL), s AS (" + " UNION ALL ".join(f"SELECT NB_SCATS_SITE, date, '{8 + k // 4:02d}:{k % 4 * 15:02d}' AS time, CAST(sum({v}) AS BIGINT) AS Flow FROM clean GROUP BY 1, 2" for k, v in enumerate(VS)) + f") SELECT CAST(s.date AS VARCHAR) AS date, s.time, s.NB_SCATS_SITE, coalesce(t.scat_type, 'Unknown') AS scat_type, CASE strftime(s.date, '%m-%d') {hod} ELSE 'normal' END AS day_type, coalesce(c.n, 0) AS school_count, s.Flow FROM s LEFT JOIN types t ON t.site = s.NB_SCATS_SITE LEFT JOIN c ON c.site = s.NB_SCATS_SITE",
+        "u1_paths_of_components": f"""WITH {NODES}, {E3}, {_labels('edges')}, ends AS (SELECT component, min(id) AS origin, max(id) AS target FROM label GROUP BY 1 HAVING count(*) > 1),
+far(origin, id, cost) AS (SELECT * FROM (WITH RECURSIVE d(origin, id, cost) USING KEY (origin, id) AS (
+    SELECT origin, origin, CAST(0 AS DOUBLE) FROM ends
+    UNION
+    SELECT d.origin, e.dst, min(d.cost + e.weight) FROM d JOIN edges e ON e.src = d.id LEFT JOIN recurring.d old ON old.origin = d.origin AND old.id = e.dst GROUP BY d.origin, e.dst, old.cost HAVING old.cost IS NULL OR min(d.cost + e.weight) < old.cost
+  ) SELECT * FROM d))
+SELECT e.component AS graph, e.origin, e.target, CAST(f.cost AS BIGINT) AS cost, true AS arrives FROM ends e JOIN far f ON f.origin = e.origin AND f.id = e.target""",
+        "s1_geojson_sites": f"WITH {SITES} SELECT site_no, site_name, site_type, round(lon, 6) AS lon, round(lat, 6) AS lat FROM sites",
+        "s2_graph_text": f"WITH {NODES}, {E2} SELECT src, dst, weight, round(lon, 6) AS lon, round(lat, 6) AS lat, '{ORIGIN}' AS origin, '{TARGET}' AS destinations FROM edges JOIN nodes ON id = src",
+        "s5_scan_by_encoding": "SELECT event_id, event_type || 'é' AS kind FROM events",
+        "s12_costs_in_place": f"WITH {NODES}, {E2}, {_timed(15)} SELECT src, dst, CAST(floor(CASE WHEN CAST(src AS BIGINT) % 2 = 0 THEN cost ELSE weight END) AS BIGINT) AS cost FROM timed",
+        "n23_route_table": f"""WITH {NODES}, {E3}, {_chunk('edges', ORIGIN, TARGET, 0.1)}, {_timed(15, 'arcs')}, {_simple_paths('timed', 'cost')},
+f AS (SELECT row_number() OVER (ORDER BY cost, len(path), path)::BIGINT AS rank, path, cost FROM simple QUALIFY rank <= 5), leg AS (SELECT rank, path[i] AS a, path[i + 1] AS b FROM f, range(1, len(path)) r(i)),
+m AS (SELECT rank, sum({dist}) AS metres FROM leg JOIN nodes a ON a.id = leg.a JOIN nodes b ON b.id = leg.b GROUP BY rank)
+SELECT rank, array_to_string(path, ' → ') AS route, CAST(floor(cost) AS BIGINT) // 60 || ' min ' || CAST(floor(cost) AS BIGINT) % 60 || ' sec' AS time, round(metres / 1000, 2) AS km FROM f JOIN m USING (rank)""",
+        "k3_top_paths": f"WITH {NODES}, {E3}, t AS (SELECT a.src || '>' || b.dst AS path, min(a.weight + b.weight) AS cost FROM edges a JOIN edges b ON b.src = a.dst WHERE a.src = '{ORIGIN}' AND b.dst <> '{ORIGIN}' GROUP BY 1) SELECT row_number() OVER (ORDER BY cost, path) AS rank, path, CAST(cost AS BIGINT) AS cost FROM t QUALIFY rank <= 10",
+        "o3_components_by_size": f"WITH {NODES}, {E2}, {_labels('edges')}, c AS (SELECT component, count(*) AS size FROM label GROUP BY 1) SELECT row_number() OVER (ORDER BY size DESC, component) AS place, component, size FROM c",
+        "o4_bridges_by_distance": f"WITH {NODES}, {E2}, {_labels('edges')}, p AS (SELECT a.id AS a, b.id AS b, CAST(floor({dist}) AS BIGINT) AS metres FROM (SELECT * FROM nodes JOIN label USING (id)) a JOIN (SELECT * FROM nodes JOIN label USING (id)) b ON a.id < b.id AND a.component <> b.component WHERE {dist} <= 3000) SELECT row_number() OVER (ORDER BY metres, a, b) AS place, a, b, metres FROM p",
+        "o5_neighbours_in_text_order": f"WITH {NODES}, {E3} SELECT src AS id, string_agg(dst, '>' ORDER BY dst) AS neighbours FROM edges GROUP BY src",
+        "g4c_star": f"WITH {NODES}, {E2}, {_labels('edges')}, h AS (SELECT DISTINCT component AS id FROM label), f AS (SELECT min(id) AS id FROM h) SELECT a.id AS src, b.id AS dst, CAST(floor({dist}) AS BIGINT) AS weight FROM h JOIN nodes a USING (id), f JOIN nodes b ON b.id = f.id WHERE a.id <> b.id",
+        "g4d_fixed_pairs": f"WITH {NODES}, w AS (SELECT CAST(s_suppkey AS VARCHAR) AS src, CAST(s_suppkey + 1 AS VARCHAR) AS dst FROM supplier), m AS (SELECT src, dst, CAST(floor({dist}) AS BIGINT) AS weight FROM w JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst) SELECT * FROM m UNION SELECT dst, src, weight FROM m",
+        "f6_region_holidays": "SELECT DISTINCT strftime(ts, '%m-%d') AS md, 'day ' || dayofyear(ts) AS day_type FROM events WHERE event_id % 11 <> 0 AND dayofyear(ts) % 3 IN (0, 1)",
+        "x2_union_of_chunks": f"WITH {WIDE} SELECT NB_SCATS_SITE, count(*) * 4 AS n, CAST(sum(coalesce(V32, 0) + coalesce(V33, 0) + coalesce(V34, 0) + coalesce(V35, 0)) AS BIGINT) AS flow FROM wide GROUP BY 1",
         "w7_weighted_draws": """WITH w AS (SELECT c_custkey, CAST(floor(c_acctbal) AS BIGINT) AS weight FROM customer WHERE floor(c_acctbal) > 0), s AS (SELECT c_custkey, weight, CAST(sum(weight) OVER (ORDER BY c_custkey) AS BIGINT) AS upto FROM w),
 e AS (SELECT event_id, CAST((SELECT sum(weight) FROM w) AS HUGEINT) * ((event_id * 7919 + 104729) % 1000003) // 1000003 AS point FROM events)
 SELECT event_id, c_custkey FROM e JOIN s ON point < upto AND point >= upto - weight""",

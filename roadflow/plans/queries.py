@@ -662,6 +662,134 @@ def m9_search(s, d):
     return search_settings(_scaled_windows(s, d), grid, epochs=4, warm_up=2)[0]
 
 
+def u1_paths_of_components(s, d):
+    """The trip across each component by the table function, all in one SQL statement."""
+    from roadflow.plans.sql import paths_of_components
+
+    edges = _edges(s, d)
+    made = paths_of_components(graph.components(_nodes(s, d), edges), edges)
+    return made.select("graph", "origin", "target", F.col("cost").cast("long").alias("cost"), (F.element_at("path", -1) == F.col("target")).alias("arrives"))
+
+
+# --- files: rows of the tables written in a format and read back ------------------------------
+
+
+def _folder(s, name: str) -> str:
+    import uuid
+
+    from roadflow.scratch import shared_dir
+
+    return f"{shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+
+
+def s1_geojson_sites(s, d):
+    """Sites as feature collections of a thousand points each, scanned as GeoJSON."""
+    from roadflow.operators.ordering import number_rows
+    from roadflow.sources.files import read_geojson
+
+    point = F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates"))
+    props = F.struct(F.col("site_no").alias("SITE_NO"), F.col("site_name").alias("SITE_NAME"), F.col("site_type").alias("SITE_TYPE"), F.lit(None).cast("string").alias("COMMENTS"))
+    rows = number_rows(sites(s, d), ["site_no"], "n").select(F.floor(F.col("n") / 1000).alias("file"), F.struct(F.lit("Feature").alias("type"), props.alias("properties"), point.alias("geometry")).alias("f"))
+    files = rows.groupBy("file").agg(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.collect_list("f").alias("features"))).alias("value"))
+    folder = _folder(s, "geojson")
+    files.repartition("file").write.partitionBy("file").text(folder)
+    back = read_geojson(s, f"{folder}/*")
+    return back.select("site_no", "site_name", "site_type", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+def s2_graph_text(s, d):
+    """The site graph written as graph text by tasks, and read back in byte ranges."""
+    from roadflow.sources import graph_text
+
+    folder = _folder(s, "graph")
+    graph_text.write(folder, _nodes(s, d), _edges(s, d, 0.02), ORIGIN, [TARGET])
+    g = graph_text.read(s, folder, split_bytes=1 << 20)
+    return g.edges.join(g.nodes.withColumnRenamed("id", "src"), "src").select("src", "dst", "weight", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"), F.lit(g.origin).alias("origin"), F.lit(";".join(g.destinations)).alias("destinations"))
+
+
+def s5_scan_by_encoding(s, d):
+    """Events as CSV files in two encodings, each scanned in its own."""
+    from roadflow.sources import files
+
+    folder, e = _folder(s, "csv"), table(s, d, "events").select("event_id", F.concat("event_type", F.lit("é")).alias("kind"))
+    for i, code in enumerate(("UTF-8", "ISO-8859-1")):
+        e.where(F.col("event_id") % 2 == i).write.option("header", True).option("encoding", code).csv(f"{folder}/{i}")
+    paths = [f"{folder}/{i}/{n}" for i in (0, 1) for n in files._children(s, f"{folder}/{i}") if n.endswith(".csv")]
+    rows, _ = files.scan_files(s, paths, "event_id long, kind string")
+    return rows.select("event_id", "kind")
+
+
+def s12_costs_in_place(s, d):
+    """The costs of some origins rewritten in a stored table; the other partitions stay."""
+    from roadflow.sources import stages
+
+    path, e = _folder(s, "costs"), _edges(s, d, 0.02).withColumn("part", F.pmod(F.col("src").cast("long"), F.lit(8)))
+    e.withColumn("cost", F.col("weight").cast("double")).write.partitionBy("part").parquet(path)
+    stored = s.read.parquet(path)
+    timed = graph.timed(stored.where("part % 2 = 0").drop("cost"), _flows(s, d))
+    stages.replace_partitions(timed.select("src", "dst", "weight", "cost", "part"), path, ["part"])
+    return s.read.parquet(path).select("src", "dst", F.floor("cost").cast("long").alias("cost"))
+
+
+# --- results as they are told ---------------------------------------------------------------------
+
+
+def n23_route_table(s, d):
+    """The ranked paths of a trip as texts: arrows, minutes and seconds, kilometres."""
+    from roadflow.plans.route import present, route
+
+    nodes = _nodes(s, d)
+    return present(route(nodes, _edges(s, d), ORIGIN, TARGET, "KSP", _flows(s, d)), nodes).select(F.col("rank").cast("long").alias("rank"), "route", "time", "km")
+
+
+def k3_top_paths(s, d):
+    """Trips over two edges from one site, the cheaper of equal ones, first ten with their ranks."""
+    e = _edges(s, d)
+    one, two = e.where(F.col("src") == ORIGIN), e.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("weight").alias("w2"))
+    found = one.join(two, "dst").where("src <> end").select(F.array("src", "end").alias("path"), (F.col("weight") + F.col("w2")).cast("double").alias("cost"))
+    return _ranked(paths.top_paths(found, 10))
+
+
+def o3_components_by_size(s, d):
+    sizes = graph.component_sizes(g2_components(s, d))
+    return features.in_order(sizes.withColumn("less", -F.col("size")), ["less", "component"], "place").select(F.col("place").cast("long").alias("place"), "component", "size")
+
+
+def o4_bridges_by_distance(s, d):
+    b = spatial.cross_component_pairs(_labelled(s, d), 3000.0).select("a", "b", F.floor("dist").cast("long").alias("metres"))
+    return features.in_order(b, ["metres", "a", "b"], "place").select(F.col("place").cast("long").alias("place"), "a", "b", "metres")
+
+
+def o5_neighbours_in_text_order(s, d):
+    a = graph.adjacency(_edges(s, d))
+    return a.select("id", F.array_join(F.transform("neighbours", lambda x: x["dst"]), ">").alias("neighbours"))
+
+
+def g4c_star(s, d):
+    nodes = _nodes(s, d)
+    return graph.star(nodes, graph.components(nodes, _edges(s, d, 0.02)))
+
+
+def g4d_fixed_pairs(s, d):
+    """Edges that are made in any case, both ways."""
+    wanted = table(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("src"), (F.col("s_suppkey") + 1).cast("string").alias("dst"))
+    return graph.symmetric(graph.with_length(wanted, _nodes(s, d)))
+
+
+def f6_region_holidays(s, d):
+    """Holidays of one region from dated rows, whatever its capitals; texts that are no date are skipped."""
+    day = F.when(F.col("event_id") % 11 == 0, F.lit("")).otherwise(F.date_format("ts", "yyyyMMdd"))
+    e = table(s, d, "events").select(day.alias("Date"), F.concat(F.lit("day "), F.dayofyear("ts")).alias("Holiday Name"), F.when(F.dayofyear("ts") % 3 == 0, "VIC").when(F.dayofyear("ts") % 3 == 1, "Vic").otherwise("nsw").alias("Jurisdiction"))
+    return enrich.holiday_lookup(e)
+
+
+def x2_union_of_chunks(s, d):
+    """The series cut into chunks by rows, each in the long form, put together again."""
+    w = _wide(s, d).withColumn("chunk", F.pmod(F.col("NB_SCATS_SITE"), F.lit(3)))
+    parts = [clean.unpivot_slots(w.where(F.col("chunk") == k).drop("chunk"), ["NB_SCATS_SITE", "date", "NB_DETECTOR"]) for k in range(3)]
+    return clean.read_union(parts).groupBy("NB_SCATS_SITE").agg(F.count(F.lit(1)).alias("n"), F.sum("Flow").cast("long").alias("flow"))
+
+
 def _streamed(s, d, changes, keys: list[str]) -> DataFrame:
     """The result of a stream over the events file, run until all of it is processed."""
     import uuid
