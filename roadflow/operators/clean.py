@@ -74,13 +74,45 @@ def unpivot_slots(df: DataFrame, ids: list[str], flows: list[str] | None = None,
     return df.unpivot(ids, flows or flow_columns(df), name, value)
 
 
-def long_series(df: DataFrame, ids: list[str], flows: list[str], start: str | None = None, end: str | None = None, date: str = "date") -> DataFrame:
-    """Long series with ``time`` as HH:MM; one or both bounds of the date are inclusive."""
+def date_range(df: DataFrame, date: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Rows from a first to a last day, both inclusive; a bound that is not given doesn't count."""
     if start:
         df = df.where(F.col(date) >= F.lit(start).cast("date"))
     if end:
         df = df.where(F.col(date) <= F.lit(end).cast("date"))
-    return unpivot_slots(df, ids, flows).withColumn("time", slot_time(F.col("time_idx"))).drop("time_idx")
+    return df
+
+
+def digits(text: Column, n: int) -> Column:
+    """Whether a text is n digits and nothing else."""
+    return text.rlike(f"^[0-9]{{{n}}}$")
+
+
+def members(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Rows whose key the other frame has."""
+    return df.join(known.select(key), key, "left_semi")
+
+
+def missing(df: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Rows whose key the other frame lacks."""
+    return df.join(known.select(key), key, "left_anti")
+
+
+def coverage(df: DataFrame, key: str, value: str, out: str = "all") -> DataFrame:
+    """(key, out): whether a key has every value that occurs anywhere."""
+    every = df.agg(F.count_distinct(value).alias("_every"))  # one row
+    have = df.groupBy(key).agg(F.count_distinct(value).alias("_have"))
+    return have.crossJoin(F.broadcast(every)).select(key, (F.col("_have") == F.col("_every")).alias(out))
+
+
+def head(df: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n rows of an order."""
+    return df.orderBy(*order).limit(n)
+
+
+def long_series(df: DataFrame, ids: list[str], flows: list[str], start: str | None = None, end: str | None = None, date: str = "date") -> DataFrame:
+    """Long series with ``time`` as HH:MM; one or both bounds of the date are inclusive."""
+    return unpivot_slots(date_range(df, date, start, end), ids, flows).withColumn("time", slot_time(F.col("time_idx"))).drop("time_idx")
 
 
 def profile(df: DataFrame, site: str, date: str, flow: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadflow.functions.calendar import month_day
+from roadflow.operators.clean import digits
 
 #: Month-day of the built-in holiday table.
 HOLIDAYS = [
@@ -43,7 +44,7 @@ def look_up(df: DataFrame, lookups: list[DataFrame], key: str, out: str, default
 
 def holiday_lookup(df: DataFrame, date: str = "Date", name: str = "Holiday Name", jurisdiction: str = "Jurisdiction", region: str = "vic") -> DataFrame:
     """(md, day_type) from a holiday table with yyyymmdd texts; other texts are skipped, the last row of a month-day counts."""
-    rows = df.withColumn("_order", F.monotonically_increasing_id()).where(F.lower(jurisdiction) == region).where(F.col(date).rlike("^[0-9]{8}$"))
+    rows = df.withColumn("_order", F.monotonically_increasing_id()).where(F.lower(jurisdiction) == region).where(digits(F.col(date), 8))
     md = F.concat_ws("-", F.substring(date, 5, 2), F.substring(date, 7, 2))
     return rows.select(md.alias("md"), F.col(name).alias("day_type"), "_order").groupBy("md").agg(F.max_by("day_type", "_order").alias("day_type"))
 

@@ -59,9 +59,14 @@ def row_slice(df: DataFrame, order: list[str], first: int, size: int) -> DataFra
     return number_rows(df, order, "_rn").where(F.col("_rn").between(first + 1, first + size)).drop("_rn")
 
 
+def portable_hash(keys: list[str], seed: int = 42) -> Column:
+    """A hash of the seed and the keys as texts, joined by bars, that any engine can compute: MD5 in hexadecimal. Null keys are left out."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+
+
 def sample_rows(df: DataFrame, keys: list[str], n: int, seed: int = 42) -> DataFrame:
     """n rows (all, if there are fewer) in the order of a hash of their keys; equal on every run."""
-    return df.orderBy(F.xxhash64(*keys, F.lit(seed)), *keys).limit(n)
+    return df.orderBy(portable_hash(keys, seed), *keys).limit(n)
 
 
 def in_order(df: DataFrame, order: list[str], out: str) -> DataFrame:
@@ -84,14 +89,17 @@ def one_hot(df: DataFrame, value: str, classes: list[str], prefix: str) -> DataF
 def windows(df: DataFrame, key: str, order: list[str], features: list[str], target: str, length: int = 24, ahead: int = 1, step: int = 4) -> DataFrame:
     """(key, start, x, y): every ``step``-th window of ``length`` rows of a key, its features, and the next ``ahead`` targets.
 
-    Only windows with all rows are made; x is an array of feature arrays, y an array.
+    Only windows with all rows are made; x is an array of feature arrays, y an array.  Rows are first put into blocks of ``step``, so a
+    window is gathered once, from the few blocks that it spans, and none is made to be dropped.  Both steps keep the partitioning by key.
     """
-    w = W.partitionBy(key).orderBy(*order)
-    rows = df.withColumn("rn", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(W.partitionBy(key)))
-    x = F.collect_list(F.array(*[F.col(c).cast("double") for c in features])).over(w.rowsBetween(0, length - 1))
-    y = F.array(*[F.lead(F.col(target).cast("double"), length + i).over(w) for i in range(ahead)])
-    made = rows.select(key, "rn", "n", x.alias("x"), y.alias("y"))
-    return made.where((F.col("rn") % step == 0) & (F.col("rn") + length + ahead <= F.col("n"))).select(key, F.col("rn").alias("start"), "x", "y")
+    rows = df.withColumn("_rn", F.row_number().over(W.partitionBy(key).orderBy(*order)) - 1)
+    row = F.struct("_rn", F.array(*[F.col(c).cast("double") for c in features]).alias("f"), F.col(target).cast("double").alias("t"))
+    blocks = rows.groupBy(key, F.floor(F.col("_rn") / step).alias("_block")).agg(F.array_sort(F.collect_list(row)).alias("_rows"))  # ``step`` rows
+    span = -(-(length + ahead) // step)
+    w = W.partitionBy(key).orderBy("_block").rowsBetween(0, span - 1)
+    made = blocks.select(key, "_block", F.flatten(F.collect_list("_rows").over(w)).alias("_rows")).where(F.size("_rows") >= length + ahead)
+    part = lambda first, n, field: F.transform(F.slice("_rows", first, n), lambda r: r[field])
+    return made.select(key, (F.col("_block") * step).cast("int").alias("start"), part(1, length, "f").alias("x"), part(length + 1, ahead, "t").alias("y"))
 
 
 def lag_windows(df: DataFrame, order: list[str], value: str, lags: int = 12, key: str | None = None) -> DataFrame:
@@ -147,5 +155,5 @@ def hash_split(df: DataFrame, keys: list[str], share: float = 0.7, seed: int = 4
     from roadflow.operators.ordering import number_rows
 
     total = df.count()
-    hashed = df.withColumn("_h", F.xxhash64(*keys, F.lit(seed)))
+    hashed = df.withColumn("_h", portable_hash(keys, seed))
     return number_rows(hashed, ["_h", *keys], "_rn").withColumn("is_train", F.col("_rn") <= F.lit(int(share * total))).drop("_rn", "_h")

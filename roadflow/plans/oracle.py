@@ -52,7 +52,7 @@ FULL = " AND ".join(f"{v} IS NOT NULL" for v in VS)
 NONNEG = " AND ".join(f"{v} >= 0" for v in VS)
 CLEAN = WIDE + f", clean AS (SELECT * FROM wide WHERE {FULL} AND {NONNEG})"
 DAILY = DET + ", daily AS (SELECT NB_SCATS_SITE, date, count(*) AS n FROM det GROUP BY ALL)"
-TYPES = "types AS (SELECT c_custkey AS site, CASE WHEN c_custkey % 3 = 1 THEN 'NEW_' || c_mktsegment ELSE c_mktsegment END AS scat_type FROM customer WHERE c_custkey % 3 <> 0)"
+TYPES = "types AS (SELECT c_custkey AS site, CASE WHEN s_suppkey IS NULL THEN c_mktsegment ELSE 'NEW_' || c_mktsegment END AS scat_type FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey)"
 PAIRS = "pairs AS (SELECT user_id AS site, ts, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS predicted FROM events)"
 SERIES = "series AS (SELECT user_id AS site, ts, event_id, CAST(floor(value) AS BIGINT) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
 E2, E3 = _edges("edges", 0.02), _edges("edges", RADIUS)
@@ -190,12 +190,13 @@ def oracle_sql() -> dict[str, str]:
         "n12_date_formats": "SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS date FROM events",
         "n13_date_time": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:00') AS t FROM events",
         "n13_fallback_columns": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%Y-%m-%d %H:%M:00') ELSE strftime(ts, '%Y-%m-%d 00:15:00') END AS t FROM events",
-        "n18_next_step": f"WITH e AS (SELECT event_id, ts AS old, ts + INTERVAL 15 MINUTE AS ts FROM events WHERE hour(ts) < 23 AND minute(ts) < 59) SELECT event_id, {_cycle('isodow(ts) - 1', 7, 'dow')}, {_cycle('month(old) - 1', 12, 'month')}, {_cycle('hour(ts)', 23, 'hour')}, {_cycle('minute(ts)', 59, 'minute')} FROM e".replace(", 6)", ", 5)"),
-        "e5_sampled_metrics": f"WITH {PAIRS} SELECT least(count(*), 1000) AS n, true AS apart, true AS ordered FROM pairs WHERE predicted IS NOT NULL",
+        "n18_next_step": f"WITH e AS (SELECT event_id, ts, minute(ts) % 59 + 15 AS m, hour(ts) % 23 + (minute(ts) % 59 + 15) // 60 AS h FROM events) SELECT event_id, {_cycle('(isodow(ts) - 1 + h // 24) % 7', 7, 'dow')}, {_cycle('month(ts) - 1', 12, 'month')}, {_cycle('h % 24', 23, 'hour')}, {_cycle('m % 60', 59, 'minute')} FROM e".replace(", 6)", ", 5)"),
+        "e5_sampled_metrics": f"WITH {PAIRS}, p AS (SELECT value AS y, value - predicted AS e FROM pairs WHERE predicted IS NOT NULL ORDER BY md5('42|' || event_id), event_id LIMIT 1000) SELECT count(*) AS n, round(1 - var_pop(e) / var_pop(y), 4) AS explained_variance, round(avg(abs(e)), 4) AS mae, round(avg(e * e), 4) AS mse, round(sqrt(avg(e * e)), 4) AS rmse, round(1 - avg(e * e) / var_pop(y), 4) AS r2 FROM p",
         "n14_date_in_name": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, count(*) AS n FROM events GROUP BY ALL",
         "n15_cyclical_features": f"SELECT event_id, {_cycle('isodow(ts) - 1', 7, 'dow')}, {_cycle('month(ts) - 1', 12, 'month')}, {_cycle('hour(ts)', 23, 'hour')}, {_cycle('minute(ts)', 59, 'minute')} FROM events",
-        "n18_inverse_cycle": "SELECT event_id, CAST(hour(ts) AS BIGINT) AS hour FROM events WHERE hour(ts) < 23",
-        "n31_positional_encoding": "SELECT CAST(p AS BIGINT) AS pos, CAST(i AS BIGINT) AS i, round(CASE WHEN i % 2 = 0 THEN sin(p * exp((i - i % 2) * -ln(10000.0) / 8)) ELSE cos(p * exp((i - i % 2) * -ln(10000.0) / 8)) END, 6) AS value FROM range(24) a(p), range(8) b(i)",
+        "n18_inverse_cycle": "SELECT event_id, CAST(hour(ts) % 23 AS BIGINT) AS hour FROM events",
+        "n31_positional_encoding": f"""WITH l AS (SELECT user_id AS site, event_id, floor(value) AS v, 24 - row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS p, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE ts < TIMESTAMP '{BEFORE}')
+SELECT site, event_id, CAST(i AS BIGINT) AS i, round(v + CASE WHEN i % 2 = 0 THEN sin(p * exp((i - i % 2) * -ln(10000.0) / 8)) ELSE cos(p * exp((i - i % 2) * -ln(10000.0) / 8)) END, 6) AS value FROM l, range(8) b(i) WHERE p >= 0 AND n >= 24""",
         "w6_future_slots": "WITH m AS (SELECT user_id AS site, max(ts) AS ts FROM events GROUP BY ALL) SELECT site, strftime(ts + INTERVAL (15 * k) MINUTE, '%Y-%m-%d %H:%M:%S') AS t FROM m, range(1, 5) r(k)",
         "a1_detector_sum": f"WITH {CLEAN} SELECT NB_SCATS_SITE, CAST(date AS VARCHAR) AS date, {', '.join(f'CAST(sum({v}) AS BIGINT) AS {v}' for v in VS)} FROM clean GROUP BY ALL",
         "a2_pivot_slots": f"WITH {DET}, s AS (SELECT NB_SCATS_SITE, date, {SLOT} AS slot, count(*) AS n FROM det GROUP BY ALL) SELECT NB_SCATS_SITE, CAST(date AS VARCHAR) AS date, {', '.join(f'avg(CASE WHEN slot = {k} THEN n END) AS V00_{k}' for k in SLOTS)} FROM s GROUP BY ALL",
@@ -208,7 +209,7 @@ def oracle_sql() -> dict[str, str]:
         "w5_row_slice": "SELECT event_id FROM events ORDER BY ts, event_id LIMIT 24 OFFSET 300",
         "w2_lag_across_sites": "SELECT * FROM (SELECT event_id, CAST(floor(value) AS BIGINT) AS v, lag(CAST(floor(value) AS BIGINT), 12) OVER w AS lag_12, lag(CAST(floor(value) AS BIGINT)) OVER w AS lag_1 FROM events WINDOW w AS (ORDER BY ts, event_id) QUALIFY row_number() OVER w > 12)",
         "o1_in_order": "SELECT event_id, row_number() OVER (ORDER BY user_id, ts, event_id) AS place FROM events",
-        "l3_random_sample": "SELECT least(count(*), 50) AS n, least(count(*), 50) AS different FROM events",
+        "l3_random_sample": "SELECT event_id, user_id FROM events ORDER BY md5('42|' || event_id), event_id LIMIT 50",
         "g20_edge_data": f"WITH {NODES}, {E3} SELECT src, dst, weight FROM edges WHERE src = '{ORIGIN}' AND dst = (SELECT min(dst) FROM edges WHERE src = '{ORIGIN}')",
         "n4_degree_distances": f"WITH {NODES}, {E2} SELECT e.src, e.dst, round(sqrt((a.lat - b.lat) ** 2 + (a.lon - b.lon) ** 2), 2) AS apart, round(sqrt(CAST((trunc(a.lat) - trunc(b.lat)) ** 2 + (trunc(a.lon) - trunc(b.lon)) ** 2 AS DOUBLE)), 6) AS whole FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE e.src < e.dst",
         "n28_desirability": f"WITH {NODES}, {E2} SELECT src, dst, round(0.5::DOUBLE * pow(1 / CAST(weight AS DOUBLE), 2) * 1e6::DOUBLE, 6) AS pull FROM edges",
@@ -218,7 +219,7 @@ def oracle_sql() -> dict[str, str]:
         "x4_missing_nodes": f"WITH {NODES} SELECT id FROM nodes EXCEPT SELECT CAST(user_id AS VARCHAR) FROM events",
         "x6_full_coverage": "SELECT user_id, count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events) AS all_types FROM events GROUP BY ALL",
         "j2_site_type_last_wins": f"WITH {TYPES} SELECT * FROM types",
-        "j3_site_type_fallback": f"WITH {DAILY}, {TYPES} SELECT d.NB_SCATS_SITE AS site, CAST(d.date AS VARCHAR) AS date, coalesce(t.scat_type, 'NATION_' || s.s_nationkey, 'Unknown') AS scat_type FROM daily d LEFT JOIN types t ON t.site = d.NB_SCATS_SITE LEFT JOIN supplier s ON s.s_suppkey = d.NB_SCATS_SITE",
+        "j3_site_type_fallback": f"WITH {DAILY} SELECT d.NB_SCATS_SITE AS site, CAST(d.date AS VARCHAR) AS date, coalesce(n.n_name, 'NATION_' || s.s_nationkey, 'Unknown') AS scat_type FROM daily d LEFT JOIN nation n ON n.n_nationkey = d.NB_SCATS_SITE LEFT JOIN supplier s ON s.s_suppkey = d.NB_SCATS_SITE",
         "j4_school_default": f"WITH {SITES}, {SCHOOLS}, c AS (SELECT CAST(a.site_no AS BIGINT) AS site, count(*) AS n FROM sites a JOIN schools b ON {dist} <= 5000 GROUP BY ALL HAVING count(*) > 2) SELECT e.site, coalesce(c.n, 0) AS school_count FROM (SELECT DISTINCT user_id AS site FROM events) e LEFT JOIN c USING (site)",
         "j5_holiday_day_type": f"WITH {DAILY} SELECT CASE strftime(date, '%m-%d') {hod} ELSE 'normal' END AS day_type, CAST(sum(n) AS BIGINT) AS n FROM daily GROUP BY ALL",
         "j6_schools_within_500m": f"WITH {SITES}, {SCHOOLS} SELECT a.site_no, count(b.school_id) AS n FROM sites a LEFT JOIN schools b ON {dist} <= 500 GROUP BY ALL",
@@ -229,7 +230,8 @@ def oracle_sql() -> dict[str, str]:
         "w1_windows_24_1_4": f"WITH {SERIES}, {_windows(24, 4)} SELECT site, rn AS start, CAST(x_sum AS BIGINT) AS x_sum, y FROM kept",
         "w2_lag_12": "WITH s AS (SELECT user_id AS site, event_id, CAST(floor(value) AS BIGINT) AS v, lag(CAST(floor(value) AS BIGINT), 12) OVER w AS lag_12, lag(CAST(floor(value) AS BIGINT), 1) OVER w AS lag_1, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT site, event_id, v, lag_12, lag_1 FROM s WHERE rn > 12",
         "w3_sequences_10": f"WITH {SERIES}, {_windows(10, 1)} SELECT site, count(*) AS windows, CAST(sum(y) AS BIGINT) AS y_sum FROM kept GROUP BY ALL",
-        "w9_hash_split": "SELECT true AS is_train, CAST(floor(0.7 * count(*)) AS BIGINT) AS n FROM events UNION ALL SELECT false, count(*) - CAST(floor(0.7 * count(*)) AS BIGINT) FROM events",
+        "w9_hash_split": "SELECT event_id, row_number() OVER (ORDER BY md5('42|' || event_id), event_id) <= floor(0.7 * count(*) OVER ()) AS is_train FROM events",
+        "w10_validation_split": "WITH t AS (SELECT event_id FROM events QUALIFY row_number() OVER (ORDER BY md5('42|' || event_id), event_id) <= floor(0.7 * count(*) OVER ())) SELECT event_id, row_number() OVER (ORDER BY md5('7|' || event_id), event_id) <= floor(0.9 * count(*) OVER ()) AS is_train FROM t",
         "e1_mape": f"WITH {PAIRS} SELECT round(avg(CASE WHEN value > 0 THEN abs(value - predicted) / value END) * 100, 3) AS mape FROM pairs WHERE predicted IS NOT NULL",
         "e2_regression_metrics": f"WITH {PAIRS}, p AS (SELECT value AS y, value - predicted AS e FROM pairs WHERE predicted IS NOT NULL AND value IS NOT NULL) SELECT count(*) AS n, round(1 - var_pop(e) / var_pop(y), 4) AS explained_variance, round(avg(abs(e)), 4) AS mae, round(avg(e * e), 4) AS mse, round(sqrt(avg(e * e)), 4) AS rmse, round(1 - avg(e * e) / var_pop(y), 4) AS r2 FROM p",
         "e3_batch_metrics": f"WITH {PAIRS}, p AS (SELECT event_id % 16 AS b, value - predicted AS e FROM pairs WHERE predicted IS NOT NULL), g AS (SELECT b, avg(e * e) AS mse, avg(abs(e)) AS mae FROM p GROUP BY b) SELECT round((SELECT avg(mse) FROM g), 4) AS batch_mse, round((SELECT avg(mae) FROM g), 4) AS batch_mae, round(avg(e * e), 4) AS mse, round(avg(abs(e)), 4) AS mae, round(sqrt(avg(e * e)), 4) AS rmse FROM p",
@@ -248,7 +250,7 @@ def oracle_sql() -> dict[str, str]:
         "g5_chunk_edges": f"WITH {TRIP} SELECT * FROM arcs",
         "a10_chunk_stats": f"WITH {TRIP}, o AS (SELECT * FROM nodes WHERE id = '{ORIGIN}'), t AS (SELECT * FROM nodes WHERE id = '{TARGET}') SELECT (SELECT count(*) FROM kept) AS nodes, (SELECT count(*) FROM arcs) AS edges, (SELECT count(*) FROM nodes) AS all_nodes, (SELECT count(*) FROM edges) AS all_edges, CAST(floor({_hav('o.lat', 'o.lon', 't.lat', 't.lon')}) AS BIGINT) AS direct_m, round(box.lb - box.la, 6) AS box_height, round(box.ob - box.oa, 6) AS box_width, round((1 - (SELECT count(*) FROM kept) / (SELECT count(*) FROM nodes)) * 100, 6) AS reduction_pct FROM o, t, box",
         "j10_edge_flow": f"WITH {NODES}, {E2}, {_timed(15)} SELECT src, dst, CAST(flow AS BIGINT) AS flow FROM timed",
-        "n7_flow_to_speed": f"SELECT f AS flow, CASE WHEN f <= 1500 THEN CAST({_speed('least(f, 1500)')} AS DOUBLE) END AS under, CASE WHEN f <= 1500 THEN CAST(round_even(greatest(0.0, least(60.0, (-{flow.B} + sqrt({flow.B * flow.B}::DOUBLE + {4 * flow.A}::DOUBLE * least(f, 1500))) / {2 * flow.A}::DOUBLE)), 0) AS DOUBLE) END AS over FROM range(1601) r(f)",
+        "n7_flow_to_speed": "WITH e AS (SELECT user_id AS site, CAST(count(*) * 15 AS DOUBLE) AS flow, floor(sum(value)) AS total FROM events GROUP BY 1) SELECT site, " + ", ".join(f"CASE WHEN {c} BETWEEN 0 AND 1500 THEN CAST(round_even(greatest(0.0, least(60.0, (-{flow.B} {sign} sqrt({flow.B * flow.B}::DOUBLE + {4 * flow.A}::DOUBLE * least({c}, 1500))) / {2 * flow.A}::DOUBLE)), 0) AS DOUBLE) END AS {name}_{c}" for c in ("flow", "total") for name, sign in (("under", "-"), ("over", "+"))) + " FROM e",
         "n9_edge_time_floor": f"WITH {NODES}, {E2}, {_timed(20)} SELECT src, dst, CAST(floor(cost) AS BIGINT) AS seconds FROM timed",
         "s12_edge_costs_rewritten": f"WITH {NODES}, {E2}, {_timed(15)} SELECT src, dst, CAST(floor(CASE WHEN CAST(src AS BIGINT) % 2 = 0 THEN cost ELSE weight END) AS BIGINT) AS cost FROM timed",
         "j9_cost_override": f"WITH {NODES}, {E2} SELECT src, CAST(sum(CASE WHEN weight < 1000 THEN weight * 2 ELSE weight END) AS BIGINT) AS cost FROM edges GROUP BY ALL",

@@ -99,17 +99,17 @@ def f3f4_clean_counts(s, d):
 
 
 def f5_date_range(s, d):
-    return detector_rows(s, d).where(F.col("date").between("2024-01-05", "2024-01-09")).groupBy("date").agg(F.count(F.lit(1)).alias("n")).select(F.col("date").cast("string").alias("date"), "n")
+    inside = clean.date_range(detector_rows(s, d), "date", "2024-01-05", "2024-01-09")
+    return inside.groupBy("date").agg(F.count(F.lit(1)).alias("n")).select(F.col("date").cast("string").alias("date"), "n")
 
 
 def f7_digit_dates(s, d):
     text = F.when(F.col("event_id") % 5 == 0, F.lit("n/a")).otherwise(F.date_format("ts", "yyyyMMdd"))
-    return table(s, d, "events").select("event_id", text.alias("day")).where(F.col("day").rlike("^[0-9]{8}$"))
+    return table(s, d, "events").select("event_id", text.alias("day")).where(clean.digits(F.col("day"), 8))
 
 
 def f8_known_sites(s, d):
-    e = table(s, d, "events").select(F.col("user_id").cast("string").alias("id")).distinct()
-    return e.join(_nodes(s, d), "id", "left_semi")
+    return clean.members(table(s, d, "events").select(F.col("user_id").cast("string").alias("id")).distinct(), _nodes(s, d), "id")
 
 
 def f11_last_24_before(s, d):
@@ -150,9 +150,9 @@ def n13_fallback_columns(s, d):
 
 
 def n18_next_step(s, d):
-    """The clock features of the next quarter of an hour, from those of this one; hours 23 and minute 59 fold to 0 and are left out."""
-    e = table(s, d, "events").select("event_id", "ts", *calendar.cyclical(F.col("ts"))).where("hour(ts) < 23 and minute(ts) < 59")
-    names = {c: F.col(c) for c in e.columns[2:]}
+    """The clock features of the next quarter of an hour, from those of this one; hour 23 and minute 59 share their angles with 0."""
+    e = table(s, d, "events").select("event_id", *calendar.cyclical(F.col("ts")))
+    names = {c: F.col(c) for c in e.columns[1:]}
     return e.select("event_id", *[(F.round(c, 5) + 0.0).alias(n) for n, c in zip(names, calendar.next_cycle(names))])
 
 
@@ -167,13 +167,15 @@ def n15_cyclical_features(s, d):
 
 
 def n18_inverse_cycle(s, d):
-    e = table(s, d, "events").select("event_id", F.hour("ts").alias("hour"), *calendar.cyclical(F.col("ts")))
-    return e.where("hour < 23").select("event_id", F.bround(calendar.clock_from_cycle(F.col("hour_sin"), F.col("hour_cos"), 23), 0).cast("long").alias("hour"))
+    e = table(s, d, "events").select("event_id", *calendar.cyclical(F.col("ts")))
+    return e.select("event_id", (F.bround(calendar.clock_from_cycle(F.col("hour_sin"), F.col("hour_cos"), 23), 0).cast("long") % 23).alias("hour"))
 
 
 def n31_positional_encoding(s, d):
-    rows = s.range(1).select(F.posexplode(calendar.positional_encoding(24, 8)).alias("pos", "code")).select("pos", F.posexplode("code").alias("i", "value"))
-    return rows.select(F.col("pos").cast("long").alias("pos"), F.col("i").cast("long").alias("i"), F.round("value", 6).alias("value"))
+    """The last 24 values of each site, each with the code of its place added."""
+    last = features.last_before(_series(s, d), "site", "ts", F.lit(BEFORE).cast("timestamp_ntz"), ["event_id"], 24).select("site", "event_id", F.floor("value").alias("v"), (24 - F.col("age")).alias("pos"))
+    coded = last.withColumn("code", F.element_at(calendar.positional_encoding(24, 8), (F.col("pos") + 1).cast("int")))
+    return coded.select("site", "event_id", F.posexplode("code").alias("i", "x"), "v").select("site", "event_id", F.col("i").cast("long").alias("i"), F.round(F.col("v") + F.col("x"), 6).alias("value"))
 
 
 def w6_future_slots(s, d):
@@ -231,12 +233,11 @@ def o1_in_order(s, d):
 
 
 def l3_random_sample(s, d):
-    picked = features.sample_rows(table(s, d, "events").select("event_id"), ["event_id"], 50)
-    return picked.join(table(s, d, "events"), "event_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("different"))
+    return features.sample_rows(table(s, d, "events").select("event_id", "user_id"), ["event_id"], 50)
 
 
 def l1_sample(s, d):
-    return _daily(s, d).orderBy("NB_SCATS_SITE", "date").limit(100).withColumn("date", F.col("date").cast("string"))
+    return clean.head(_daily(s, d), ["NB_SCATS_SITE", "date"], 100).withColumn("date", F.col("date").cast("string"))
 
 
 def x1_union_years(s, d):
@@ -251,22 +252,21 @@ def x3_distinct_types(s, d):
 
 
 def x4_missing_nodes(s, d):
-    e = table(s, d, "events").select(F.col("user_id").cast("string").alias("id")).distinct()
-    return _nodes(s, d).select("id").join(e, "id", "left_anti")
+    return clean.missing(_nodes(s, d).select("id"), table(s, d, "events").select(F.col("user_id").cast("string").alias("id")).distinct(), "id")
 
 
 def x6_full_coverage(s, d):
-    have = table(s, d, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("have"))
-    every = table(s, d, "events").agg(F.collect_set("event_type").alias("every"))  # one row
-    return have.crossJoin(F.broadcast(every)).select("user_id", (F.size(F.array_except("every", "have")) == 0).alias("all_types"))
+    return clean.coverage(table(s, d, "events"), "user_id", "event_type", "all_types")
 
 
 # --- enrichment --------------------------------------------------------------------
 
 
-def _types(s, d):
-    c = table(s, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("site"), F.col("c_mktsegment").alias("scat_type"), F.lit(1).alias("ord"))
-    return c.union(table(s, d, "customer").where("c_custkey % 3 = 1").select("c_custkey", F.concat(F.lit("NEW_"), "c_mktsegment"), F.lit(2)))
+def _types(s, d) -> DataFrame:
+    """Site types: one for each customer, and a later one for those whose number a supplier has."""
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("site"), F.col("c_mktsegment").alias("scat_type"), F.lit(1).alias("ord"))
+    later = c.join(table(s, d, "supplier").select(F.col("s_suppkey").alias("site")), "site").select("site", F.concat(F.lit("NEW_"), "scat_type"), F.lit(2))
+    return c.union(later)
 
 
 def j2_site_type_last_wins(s, d):
@@ -274,9 +274,11 @@ def j2_site_type_last_wins(s, d):
 
 
 def j3_site_type_fallback(s, d):
+    """Types from a small table, else from a second one, else unknown."""
+    first = table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("site"), F.col("n_name").alias("scat_type"))
     second = table(s, d, "supplier").select(F.col("s_suppkey").alias("site"), F.concat(F.lit("NATION_"), "s_nationkey").alias("scat_type"))
     rows = _daily(s, d).select(F.col("NB_SCATS_SITE").alias("site"), F.col("date").cast("string").alias("date"))
-    return enrich.look_up(rows, [enrich.last_wins(_types(s, d), "site", "scat_type", "ord"), second], "site", "scat_type", F.lit("Unknown"))
+    return enrich.look_up(rows, [first, second], "site", "scat_type", F.lit("Unknown"))
 
 
 def j4_school_default(s, d):
@@ -335,7 +337,13 @@ def w3_sequences_10(s, d):
 
 
 def w9_hash_split(s, d):
-    return features.hash_split(table(s, d, "events").select("event_id"), ["event_id"]).groupBy("is_train").agg(F.count(F.lit(1)).alias("n"))
+    return features.hash_split(table(s, d, "events").select("event_id"), ["event_id"])
+
+
+def w10_validation_split(s, d):
+    """A tenth of the training share of the rows, set aside."""
+    train = features.hash_split(table(s, d, "events").select("event_id"), ["event_id"]).where("is_train").drop("is_train")
+    return features.hash_split(train, ["event_id"], 0.9, 7)
 
 
 def e1_mape(s, d):
@@ -348,7 +356,8 @@ def e2_regression_metrics(s, d):
 
 
 def e5_sampled_metrics(s, d):
-    return metrics.sampled(_pairs(s, d).where("predicted is not null"), "value", "predicted", ["event_id"]).select("n", (F.col("mae") > 0).alias("apart"), (F.col("rmse") >= F.col("mae")).alias("ordered"))
+    m = metrics.sampled(_pairs(s, d).where("predicted is not null"), "value", "predicted", ["event_id"])
+    return m.select("n", *[F.round(c, 4).alias(c) for c in m.columns[1:]])
 
 
 def e3_batch_metrics(s, d):
@@ -455,8 +464,9 @@ def j10_edge_flow(s, d):
 
 
 def n7_flow_to_speed(s, d):
-    f = s.range(0, 1601).select(F.col("id").alias("flow"))
-    return f.select("flow", flow.speed(F.col("flow").cast("double")).alias("under"), flow.speed(F.col("flow").cast("double"), True).alias("over"))
+    """Speeds at the flows of all sites, measured in two ways: by count, and by the sum of their values."""
+    e = table(s, d, "events").groupBy(F.col("user_id").alias("site")).agg((F.count(F.lit(1)) * 15).cast("double").alias("flow"), F.floor(F.sum("value")).cast("double").alias("total"))
+    return e.select("site", *[flow.speed(F.col(c), over).alias(f"{name}_{c}") for c in ("flow", "total") for over, name in ((False, "under"), (True, "over"))])
 
 
 def n9_edge_time_floor(s, d):
