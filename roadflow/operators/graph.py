@@ -62,9 +62,11 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         near = links.join(now.withColumnsRenamed({"id": "dst", "component": "c"}), "dst").groupBy(F.col("src").alias("id")).agg(F.min("c").alias("c"))
         took = now.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("c", "component")).alias("component"))
         jump = took.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        before, now = now, rounds.save(took.join(jump, "component").select("id", "old", F.least("component", "next").alias("component")))
+        before = now
+        now, changed = rounds.save_counting(took.join(jump, "component").select("id", "old", F.least("component", "next").alias("component")), F.col("component") != F.col("old"))
         rounds.drop(before)
-        if not now.where("component <> old").limit(1).count():
+        if not changed:
+            rounds.drop(links)
             return now.select("id", "component")
 
 

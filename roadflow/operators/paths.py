@@ -1,50 +1,129 @@
 """Path search as frontier loops over DataFrames.
 
-A round joins the nodes that were improved last with the edges, keeps the best row of each node,
-and stops when nothing improves, or nothing that improves can still beat the target.  Ties are total:
-breadth first by (hops, path), shortest paths by (cost, hops, path), paths compared as arrays of id texts.
+1. *Labels.*  A round joins the nodes that were improved last with the edges and keeps the best label of each node; it
+stops when nothing improves, or nothing that improves can still beat the target.  Labels are numbers only (cost, hops), so a round
+rewrites a short row for each node that was reached, whatever the length of its path.
+2. *Paths.*  An edge is tight if it gives its end the label it has.  Paths follow tight edges: back from a target, step by
+step, or from the origin to all nodes, level by level; each step writes the rows of one level.
+
+Ties are total: breadth first by (hops, path), shortest paths by (cost, hops, path), paths compared as arrays of id texts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadflow.functions.geo import haversine
 from roadflow.scratch import Rounds
 
-STATE = "id string, cost double, hops int, path array<string>"
+LABEL = "id string, cost double, hops int"
+PATH = "id string, cost double, hops int, path array<string>"
+
 
+def _relax(edges: DataFrame, origin: str, rounds: Rounds, stop=None, cost: str = "weight", bound=None, by_hops: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(arcs, best label (id, cost, hops) of each node reached).  By hops the cost is left out of a label (0).
 
-def _relax(edges: DataFrame, origin: str, rank: list[str], stop=None, cost: str = "weight", bound=None) -> DataFrame:
-    """Best (id, cost, hops, path) of each node reached; ``stop(state)`` gives a predicate that frontier rows must meet."""
+    ``stop(frontier, best)`` gives the frontier rows that go on, ``bound(reached, best)`` the reached ones.
+    """
     spark = edges.sparkSession
-    rounds = Rounds(spark, "paths")
-    arcs = rounds.save(edges.select("src", "dst", F.col(cost).cast("double").alias("w")))
-    best = rounds.save(spark.createDataFrame([(origin, 0.0, 0, [origin])], STATE).withColumn("fresh", F.lit(True)))
+    arcs = rounds.save(edges.select("src", "dst", F.col(cost).cast("double").alias("w")).where("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w")))
+    best = rounds.save(spark.createDataFrame([(origin, 0.0, 0)], LABEL).withColumn("fresh", F.lit(True)))
     while True:
         frontier = best.where("fresh")
         if stop is not None:
             frontier = stop(frontier, best)
-        reached = frontier.join(arcs, frontier["id"] == arcs["src"]).where(~F.array_contains("path", F.col("dst")))
-        reached = reached.select(F.col("dst").alias("id"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("dst")).alias("path"), F.lit(True).alias("fresh"))
+        reached = frontier.join(arcs, frontier["id"] == arcs["src"])
+        price = F.lit(0.0) if by_hops else F.col("cost") + F.col("w")
+        reached = reached.select(F.col("dst").alias("id"), price.alias("cost"), (F.col("hops") + 1).alias("hops"), F.lit(True).alias("fresh"))
         if bound is not None:
             reached = bound(reached, best)
         # an old row wins a tie with an equal new one, so it is not fresh again
         both = best.withColumn("fresh", F.lit(False)).unionByName(reached)
-        order = F.struct(*[F.col(c) for c in rank], F.col("fresh"), *[F.col(c) for c in ("cost", "hops", "path") if c not in rank])
-        new = both.groupBy("id").agg(F.min(order).alias("m")).select("id", "m.cost", "m.hops", "m.path", "m.fresh")
-        before, best = best, rounds.save(new)
+        new = both.groupBy("id").agg(F.min(F.struct("cost", "hops", "fresh")).alias("m")).select("id", "m.cost", "m.hops", "m.fresh")
+        before = best
+        best, fresh = rounds.save_counting(new, F.col("fresh"))
+        rounds.drop(before)
+        if not fresh:
+            return arcs, best.drop("fresh")
+
+
+def _tight(arcs: DataFrame, best: DataFrame, by_hops: bool) -> DataFrame:
+    """(src, dst, w): the edges that give their ends the labels they have."""
+    end = lambda c, name: best.select(F.col("id").alias(name), F.col("cost").alias(f"{c}_cost"), F.col("hops").alias(f"{c}_hops"))
+    price = F.lit(True) if by_hops else F.col("a_cost") + F.col("w") == F.col("b_cost")
+    both = arcs.join(end("a", "src"), "src").join(end("b", "dst"), "dst")
+    return both.where(price & (F.col("a_hops") + 1 == F.col("b_hops"))).select("src", "dst", "w")
+
+
+def _paths_to(arcs: DataFrame, best: DataFrame, origin: str, target: str, rounds: Rounds, by_hops: bool) -> DataFrame:
+    """(id, cost, hops, path) of one target, or no row: of its tight paths the first one as an array of texts.
+
+    Each step goes back by one hop; a node keeps the first of its ways on, which is the first of the whole path for it, too.
+    """
+    found = best.where(F.col("id") == target).first()  # one row
+    spark = best.sparkSession
+    if found is None:
+        return spark.createDataFrame([], PATH)
+    tight = rounds.save(_tight(arcs, best, by_hops))
+    now = rounds.save(spark.createDataFrame([(target, [target], 0.0)], "id string, path array<string>, sum double"))
+    for _ in range(found["hops"]):
+        back = now.withColumnRenamed("id", "dst").join(tight, "dst").select(F.col("src").alias("id"), F.concat(F.array("src"), "path").alias("path"), (F.col("w") + F.col("sum")).alias("sum"))
+        before, now = now, rounds.save(back.groupBy("id").agg(F.min(F.struct("path", "sum")).alias("m")).select("id", "m.path", "m.sum"))
         rounds.drop(before)
-        if not best.where("fresh").limit(1).count():
-            return best.drop("fresh")
+    rounds.drop(tight)
+    price = F.col("sum") if by_hops else F.lit(found["cost"])
+    return now.where(F.col("id") == origin).select(F.lit(target).alias("id"), price.alias("cost"), F.lit(found["hops"]).alias("hops"), "path")
 
 
-def breadth_first(edges: DataFrame, origin: str, target: str | list[str] | None = None, cost: str = "weight") -> DataFrame:
-    """Fewest hops, ties by path; cost is the sum along the path. With targets the loop ends once one of them is reached."""
-    targets = [target] if isinstance(target, str) else target
+def _paths_to_all(arcs: DataFrame, best: DataFrame, origin: str, rounds: Rounds, by_hops: bool) -> DataFrame:
+    """(id, cost, hops, path) of every node that was reached; each level of hops is written once."""
+    spark = best.sparkSession
+    tight = rounds.save(_tight(arcs, best, by_hops))
+    now = rounds.save(spark.createDataFrame([(origin, 0.0, 0, [origin])], PATH))
+    levels = [now]
+    while True:
+        on = now.withColumnRenamed("id", "src").join(tight, "src").select(F.col("dst").alias("id"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("dst")).alias("path"))
+        now, n = rounds.save_counting(on.groupBy("id").agg(F.min(F.struct("path", "cost", "hops")).alias("m")).select("id", "m.cost", "m.hops", "m.path"), F.lit(True))
+        if not n:
+            rounds.drop(tight)
+            return reduce(DataFrame.unionByName, levels)
+        levels.append(now)
+
+
+def _several(target: str | list[str] | None) -> list[str]:
+    return [target] if isinstance(target, str) else list(target or ())
+
+
+def _to(origin: str, targets: list[str], arcs: DataFrame, best: DataFrame, rounds: Rounds, by_hops: bool, with_paths: bool, first_only: bool) -> DataFrame:
+    """Rows of the targets with their paths, or of all nodes without targets; with labels only, the rows of all nodes that have one.
+
+    ``first_only``: of several targets those with the best label.
+    """
+    if not with_paths:
+        return best
+    if not targets:
+        return _paths_to_all(arcs, best, origin, rounds, by_hops)
+    if first_only and len(targets) > 1:
+        labels = best.where(F.col("id").isin(*targets)).collect()  # one row for each target
+        least = min(((r["cost"], r["hops"]) for r in labels), default=None)
+        targets = [r["id"] for r in labels if (r["cost"], r["hops"]) == least] or targets[:1]
+    return reduce(DataFrame.unionByName, [_paths_to(arcs, best, origin, t, rounds, by_hops) for t in dict.fromkeys(targets)])
+
+
+def breadth_first(edges: DataFrame, origin: str, target: str | list[str] | None = None, cost: str = "weight", with_paths: bool = True, first_only: bool = False) -> DataFrame:
+    """(id, cost, hops, path): fewest hops, ties by path; cost is the sum along the path.
+
+    With targets the loop ends once one of them is reached, and rows are theirs; a row of another target is not its best path then, unless
+    it was reached in the same round.  Without paths the rows are labels (id, hops) of all nodes that were reached.
+    """
+    targets, rounds = _several(target), Rounds(edges.sparkSession, "paths")
     stop = (lambda f, best: f.join(best.where(F.col("id").isin(*targets)).limit(1).select(F.lit(1).alias("_t")), F.lit(True), "left_anti")) if targets else None
-    return _relax(edges, origin, ["hops", "path"], stop, cost)
+    arcs, best = _relax(edges, origin, rounds, stop, cost, by_hops=True)
+    found = _to(origin, targets, arcs, best, rounds, True, with_paths, first_only)
+    return found if with_paths else found.select("id", "hops")
 
 
 def visit_order(edges: DataFrame, origin: str) -> DataFrame:
@@ -52,29 +131,36 @@ def visit_order(edges: DataFrame, origin: str) -> DataFrame:
     return breadth_first(edges, origin).select("id", "hops", "path")
 
 
-def shortest(edges: DataFrame, origin: str, targets: list[str] | None = None, cost: str = "weight") -> DataFrame:
-    """Least cost from an origin to all nodes, or to the cheapest of some targets (frontier rows beyond it are dropped)."""
-    stop = None
+def shortest(edges: DataFrame, origin: str, targets: list[str] | None = None, cost: str = "weight", with_paths: bool = True, first_only: bool = False) -> DataFrame:
+    """(id, cost, hops, path): least costs from an origin to all nodes, or to the targets (frontier rows beyond the cheapest of them are dropped).
+
+    Without paths the rows are labels (id, cost, hops); costs of nodes beyond the cheapest target are upper bounds then.
+    """
+    stop, rounds = None, Rounds(edges.sparkSession, "paths")
     if targets:
         def stop(frontier: DataFrame, best: DataFrame) -> DataFrame:
             limit = best.where(F.col("id").isin(*targets)).agg(F.coalesce(F.min("cost"), F.lit(float("inf"))).alias("_limit"))
             return frontier.crossJoin(F.broadcast(limit)).where("cost <= _limit").drop("_limit")  # one row
 
-    return _relax(edges, origin, ["cost", "hops", "path"], stop, cost)
+    arcs, best = _relax(edges, origin, rounds, stop, cost)
+    return _to(origin, _several(targets), arcs, best, rounds, False, with_paths, first_only)
 
 
 def shortest_to_any(edges: DataFrame, origin: str, targets: list[str], cost: str = "weight") -> DataFrame:
     """One row: the cheapest of the targets, ties by their order."""
     place = F.coalesce(*[F.when(F.col("id") == t, F.lit(i)) for i, t in enumerate(targets)])
-    return shortest(edges, origin, targets, cost).where(F.col("id").isin(*targets)).orderBy("cost", place).limit(1)
+    first = shortest(edges, origin, targets, cost, with_paths=False).where(F.col("id").isin(*targets)).orderBy("cost", place).first()  # one row
+    if first is None:
+        return edges.sparkSession.createDataFrame([], PATH)
+    return shortest(edges, origin, [first["id"]], cost)
 
 
-def a_star(nodes: DataFrame, edges: DataFrame, origin: str, target: str | list[str], cost: str = "weight", per_metre: float = 0.99) -> DataFrame:
+def a_star(nodes: DataFrame, edges: DataFrame, origin: str, target: str | list[str], cost: str = "weight", per_metre: float = 0.99, with_paths: bool = True, first_only: bool = False) -> DataFrame:
     """The same paths as ``shortest``; rows whose cost plus a lower bound to the nearest target exceeds the best known cost are dropped.
 
     The bound is the great-circle distance times ``per_metre``, the least cost of a metre.
     """
-    targets = [target] if isinstance(target, str) else target
+    targets, rounds = _several(target), Rounds(edges.sparkSession, "paths")
     goals = nodes.where(F.col("id").isin(*targets)).select("lat", "lon").collect()  # one row for each target
     if not goals:
         raise ValueError(f"no node {target!r}")
@@ -85,7 +171,8 @@ def a_star(nodes: DataFrame, edges: DataFrame, origin: str, target: str | list[s
         limit = best.where(F.col("id").isin(*targets)).agg(F.coalesce(F.min("cost"), F.lit(float("inf"))).alias("_limit"))
         return reached.join(left, "id", "left").crossJoin(F.broadcast(limit)).where(F.col("cost") + F.greatest(F.coalesce("_h", F.lit(0.0)) - 1 - F.col("hops"), F.lit(0.0)) <= F.col("_limit")).drop("_h", "_limit")  # one row
 
-    return _relax(edges, origin, ["cost", "hops", "path"], None, cost, bound).where(F.col("id").isin(*targets))
+    arcs, best = _relax(edges, origin, rounds, None, cost, bound)
+    return _to(origin, targets, arcs, best, rounds, False, with_paths, first_only).where(F.col("id").isin(*targets))
 
 
 def all_pairs(nodes: DataFrame, edges: DataFrame, cost: str = "weight") -> DataFrame:
@@ -98,10 +185,11 @@ def all_pairs(nodes: DataFrame, edges: DataFrame, cost: str = "weight") -> DataF
         second = now.select(F.col("src").alias("dst"), F.col("dst").alias("end"), F.col("cost").alias("c2"), F.col("path").alias("p2"))
         longer = now.join(second, "dst").select("src", F.col("end").alias("dst"), (F.col("cost") + F.col("c2")).alias("cost"), F.concat("path", F.slice("p2", F.lit(2), F.greatest(F.size("p2") - 1, F.lit(0)))).alias("path"))
         least = longer.groupBy("src", "dst").agg(F.min(F.struct("cost", F.size("path").alias("n"), "path")).alias("m")).select("src", "dst", "m.cost", "m.path")
-        new = rounds.save(least)
-        changed = new.join(now.select("src", "dst", F.col("cost").alias("old")), ["src", "dst"], "left").where("old is null or cost < old").limit(1).count()
+        old = now.select("src", "dst", F.col("cost").alias("old"))
+        new, changed = rounds.save_counting(least.join(old, ["src", "dst"], "left"), F.col("old").isNull() | (F.col("cost") < F.col("old")))
         rounds.drop(now)
-        now = new
+        now = new.drop("old")
+        now._round_path = new._round_path
         if not changed:
             return now
 

@@ -9,7 +9,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +52,14 @@ class Rounds:
         out._round_path = path
         return out
 
+    def save_counting(self, df: DataFrame, what: Column) -> tuple[DataFrame, int]:
+        """The written table, and for how many of its rows ``what`` holds; counted while they are written, in the same job.
+
+        Tasks that run twice may count twice, so the number says whether there are any.
+        """
+        seen = Observation()
+        return self.save(df.observe(seen, F.count_if(what).alias("n"))), seen.get["n"]
+
     def drop(self, df: DataFrame) -> None:
         """Delete the state of a round that no later plan reads."""
         at = self.spark._jvm.org.apache.hadoop.fs.Path(df._round_path)
