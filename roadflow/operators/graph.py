@@ -52,22 +52,22 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id, as text, of each weakly connected component.
 
-    Every round takes the smallest label around and then that label's own label, so
-    the number of rounds grows with the logarithm of a path's length in practice.
+    Contraction: every node moves to the smallest node among itself and its neighbours, edges move along, and those inside one
+    node vanish.  Only nodes without a smaller neighbour are left, so a round shrinks the graph by about its degree.  The moves of
+    all rounds, which are few, are followed at the end.
     """
     rounds = Rounds(nodes.sparkSession, "components")
-    links = rounds.save(edges.select("src", "dst").union(edges.select("dst", "src")).distinct())
-    now = rounds.save(nodes.select("id", F.col("id").alias("component")).distinct())
-    while True:
-        near = links.join(now.withColumnsRenamed({"id": "dst", "component": "c"}), "dst").groupBy(F.col("src").alias("id")).agg(F.min("c").alias("c"))
-        took = now.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("c", "component")).alias("component"))
-        jump = took.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        before = now
-        now, changed = rounds.save_counting(took.join(jump, "component").select("id", "old", F.least("component", "next").alias("component")), F.col("component") != F.col("old"))
+    arcs, n = rounds.save_counting(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct(), F.lit(True))
+    moved = nodes.select("id", F.col("id").alias("component")).distinct()
+    while n:
+        step = rounds.save(arcs.groupBy("src").agg(F.least(F.min("dst"), F.first("src")).alias("to")))
+        ends = arcs.join(step, "src").select("dst", F.col("to").alias("a")).join(step.withColumnRenamed("src", "dst"), "dst").select("a", F.col("to").alias("b"))
+        before = arcs
+        arcs, n = rounds.save_counting(ends.where("a <> b").distinct().select(F.col("a").alias("src"), F.col("b").alias("dst")), F.lit(True))
         rounds.drop(before)
-        if not changed:
-            rounds.drop(links)
-            return now.select("id", "component")
+        moved = moved.join(step.withColumnRenamed("src", "component"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    rounds.drop(arcs)
+    return rounds.save(moved)
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ def count_within_metres(sites: DataFrame, others: DataFrame, metres: float, key:
     if _dense(places, lat_width / GROUP):
         found = _count_by_groups(one, places, metres, lon_width, lat_width, key)
     else:
-        found = split_range_join(one, places, lon_width, lat_width).where(haversine("lat", "lon", "lat2", "lon2") <= metres).select(key, "m")
+        found = range_join(one, places, lon_width, lat_width).where(haversine("lat", "lon", "lat2", "lon2") <= metres).select(key, "m")
     n = found.groupBy(key).agg(F.sum("m").alias("n"))
     return sites.select(key).join(n, key, "left").select(key, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
