@@ -44,6 +44,16 @@ def attribute_map(nodes: DataFrame, names: list[str]) -> DataFrame:
     return nodes.select("id", F.map_from_entries(F.filter(pairs, lambda p: p["v"].isNotNull())).alias("attributes"))
 
 
+#: The parts of a site's text on the map.
+SITE_TEXT, COMMENTS = "Site No: %s<br>Name: %s<br>Type: %s", "<br>Comments: "
+
+
+def site_text(site: str, name: str, kind: str, comments: str) -> Column:
+    """What a map says about a site; comments only where there are any."""
+    text = F.format_string(SITE_TEXT, site, name, kind)
+    return F.when(F.coalesce(F.col(comments), F.lit("")) != "", F.concat(text, F.lit(COMMENTS), F.col(comments))).otherwise(text)
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """(id, neighbours): neighbours (dst, weight) in text order."""
     return edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.struct("dst", "weight"))).alias("neighbours"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadflow.functions.geo import haversine
@@ -194,6 +194,12 @@ def all_pairs(nodes: DataFrame, edges: DataFrame, cost: str = "weight") -> DataF
             return now
 
 
+def reverse_part(path: str, first: Column, last: Column) -> Column:
+    """A path with its nodes from place ``first`` to ``last`` (from 1) in reverse order."""
+    head, tail = F.slice(path, F.lit(1), first - 1), F.slice(path, last + 1, F.greatest(F.size(path) - last, F.lit(0)))
+    return F.concat(head, F.reverse(F.slice(path, first, last - first + 1)), tail)
+
+
 def closure(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Edges completed by all-pairs results: lowered where improved, virtual where there was none."""
     real = edges.select("src", "dst", F.col("weight").cast("double").alias("own"))

@@ -320,6 +320,11 @@ SELECT rank, array_to_string(path, ' → ') AS route, CAST(floor(cost) AS BIGINT
         "g4d_fixed_pairs": f"WITH {NODES}, w AS (SELECT CAST(s_suppkey AS VARCHAR) AS src, CAST(s_suppkey + 1 AS VARCHAR) AS dst FROM supplier), m AS (SELECT src, dst, CAST(floor({dist}) AS BIGINT) AS weight FROM w JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst) SELECT * FROM m UNION SELECT dst, src, weight FROM m",
         "f6_region_holidays": "SELECT DISTINCT strftime(ts, '%m-%d') AS md, 'day ' || dayofyear(ts) AS day_type FROM events WHERE event_id % 11 <> 0 AND dayofyear(ts) % 3 IN (0, 1)",
         "x2_union_of_chunks": f"WITH {WIDE} SELECT NB_SCATS_SITE, count(*) * 4 AS n, CAST(sum(coalesce(V32, 0) + coalesce(V33, 0) + coalesce(V34, 0) + coalesce(V35, 0)) AS BIGINT) AS flow FROM wide GROUP BY 1",
+        "s4_typed_csv": "SELECT event_id, event_type, value, 'event_id int, event_type string, value double' AS kinds FROM events",
+        "s7_year_folders": "SELECT CAST(year(o_orderdate) AS INT) AS year, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1",
+        "n24_stage_names": "SELECT 'featured_' || strftime(ts, '%Y%m%d') || '.csv' AS name, count(*) AS n FROM events GROUP BY 1",
+        "n25_site_texts": "SELECT CAST(c_custkey AS VARCHAR) AS site_no, 'Site No: ' || c_custkey || '<br>Name: ' || c_name || '<br>Type: ' || c_mktsegment || CASE WHEN c_mktsegment IN ('MACHINERY', 'FURNITURE') THEN '' ELSE '<br>Comments: ' || CAST(floor(c_acctbal) AS BIGINT) END AS text FROM customer",
+        "n29_reversed_parts": f"WITH {NODES}, {E3}, a AS (SELECT src AS id, list(dst ORDER BY dst) AS p FROM edges GROUP BY src HAVING count(*) >= 4) SELECT id, array_to_string([p[1]] || list_reverse(p[2:len(p) - 1]) || [p[-1]], '>') AS path FROM a",
         "w7_weighted_draws": """WITH w AS (SELECT c_custkey, CAST(floor(c_acctbal) AS BIGINT) AS weight FROM customer WHERE floor(c_acctbal) > 0), s AS (SELECT c_custkey, weight, CAST(sum(weight) OVER (ORDER BY c_custkey) AS BIGINT) AS upto FROM w),
 e AS (SELECT event_id, CAST((SELECT sum(weight) FROM w) AS HUGEINT) * ((event_id * 7919 + 104729) % 1000003) // 1000003 AS point FROM events)
 SELECT event_id, c_custkey FROM e JOIN s ON point < upto AND point >= upto - weight""",

@@ -741,6 +741,69 @@ def s12_costs_in_place(s, d):
     return s.read.parquet(path).select("src", "dst", F.floor("cost").cast("long").alias("cost"))
 
 
+def s4_typed_csv(s, d):
+    """A stage's CSV sink, read back with types that a pass over the rows finds."""
+    from roadflow.sources import files
+
+    folder = files.write_csv(table(s, d, "events").select("event_id", "event_type", "value"), _folder(s, "stage"), "transformed", "2024")
+    back = files.read_csv(s, folder, infer=True)
+    kinds = F.lit(", ".join(f"{c} {k}" for c, k in back.dtypes))
+    return back.select(F.col("event_id").cast("long").alias("event_id"), "event_type", "value", kinds.alias("kinds"))
+
+
+def s7_year_folders(s, d):
+    """Orders in a folder for each year, found by their names and scanned year by year."""
+    from roadflow.sources import files, stages
+
+    root = _folder(s, "years")
+    stored = table(s, d, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year"))
+    stored.repartition("year").write.partitionBy("year").option("header", True).csv(root)
+    folders = stages._Folders(s, root)
+    for year in files._children(s, root):
+        if year.startswith("year="):
+            folders.move(f"{root}/{year}", f"{root}/{year[5:]}")
+            for i, name in enumerate(n for n in files._children(s, f"{root}/{year[5:]}") if n.endswith(".csv")):
+                folders.move(f"{root}/{year[5:]}/{name}", f"{root}/{year[5:]}/VSDATA_{i}.csv")
+    parts = [files.read_year(s, root, y).withColumn("year", F.lit(int(y))) for y in files.years(s, root)]
+    return clean.read_union(parts).groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("o_totalprice").cast("double")), 2).alias("total"))
+
+
+def n24_stage_names(s, d):
+    from roadflow.sources.files import stage_name
+
+    name = F.concat(F.lit("transformed_"), F.date_format("ts", "yyyyMMdd"), F.lit(".csv"))
+    return table(s, d, "events").select(stage_name(name).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+def n25_site_texts(s, d):
+    """What the map says about each site; the balance of some is their comment, others have an empty one or none."""
+    c = table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("site_no"), F.floor("c_acctbal").cast("string").alias("balance"))
+    comments = F.when(F.col("site_type") == "MACHINERY", F.lit("")).when(F.col("site_type") == "FURNITURE", F.lit(None)).otherwise(F.col("balance"))
+    return sites(s, d).join(c, "site_no").withColumn("comments", comments).select("site_no", graph.site_text("site_no", "site_name", "site_type", "comments").alias("text"))
+
+
+def n29_reversed_parts(s, d):
+    """Neighbours of each site in text order, all but the first and the last in reverse."""
+    a = graph.adjacency(_edges(s, d)).select("id", F.transform("neighbours", lambda x: x["dst"]).alias("path")).where(F.size("path") >= 4)
+    return a.select("id", F.array_join(paths.reverse_part("path", F.lit(2), F.size("path") - 1), ">").alias("path"))
+
+
+def m3_network_forecast(s, d):
+    """Four steps ahead for every window by a network that was trained, stored and opened again."""
+    from roadflow.plans import forecast, training
+
+    windows, trial = _scaled_windows(s, d), training.Trial(width=8, heads=1, inner=16, rate=0.003)
+    found, _, inputs = training._run(windows, [trial], 2, 1, 0.1, 5, None, 1)
+    folder = _folder(s, "weights")
+    forecast.save_weights(s, f"{folder}/weights", flat=found[0].best_weights)
+    forecast.save_metadata(s, f"{folder}/metadata", width=trial.width, heads=trial.heads, inner=trial.inner, layers=trial.layers, inputs=inputs)
+    known = forecast.load_metadata(s, f"{folder}/metadata")
+    inputs = known.pop("inputs")
+    weights = training.as_weights(forecast.load_weights(s, f"{folder}/weights")["flat"], training.Trial(**known), inputs)
+    made = forecast.forecast_windows(windows, {**weights, "flow": 0, "clock": 1}, known["heads"], 4)
+    return made.select("site", "start", F.posexplode("forecast").alias("step", "z")).select("site", "start", (F.col("step") + 1).cast("long").alias("step"), F.round("z", 4).alias("z"))
+
+
 # --- results as they are told ---------------------------------------------------------------------
 
 

@@ -179,6 +179,11 @@ def write_years(df: DataFrame, path: str, date: str = "date") -> None:
     df.withColumn("year", F.year(date)).write.mode("overwrite").partitionBy("year").parquet(path)
 
 
+def stage_name(name: Column, old: str = "transformed", new: str = "featured") -> Column:
+    """A file's name in the next stage."""
+    return F.replace(name, F.lit(old), F.lit(new))
+
+
 def write_csv(df: DataFrame, path: str, stage: str, year: str | None = None) -> str:
     """A stage's rows as CSV files with a header, in a folder for the stage (and the year); returns the folder."""
     folder = f"{path}/{stage}" + (f"/{year}" if year else "")

@@ -108,3 +108,21 @@ def test_components_and_repair(spark):
     assert sorted(r["id"] for r in near.collect()) == ["1", "2"]
     with pytest.raises(ValueError):
         graph.chunk(nodes, frame, "1", "99")
+
+
+def test_two_opt_against_whole_prices():
+    """Reversals priced from running sums are those that whole paths are priced at, with unequal directions and missing edges."""
+    def slow(path, cost):
+        price = lambda p: (sum(e not in cost for e in zip(p, p[1:])), sum(cost.get(e, 0) for e in zip(p, p[1:])))
+        while True:
+            swaps = [[*path[:i], *path[i : j + 1][::-1], *path[j + 1 :]] for i in range(1, len(path) - 2) for j in range(i + 1, len(path) - 1)]
+            better = next((p for p in swaps if price(p) < price(path)), None)
+            if better is None:
+                return path
+            path = better
+
+    rng = random.Random(2)
+    for _ in range(60):
+        names = [str(i) for i in range(rng.randint(2, 8))]
+        cost = {(a, b): rng.randint(1, 30) for a in names for b in names if a != b and rng.random() < 0.8}
+        assert walk.two_opt(list(names), cost) == slow(list(names), cost)
