@@ -196,7 +196,7 @@ def _alternating(size):
     return x, x.translate(str.maketrans("ab", "ba"))
 
 
-@pytest.mark.parametrize("size", [32, 64, 512, 1024, 2048, 4096])
+@pytest.mark.parametrize("size", [512, 4096])
 def test_different_words_have_different_hashes(spark, size):
     from roadflow.llm.decontamination import find_contamination
     from roadflow.llm.jaccard import near_duplicates
@@ -222,6 +222,9 @@ def test_word_hashes(monkeypatch, block):
         assert start.tolist() == [a for a, _ in words]
         assert all(known.setdefault(w, v) == v for v, (_, w) in zip(value.tolist(), words))
     assert len(set(known.values())) == len(known)
+    for size in (8, 16, 32, 64, 512, 1024, 2048, 4096):
+        x, y = _alternating(size)
+        assert len(set(hashing.hashed_words(np.frombuffer(f"{x} {y}".encode(), np.uint8))[0].tolist())) == 2
 
 
 # --- repeats ---------------------------------------------------------------------
