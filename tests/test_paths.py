@@ -59,11 +59,11 @@ def test_random_graphs(spark):
 
 def test_dispatcher(spark):
     nodes, edges = _frames(spark, SIX)
-    for name in ("BFS", "DFS", "DIJK", "AS", "GBFS", "KSP", "ACO"):
+    for name in ("DFS", "DIJK", "AS", "GBFS", "ACO"):
         options = {"per_metre": 0.0} if name == "AS" else {}
         rows = find_paths(nodes, edges, "1", "4", name, **options).orderBy("rank").collect()
         assert rows[0]["path"][0] == "1" and rows[0]["path"][-1] == "4"
-        if name in ("DIJK", "AS", "KSP", "ACO"):
+        if name in ("DIJK", "AS", "ACO"):
             assert rows[0]["cost"] == 8.0
     assert find_paths(nodes, edges, "1", "1", "BFS").first()["path"] == ["1"]
     assert not find_paths(nodes, edges, "4", "1", "DIJK").collect()

@@ -58,7 +58,7 @@ def _by_hand(rows, lags, steps, sites):
     return weights, out
 
 
-@pytest.mark.parametrize(("lags", "steps"), [(1, 3), (2, 4), (5, 9)])
+@pytest.mark.parametrize(("lags", "steps"), [(1, 3), (5, 9)])
 def test_steps(spark, lags, steps):
     rows = _series() + [("short", datetime(2024, 1, 1), 0, 60.0)] * (lags > 1)
     df = spark.createDataFrame(rows, SERIES)
