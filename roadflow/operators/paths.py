@@ -23,14 +23,16 @@ LABEL = "id string, cost double, hops int"
 PATH = "id string, cost double, hops int, path array<string>"
 
 
-def _relax(edges: DataFrame, origin: str, rounds: Rounds, stop=None, cost: str = "weight", bound=None, by_hops: bool = False) -> tuple[DataFrame, DataFrame]:
+def _relax(edges: DataFrame, origin: str | DataFrame, rounds: Rounds, stop=None, cost: str = "weight", bound=None, by_hops: bool = False) -> tuple[DataFrame, DataFrame]:
     """(arcs, best label (id, cost, hops) of each node reached).  By hops the cost is left out of a label (0).
 
-    ``stop(frontier, best)`` gives the frontier rows that go on, ``bound(reached, best)`` the reached ones.
+    ``stop(frontier, best)`` gives the frontier rows that go on, ``bound(reached, best)`` the reached ones.  Several origins, as
+    a frame of ids, are searched at once; a node gets the label of the nearest.
     """
     spark = edges.sparkSession
     arcs = rounds.save(edges.select("src", "dst", F.col(cost).cast("double").alias("w")).where("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w")))
-    best = rounds.save(spark.createDataFrame([(origin, 0.0, 0)], LABEL).withColumn("fresh", F.lit(True)))
+    first = spark.createDataFrame([(origin, 0.0, 0)], LABEL) if isinstance(origin, str) else origin.select("id", F.lit(0.0).alias("cost"), F.lit(0).alias("hops")).distinct()
+    best = rounds.save(first.withColumn("fresh", F.lit(True)))
     while True:
         frontier = best.where("fresh")
         if stop is not None:
@@ -155,6 +157,29 @@ def shortest_to_any(edges: DataFrame, origin: str, targets: list[str], cost: str
     return shortest(edges, origin, [first["id"]], cost)
 
 
+def shortest_trips(edges: DataFrame, trips: DataFrame, cost: str = "weight") -> DataFrame:
+    """(origin, target, path, cost): the cheapest path of every trip, all in the same rounds; no row where there is none.
+
+    ``trips``: origin, target.  Trips must lie in components of their own, one for each, so their labels never meet.
+    """
+    rounds = Rounds(edges.sparkSession, "trips")
+    held = rounds.save(trips.select("origin", "target").distinct())
+    arcs, best = _relax(edges, held.select(F.col("origin").alias("id")), rounds, None, cost)
+    tight = rounds.save(_tight(arcs, best, False))
+    ends = held.join(best.select(F.col("id").alias("target"), F.col("cost").alias("total")), "target")
+    now = rounds.save(ends.select("origin", "target", "total", F.col("target").alias("id"), F.array("target").alias("path")))
+    done = []
+    while True:
+        done.append(rounds.save(now.where("id = origin").select("origin", "target", "path", F.col("total").alias("cost"))))
+        back = now.where("id <> origin").withColumnRenamed("id", "dst").join(tight, "dst").withColumn("path", F.concat(F.array("src"), "path"))
+        before = now
+        now, n = rounds.save_counting(back.groupBy("origin", "target", "total", F.col("src").alias("id")).agg(F.min("path").alias("path")), F.lit(True))
+        rounds.drop(before)
+        if not n:
+            rounds.drop(tight)
+            return reduce(DataFrame.unionByName, done)
+
+
 def a_star(nodes: DataFrame, edges: DataFrame, origin: str, target: str | list[str], cost: str = "weight", per_metre: float = 0.99, with_paths: bool = True, first_only: bool = False) -> DataFrame:
     """The same paths as ``shortest``; rows whose cost plus a lower bound to the nearest target exceeds the best known cost are dropped.
 

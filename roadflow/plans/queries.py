@@ -568,12 +568,21 @@ def _ranked(found: DataFrame) -> DataFrame:
     return found.select(F.col("rank").cast("long").alias("rank"), F.array_join("path", ">").alias("path"), F.floor("cost").cast("long").alias("cost"))
 
 
+def _kept(s, *frames: DataFrame) -> list[DataFrame]:
+    """Frames that several searches read, written once."""
+    from roadflow.scratch import Rounds
+
+    rounds = Rounds(s, "kept")
+    return [rounds.save(f) for f in frames]
+
+
 def _by_all_algorithms(s, d, flows) -> DataFrame:
     from functools import reduce
 
     from roadflow.plans.route import route
 
-    found = [_told(route(_nodes(s, d), _edges(s, d), ORIGIN, TARGET, name, flows)).withColumn("algorithm", F.lit(name)) for name in ALGORITHMS]
+    nodes, edges = _kept(s, _nodes(s, d), _edges(s, d))
+    found = [_told(route(nodes, edges, ORIGIN, TARGET, name, flows)).withColumn("algorithm", F.lit(name)) for name in ALGORITHMS]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -589,7 +598,7 @@ def g17_routes_to_any(s, d):
     """The cheapest of several destinations, and the five cheapest paths to any of them."""
     from roadflow.plans.route import find_paths
 
-    nodes, edges = _trip(s, d)
+    nodes, edges = _kept(s, *_trip(s, d))
     one = [find_paths(nodes, edges, ORIGIN, [*ANY], name).withColumn("algorithm", F.lit(name)) for name in ("DIJK", "AS", "KSP")]
     return one[0].unionByName(one[1]).unionByName(one[2]).select("algorithm", F.col("rank").cast("long").alias("rank"), F.element_at("path", -1).alias("reached"), F.floor("cost").cast("long").alias("cost"))
 

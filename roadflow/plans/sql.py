@@ -14,6 +14,9 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadflow.operators.paths import shortest_trips
+from roadflow.scratch import Rounds
+
 #: Edges of one graph, some 200 bytes each.
 MOST_EDGES = 500_000
 RETURNS = "graph string, origin string, target string, path array<string>, cost double"
@@ -66,13 +69,22 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("shortest_path", udtf(ShortestPath, returnType=RETURNS))
 
 
-def paths_of_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph, origin, target, path, cost): the trip from the first to the last node (as texts) of each component, in one statement.
+def paths_of_components(labels: DataFrame, edges: DataFrame, small: int = 50_000) -> DataFrame:
+    """(graph, origin, target, path, cost): the trip from the first to the last node (as texts) of each component.
 
-    ``labels``: id, component.
+    ``labels``: id, component.  Components of up to ``small`` edges go through the table function, in one statement; larger ones are searched over all
+    tasks, in the same rounds for all of them.
     """
     spark = labels.sparkSession
     register(spark)
-    ends = labels.groupBy("component").agg(F.min("id").alias("origin"), F.max("id").alias("target"))
-    trips = edges.join(labels.withColumnRenamed("id", "src"), "src").join(ends, "component").select(F.col("component").alias("graph"), "src", "dst", F.col("weight").cast("double").alias("weight"), "origin", "target")
-    return spark.sql("SELECT * FROM shortest_path(TABLE(SELECT * FROM {trips}) PARTITION BY graph)", trips=trips)
+    rounds = Rounds(spark, "components-sql")
+    arcs = rounds.save(edges.join(labels.withColumnRenamed("id", "src"), "src").select(F.col("component").alias("graph"), "src", "dst", F.col("weight").cast("double").alias("weight")))
+    ends = labels.groupBy(F.col("component").alias("graph")).agg(F.min("id").alias("origin"), F.max("id").alias("target"))
+    sized = rounds.save(ends.join(arcs.groupBy("graph").agg(F.count(F.lit(1)).alias("n")), "graph"))
+    trips = arcs.join(sized.where(F.col("n") <= small).drop("n"), "graph")
+    found = spark.sql("SELECT * FROM shortest_path(TABLE(SELECT graph, src, dst, weight, origin, target FROM {trips}) PARTITION BY graph)", trips=trips)
+    large = rounds.save(sized.where(F.col("n") > small).drop("n"))
+    if not large.limit(1).count():
+        return found
+    rest = shortest_trips(arcs.join(large.select("graph"), "graph", "left_semi"), large).join(large.select("graph", "origin"), "origin")
+    return found.unionByName(rest.select("graph", "origin", "target", "path", "cost"))

@@ -33,6 +33,21 @@ def test_many_graphs_in_one_statement(spark):
         assert got[g] == want.get(f"{g[1:]}.8", (None, None))
 
 
+def test_large_components_are_searched_in_rounds(spark):
+    """Trips by rounds, all components at once, are those of the table function."""
+    from pyspark.sql import functions as F
+
+    from roadflow.operators import graph
+
+    edges = graph.symmetric(spark.createDataFrame([r[1:4] for r in _trips(9, 4)], "src string, dst string, weight double"))
+    nodes = edges.select(F.col("src").alias("id")).distinct()
+    labels = graph.components(nodes, edges)
+    told = lambda small: sorted(map(tuple, sql.paths_of_components(labels, edges, small).collect()))
+    whole = told(1000)
+    assert len(whole) == 4 and all(r[3][-1] == r[2] for r in whole)
+    assert told(0) == whole
+
+
 def test_bounds(spark, monkeypatch):
     sql.register(spark)
     spark.createDataFrame([("a", "1", "2", 1.0, "1", "3"), ("b", "1", "2", 1.0, "1", "1"), ("c", None, None, None, "5", "5")], FIELDS).createOrReplaceTempView("trips")
