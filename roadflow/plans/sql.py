@@ -14,7 +14,8 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadflow.operators.paths import shortest_trips
+from roadflow.operators.graph import radius_components, radius_edges, radius_sums
+from roadflow.operators.paths import shortest_trips, shortest_trips_near
 from roadflow.scratch import Rounds
 
 #: Edges of one graph, some 200 bytes each.
@@ -88,3 +89,30 @@ def paths_of_components(labels: DataFrame, edges: DataFrame, small: int = 50_000
         return found
     rest = shortest_trips(arcs.join(large.select("graph"), "graph", "left_semi"), large).join(large.select("graph", "origin"), "origin")
     return found.unionByName(rest.select("graph", "origin", "target", "path", "cost"))
+
+
+def paths_of_places(nodes: DataFrame, degrees: float, small: int = 50_000) -> DataFrame:
+    """As ``paths_of_components`` of the graph of nodes at most ``degrees`` apart, of which only the edges of small components are made.
+
+    Of nodes with equal coordinates the first takes part (and the last of a component): they have the same neighbours, and a path by the first one comes first.
+    ``small`` counts edges between these.
+    """
+    spark = nodes.sparkSession
+    register(spark)
+    rounds = Rounds(spark, "places-sql")
+    labels = radius_components(nodes, degrees).withColumnRenamed("component", "graph")
+    ends = rounds.save(labels.groupBy("graph").agg(F.min("id").alias("origin"), F.max("id").alias("target")))
+    known = nodes.where("lon is not null and lat is not null")
+    heads = known.groupBy("lon", "lat").agg(F.min("id").alias("id")).select("id", "lon", "lat").unionByName(known.join(ends.select(F.col("target").alias("id")), "id").select("id", "lon", "lat")).distinct()
+    heads = rounds.save(heads.join(labels, "id"))
+    sums = radius_sums(heads, degrees, {"n": F.lit(1)}, "id")
+    sized = rounds.save(ends.join(sums.join(heads, "id").groupBy("graph").agg(F.sum("n").alias("n")), "graph"))
+    few = sized.where(F.col("n") <= small).drop("n")
+    edges = radius_edges(heads.join(few, "graph", "left_semi"), degrees, "id", also=["graph"])
+    trips = edges.select(F.col("src_graph").alias("graph"), "src", "dst", F.col("weight").cast("double").alias("weight")).join(few, "graph")
+    found = spark.sql("SELECT * FROM shortest_path(TABLE(SELECT graph, src, dst, weight, origin, target FROM {trips}) PARTITION BY graph)", trips=trips)
+    large = rounds.save(sized.where(F.col("n") > small).drop("n"))
+    if not large.limit(1).count():
+        return found
+    rest = shortest_trips_near(heads.join(large.select("graph", "target"), "graph"), degrees, large).join(large.select("graph", "origin"), "origin")
+    return found.unionByName(rest.select("graph", "origin", "target", "path", "cost"))

@@ -62,3 +62,20 @@ def test_bounds(spark, monkeypatch):
     one.eval(row)
     with pytest.raises(ValueError, match="over 1 edges"):
         one.eval(row)
+
+
+def test_trips_over_places_are_those_of_edges(spark):
+    """By the table function or by rounds, over places with twins: costs and paths are those of the graph that is made."""
+    from pyspark.sql import functions as F
+
+    from roadflow.operators import graph
+
+    rng = random.Random(11)
+    rows = [(f"{c}{i}", 144.6 + c / 5 + rng.randrange(9) / 100, -37.8 + rng.randrange(9) / 100) for c in (1, 2) for i in range(60)]
+    nodes = spark.createDataFrame([*rows, ("3", 145.4, -37.6), ("4", None, -37.8)], "id string, lon double, lat double").cache()
+    edges = graph.radius_edges(nodes, 0.0201, "id").cache()
+    labels = graph.radius_components(nodes, 0.0201)
+    want = sorted(map(tuple, sql.paths_of_components(labels, edges, 1_000_000).collect()))
+    assert len(want) >= 2 and labels.agg(F.count("id")).first()[0] == 122
+    for small in (1_000_000, 0):
+        assert sorted(map(tuple, sql.paths_of_places(nodes, 0.0201, small).collect())) == want
