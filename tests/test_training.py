@@ -108,3 +108,18 @@ def test_no_validation_rows(spark):
     rows = training_rows(windows, Rounds(spark, "test"), 1, 0.0)
     one = run_trials(rows, [Trial(8, 1, 4)], 3, 2)[0]
     assert one.state == "complete" and [h[1] for h in one.history] == [h[2] for h in one.history]
+
+
+def test_trials_of_equal_weights_are_summed_once(spark):
+    """Trials that differ in their rate start from the same weights: one sum for all of them, and the same sums as alone."""
+    windows, _, _ = _windows(spark, 40)
+    rows = training_rows(windows, Rounds(spark, "test"), 1, 0.2)
+    inputs = 3
+    trials = {0: Trial(8, 1, 4, rate=0.1), 1: Trial(8, 1, 4, rate=0.01), 2: Trial(8, 1, 8)}
+    weighed = {k: (t, start_weights(t, inputs)) for k, t in trials.items()}
+    weighed[3] = (trials[1], weighed[1][1] + 1)
+    together = sum_slopes(rows, weighed)
+    assert sorted(together) == [0, 1, 2, 3] and together[0] is together[1] and together[1] is not together[3]
+    for k in weighed:
+        alone = sum_slopes(rows, {k: weighed[k]})[k]
+        assert alone["n"] == together[k]["n"] and alone["loss"] == pytest.approx(together[k]["loss"]) and alone["slopes"] == pytest.approx(together[k]["slopes"])
